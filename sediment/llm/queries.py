@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, order_minhash, packing, pii, quality, simhash, token_files
+from . import lines, media, mixing, order_minhash, packing, pii, quality, simhash, substrings, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +49,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50, keep=False)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_files, op4_order_minhash, op5_quality_classifier, op6_media_columns, op7_source_mixing, op8_line_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_files, op4_order_minhash, op5_quality_classifier, op6_media_columns, op7_source_mixing, op8_line_dedup, op9_repeated_substrings, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
