@@ -1,8 +1,9 @@
 """Token ids by a public tokenizer, with ids of repeated words looked up instead of computed again.
 
 The pre-tokenizers of both vocabularies never join text across a lone blank or line end between two other
-characters, so a text is cut there, each distinct piece goes through the tokenizers library once per worker
-process, and the ids are joined. Odd white space stays inside its piece, together with the words on both sides.
+characters, nor across the end of a run of Latin letters that ASCII punctuation and then white space follow. So a
+text is cut there, each distinct piece goes through the tokenizers library once per worker process, and the ids are
+joined. Odd white space stays inside its piece, together with the words on both sides.
 """
 
 from __future__ import annotations
@@ -10,13 +11,24 @@ from __future__ import annotations
 import array
 import re
 import sys
+from collections import ChainMap
 from functools import cache
+from itertools import chain
 
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-_PIECES = re.compile(r" ?\S+|\n")
 _PIECES_WITH_ODD_SPACE = re.compile(r"(?:\A\s+)?(?: ?\S+)(?:(?:\s\s+|[^\S \n]|\s+\Z)\S*)*|\n|\s+")
-#: Known pieces are forgotten beyond this many, which bounds the memory of a worker.
-KNOWN_PIECES = 600_000
+#: Letters whose class all Unicode versions agree on; punctuation without the apostrophe, which may begin "'s" or "'re".
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_LETTERS_THEN_MARKS = re.compile(rf"( ?{_LETTER}++)({_MARK}++)\Z")
+_ONE_PRETOKEN = re.compile(rf" ?{_LETTER}++|{_MARK}++")
+#: So many pieces are remembered at most; later ones are computed anew, which bounds the memory of a worker.
+KNOWN_PIECES = 1_200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class PieceEncoder:
@@ -28,32 +40,65 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._drops_space = not self._tokenizer.encode(" ", add_special_tokens=False).ids
+        self._alphabet = _byte_letters()
         self._known: dict[str, bytes] = {}
 
+    def _ids(self, ids: list[int]) -> bytes:
+        out = array.array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _cut(self, text: str) -> list[str]:
+        words = text.split()
+        if " ".join(words) == text.replace("\n", " "):  # white space is single blanks and line ends, inside only
+            if self._drops_space:
+                return words
+            return self._with_space(text)
         if self._drops_space:
             return text.replace("\n", " ").split(" ")
-        return (_PIECES_WITH_ODD_SPACE if _ODD_SPACE.search(text) else _PIECES).findall(text)
+        return _PIECES_WITH_ODD_SPACE.findall(text)
+
+    @staticmethod
+    def _with_space(text: str) -> list[str]:
+        pieces: list[str] = []
+        for line in text.split("\n"):
+            if pieces:
+                pieces.append("\n")
+            words = line.replace(" ", "\n ").split("\n")  # each word keeps the blank before it
+            pieces += words
+        return pieces
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 8192):
-            part = pieces[at : at + 8192]
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        """Ids of pieces: those of letters and then punctuation from both parts, the others by the library."""
+        parts = {p: m.groups() for p in pieces if (m := _LETTERS_THEN_MARKS.match(p))}
+        plain = [p for p in pieces if p not in parts]
+        plain += [p for p in set().union(*parts.values()) if p not in known and p not in self._known]
+        merge, odd = self._tokenizer.model.tokenize, []
+        for piece in plain:
+            if _ONE_PRETOKEN.fullmatch(piece):  # the library's model alone: the steps before it are known here
+                lowered = piece.lower() if self._drops_space else piece
+                known[piece] = self._ids([t.id for t in merge(lowered.encode().decode("latin-1").translate(self._alphabet))])
+            else:
+                odd.append(piece)
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
             for piece, encoding in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = array.array("I", encoding.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self._known[piece] = ids.tobytes()
+                known[piece] = self._ids(encoding.ids)
+        for piece, (letters, marks) in parts.items():
+            known[piece] = b"".join(known[p] if p in known else self._known[p] for p in (letters, marks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > KNOWN_PIECES:
-            self._known.clear()
         cut = [self._cut(text) for text in texts]
-        self._learn([piece for piece in set().union(*cut) if piece not in self._known])
-        known = self._known.__getitem__
-        encoded = [b"".join(map(known, pieces)) for pieces in cut]
-        for piece in {piece for pieces in cut for piece in pieces if len(piece) > 100}:
-            del self._known[piece]
-        return encoded
+        new = [piece for piece in set(chain.from_iterable(cut)) if piece not in self._known]
+        known = self._known
+        if len(known) + 2 * len(new) < KNOWN_PIECES:
+            self._learn([p for p in new if len(p) <= 100], known)
+            new = [p for p in new if len(p) > 100]
+        if new:
+            known = ChainMap({}, known)  # for this call only
+            self._learn(new, known.maps[0])
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 @cache
