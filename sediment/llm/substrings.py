@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, power_of_two
+from .common import materialize, power_of_two, slices
 
 LENGTH, GRAM = 50, 16
 #: Anchors packed into one set of arrays, anchors to a bucket, and bytes of regions put in suffix order at once.
-ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET, REGION_BYTES_AT_ONCE = 1 << 20, 1 << 20, 2 << 20
+ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET, REGION_BYTES_AT_ONCE = 1 << 18, 1 << 18, 1 << 20
 _CHUNK = 1 << 22
 _A, _B, _C = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _FLAG = np.uint32(0xFFFFFFFF)
@@ -86,6 +86,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("data"))
 
 
+def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.compute  # noqa: F401
+
+    for batch in batches:
+        yield from slices(batch, "data")
+
+
 _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("keys", pa.binary()), ("who", pa.binary()), ("at", pa.binary())])
 _PACKED_DDL = "bucket int, docs binary, tags binary, keys binary, who binary, at binary"
 _PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.binary())])
@@ -132,8 +139,8 @@ def _pack(buckets: int, length: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, tags, parts, held = [], [], [], 0
-        for batch in batches:
-            for doc_id, tag, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
+        for few in _few(batches):
+            for doc_id, tag, data in zip(*(few.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
                 key, at, _, _ = anchors(data, length)
                 if len(key):
                     parts.append((key, np.full(len(key), len(docs), np.int64), at))
@@ -149,9 +156,11 @@ def _pack(buckets: int, length: int):
 
 
 def _places(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    if not len(doc):
+        return pa.RecordBatch.from_pydict({n: [] for n in _PLACES.names}, schema=_PLACES)
     order = np.lexsort((tag, doc))
     doc, tag, at = doc[order], tag[order], at[order]
-    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
     ends = np.concatenate([begins[1:], [len(doc)]])
     return pa.RecordBatch.from_pydict({"doc_id": doc[begins], "tag": tag[begins], "at": [at[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]}, schema=_PLACES)
 
@@ -198,7 +207,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
 
 
 def _regions_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
+    for batch in _few(batches):
         for doc_id, tag, data, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "data", "places")), strict=True):
             wanted = np.concatenate([np.frombuffer(p, np.uint32) for p in places]).astype(np.int64)
             key, at, first, last = anchors(data, length)
@@ -220,7 +229,7 @@ def _region_rows(length: int):
                 name = (k, data[a:b])
                 if merged.get(name, doc_id) >= doc_id:
                     merged[name] = doc_id
-            if len(merged) > 200_000:
+            if len(merged) > 100_000:
                 yield out()
                 merged = {}
         if merged:
@@ -334,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     said = said.unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<struct<first:int,starts:int,mask:binary>>").alias("said"), F.lit(True).alias("copy")))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for doc_id, data, said_, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "said", "copy")), strict=True):
                 gone = np.zeros(len(data), bool)
