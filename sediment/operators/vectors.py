@@ -105,10 +105,13 @@ def top_parents(index: DataFrame, queries: DataFrame, k: int, parent: str, child
     ``queries`` (query_id, query_vector) is the small side; its size is checked before it is broadcast. Ties go to the
     smaller child, then parent. Best children per parent are found by a partial maximum before any shuffle.
     """
-    few = queries.select("query_id", "query_vector").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    side = F.broadcast(queries) if few else queries.repartition("query_id")
+    blocks = -(-queries.count() // BROADCAST_QUERIES)
+    if blocks <= 1:
+        scored = index.crossJoin(F.broadcast(queries))
+    else:
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        scored = index.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block")
     score = F.round(dot(F.col(vector), F.col("query_vector")), digits)
-    scored = index.crossJoin(side) if few else index.join(side)
     scored = scored.select("query_id", F.col(parent).alias("parent"), F.col(child).alias("child"), score.alias("score"))
     best = scored.groupBy("query_id", "parent").agg(F.max_by("child", F.struct("score", -F.col("child"))).alias("child"), F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "child", "parent")
