@@ -6,8 +6,8 @@ document, which the nearest smaller owners on either side in suffix order give.
 not fit one machine, so suffixes are dealt into groups in which all matches that matter stay together:
 
 1. Each window of ``length`` bytes is named by an anchor, the smallest hash of its GRAM-byte strings. Equal windows
-   have equal anchors at equal places. Only anchors that occur in two documents can matter; they are found by packed
-   arrays of (hash, document, position), combined for each task first.
+   have equal anchors at equal places. Only anchors that occur in two documents, with equal bytes before or after them,
+   can matter; they are found by packed arrays of (hash, sides, document, position), combined for each task first.
 2. Around each such anchor the bytes that hold its windows (a region) are gathered by the anchor's hash. Equal regions
    are merged before the shuffle. There, the regions' windows are put into suffix order and each start gets its
    smallest earlier owner.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sides(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A byte of hash for the GRAM bytes before and for those after each anchor's own; the lower byte is the one before.
+
+    A window of LENGTH bytes holds, besides its anchor, one of these two stretches whole, so two equal windows agree in
+    one byte at least. (That holds for lengths of three GRAMs minus one or more.) Beyond the text's ends zeros are taken.
+    """
+    padded = np.concatenate([np.zeros(GRAM, np.uint8), raw, np.zeros(2 * GRAM, np.uint8)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * _powers(len(padded)))])
+
+    def byte(begin: np.ndarray) -> np.ndarray:
+        return (_mix((sums[begin + GRAM] - sums[begin]) * _powers(len(padded), inverse=True)[begin]) >> np.uint64(56)).astype(np.uint16)
+
+    return byte(at) | byte(at + 2 * GRAM) << np.uint16(8)
+
+
+@cache
+def _all_powers(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    return _all_powers(power_of_two(n), pow(_A, -1, 1 << 64) if inverse else _A)[:n]
+
+
 def _anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(raw) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -93,48 +120,79 @@ def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "data")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("keys", pa.binary()), ("who", pa.binary()), ("at", pa.binary())])
-_PACKED_DDL = "bucket int, docs binary, tags binary, keys binary, who binary, at binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("n", pa.int32()), ("entries", pa.binary()), ("local", pa.bool_())])
+_PACKED_DDL = "bucket int, docs binary, tags binary, n int, entries binary, local boolean"
 _PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.binary())])
 
 
+def _squeeze(keys: np.ndarray, sides: np.ndarray, who: np.ndarray, at: np.ndarray) -> bytes:
+    """Arrays by byte planes, sorted keys as differences, compressed."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.uint32(0))
+    planes = [x.astype(k).view(np.uint8).reshape(-1, w).T.tobytes() for x, k, w in ((steps, "<u4", 4), (sides, "<u2", 2), (who, "<u4", 4), (at, "<u4", 4))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=14 * n), np.uint8), [], 0
+    for kind, width in (("<u4", 4), ("<u2", 2), ("<u4", 4), ("<u4", 4)):
+        out.append(np.ascontiguousarray(raw[at : at + width * n].reshape(width, n).T).view(kind).ravel())
+        at += width * n
+    out[0] = np.cumsum(out[0], dtype=np.uint32)
+    return tuple(out)  # type: ignore[return-value]
+
+
+def _met(key: np.ndarray, sides: np.ndarray, doc: np.ndarray, flagged: np.ndarray) -> np.ndarray:
+    """Which entries share their key and one of their side bytes with another document (or with a flagged entry)."""
+    out = np.zeros(len(key), bool)
+    for shift in (0, 8):
+        side = sides >> np.uint16(shift) & np.uint16(255)
+        order = np.lexsort((side, key))
+        k, s = key[order], side[order]
+        begins = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
+        several = np.minimum.reduceat(doc[order], begins) != np.maximum.reduceat(doc[order], begins)
+        several |= np.logical_or.reduceat(flagged[order], begins)
+        out[order] |= np.repeat(several, np.diff(np.concatenate([begins, [len(k)]])))
+    return out
+
+
 def _pack(buckets: int, length: int):
     bits = np.uint64(buckets.bit_length() - 1)
 
     def flush(docs: list, tags: list, parts: list) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        key, who, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        key, sides, who, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
         doc, tag = np.array(docs, np.int64), np.array(tags, np.int64)
         order = np.argsort(key, kind="stable")
-        key, who, at = key[order], who[order], at[order]
-        begins = _runs(key)
-        sizes = np.diff(np.concatenate([begins, [len(key)]]))
-        several = np.minimum.reduceat(doc[who], begins) != np.maximum.reduceat(doc[who], begins)
-        known = np.repeat(several, sizes)  # shared within this task already: one entry stands for all
+        key, sides, who, at = key[order], sides[order], who[order].astype(np.uint32), at[order]
+        known = _met(key, sides, doc[who], np.zeros(len(key), bool))  # met within this task already
         bucket = (key >> (np.uint64(64) - bits)).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
         small = (key << bits >> np.uint64(32)).astype(np.uint32)
-        send = ~known
-        send[begins[several]] = True
-        named = np.where(known, _FLAG, who.astype(np.uint32)).astype(np.uint32)
         rows: dict[str, list] = {n: [] for n in _PACKED.names}
 
-        def add(number: int, chosen: np.ndarray, keys: bytes | None, names: np.ndarray) -> None:
+        def add(number: int, chosen: np.ndarray, names: np.ndarray, local: bool) -> None:
             real = names[chosen]
             used, index = np.unique(real[real != _FLAG], return_inverse=True)
             out = np.full(len(real), _FLAG, np.uint32)
             out[real != _FLAG] = index
-            for column, value in zip(rows.values(), (number, doc[used].tobytes(), tag[used].tobytes(), keys, out.tobytes(), at[chosen].astype(np.uint32).tobytes()), strict=True):
+            entries = _squeeze(small[chosen] if not local else np.zeros(len(chosen), np.uint32), sides[chosen], out, at[chosen])
+            for column, value in zip(rows.values(), (number, doc[used].tobytes(), tag[used].tobytes(), len(chosen), entries, local), strict=True):
                 column.append(value)
 
-        sent = np.flatnonzero(send)
+        # of those known, one entry for each different hash and sides stands for all
+        same = np.flatnonzero(known)
+        _, first = np.unique(np.stack([key[same], sides[same].astype(np.uint64)], axis=1), axis=0, return_index=True) if len(same) else (None, same)
+        sent = np.sort(np.concatenate([np.flatnonzero(~known), same[first]]))
+        names = np.where(known, _FLAG, who).astype(np.uint32)
         edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            chosen = sent[edges[b] : edges[b + 1]]
-            add(int(b), chosen, small[chosen].tobytes(), named)
-        local = np.flatnonzero(known)
-        for b, begin in enumerate(range(0, len(local), 1 << 16)):
-            add(b % buckets, local[begin : begin + (1 << 16)], None, who.astype(np.uint32))
+            add(int(b), sent[edges[b] : edges[b + 1]], names, False)
+        for b, begin in enumerate(range(0, len(same), 1 << 16)):
+            add(b % buckets, same[begin : begin + (1 << 16)], who, True)
         yield pa.RecordBatch.from_pydict(rows, schema=_PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +201,7 @@ def _pack(buckets: int, length: int):
             for doc_id, tag, data in zip(*(few.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
                 key, at, _, _ = anchors(data, length)
                 if len(key):
-                    parts.append((key, np.full(len(key), len(docs), np.int64), at))
+                    parts.append((key, _sides(np.frombuffer(data, np.uint8), at), np.full(len(key), len(docs), np.int64), at))
                     docs.append(doc_id)
                     tags.append(tag)
                     held += len(key)
@@ -165,21 +223,21 @@ def _places(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"doc_id": doc[begins], "tag": tag[begins], "at": [at[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]}, schema=_PLACES)
 
 
+def _owners(row: dict, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    named = who != _FLAG
+    docs, tags = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["tags"], np.int64)
+    doc, tag = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
+    doc[named], tag[named] = docs[who[named]], tags[who[named]]
+    return doc, tag
+
+
 def _shared_in_bucket(rows: list[dict]) -> pa.RecordBatch:
-    unpack = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    docs, tags, keys, who, at = unpack("docs", np.int64), unpack("tags", np.int64), unpack("keys", np.uint32), unpack("who", np.uint32), unpack("at", np.uint32)
-    named = [w != _FLAG for w in who]
-    take = lambda values, w, n: np.where(n, values[np.where(n, w, 0)] if len(values) else 0, 0)
-    doc = np.concatenate([take(d, w, n) for d, w, n in zip(docs, who, named, strict=True)])
-    tag = np.concatenate([take(t, w, n) for t, w, n in zip(tags, who, named, strict=True)])
-    key, at_, named_ = np.concatenate(keys), np.concatenate(at), np.concatenate(named)
-    order = np.argsort(key, kind="stable")
-    key, doc, tag, at_, named_ = key[order], doc[order], tag[order], at_[order], named_[order]
-    begins = _runs(key)
-    sizes = np.diff(np.concatenate([begins, [len(key)]]))
-    shared = (np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)) | ~np.logical_and.reduceat(named_, begins)
-    chosen = np.repeat(shared, sizes) & named_
-    return _places(doc[chosen], tag[chosen], at_[chosen])
+    parts = [_unsqueeze(r["entries"], r["n"]) for r in rows]
+    owners = [_owners(r, p[2]) for r, p in zip(rows, parts, strict=True)]
+    key, sides, who, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    doc, tag = (np.concatenate([o[i] for o in owners]) for i in range(2))
+    chosen = _met(key, sides, doc, who == _FLAG) & (who != _FLAG)
+    return _places(doc[chosen], tag[chosen], at[chosen])
 
 
 def _find_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +245,9 @@ def _find_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-            if row["keys"] is None:
-                who = np.frombuffer(row["who"], np.uint32)
-                yield _places(np.frombuffer(row["docs"], np.int64)[who], np.frombuffer(row["tags"], np.int64)[who], np.frombuffer(row["at"], np.uint32))
+            if row["local"]:
+                _, _, who, at = _unsqueeze(row["entries"], row["n"])
+                yield _places(*_owners(row, who), at)
                 continue
             if held and held[0]["bucket"] != row["bucket"]:
                 yield _shared_in_bucket(held)
@@ -325,6 +383,8 @@ def _judge(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``, kept (the remaining bytes)."""
+    if length < 3 * GRAM - 1:
+        raise ValueError(f"strings of at least {3 * GRAM - 1} bytes are needed")
     texts = _texts(docs)
     sizes = materialize(texts.select("doc_id", "tag", F.sha2("data", 256).alias("sha"), F.length("data").cast("long").alias("n")), "substring-sizes")
     least = sizes.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"))
@@ -333,7 +393,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     shared = shared_anchors(texts, n_bytes, length).join(copies, ["doc_id", "tag"], "left_anti")
     places = materialize(shared.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("places")), "substring-anchors")
 
-    with_places = texts.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "data", "places")
+    named = texts.where("doc_id is not null")  # the same for all joins, so that Spark shuffles the texts once
+    with_places = named.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "data", "places")
     regions = with_places.mapInArrow(_region_rows(length), "key long, region binary, doc_id long")
     verdicts = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), "low long, high long, owner long, starts int, mask binary")
     occurrences = with_places.mapInArrow(_occurrence_rows(length), "low long, high long, doc_id long, tag long, first int")
@@ -365,4 +426,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + keep]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep])
 
-    return texts.join(said, ["doc_id", "tag"], "left").select("doc_id", "data", "said", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
+    joined = named.join(said, ["doc_id", "tag"], "left").select("doc_id", "data", "said", F.coalesce("copy", F.lit(False)).alias("copy"))
+    unnamed = texts.where("doc_id is null").select("doc_id", "data", F.lit(None).cast(joined.schema["said"].dataType).alias("said"), F.lit(False).alias("copy"))
+    return joined.union(unnamed).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
