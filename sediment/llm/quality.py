@@ -25,7 +25,7 @@ from .common import per_slice, texts_of
 
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 16, (3, 5)
 #: Labelled documents learned from, passes over them, and the first learning rate.
-SAMPLE, EPOCHS, RATE = 4000, 12, 0.5
+SAMPLE, EPOCHS, RATE = 2000, 15, 0.5
 ACCEPT_FROM = 0.3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53)
 _BLANK = np.zeros(256, bool)
@@ -67,7 +67,7 @@ def features(text: str) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
-    """``rows`` are (label, buckets, their shares). Returns one weight a bucket and the bias, for class 1 against class 0."""
+    """``rows`` are (label, buckets, their counts). Returns one weight a bucket and the bias, for class 1 against class 0."""
     if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
@@ -78,7 +78,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            label, buckets, shares = rows[i]
+            label, buckets, counts = rows[i]
+            shares = counts / np.float32(counts.sum())
             lr = np.float32(rate * (1 - done / steps))
             mean = shares @ vectors[buckets]
             z = output @ mean + bias
@@ -104,16 +105,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counted = [np.unique(features(t), return_counts=True) for t in batch.column("text").to_pylist()]
-        columns = [pa.array([c[i].astype("<i4").tobytes() for c in counted], pa.binary()) for i in (0, 1)]
+        columns = [pa.array([np.minimum(c[i], 0xFFFF).astype("<u2").tobytes() for c in counted], pa.binary()) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *columns], names=["doc_id", "quality", "buckets", "counts"])
 
     taught = texts_of(docs).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     rows = taught.mapInArrow(per_slice(count), "doc_id long, quality int, buckets binary, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     examples = []
     for row in rows:
-        counts = np.frombuffer(row["counts"], "<i4").astype(np.float32)
-        if len(counts):
-            examples.append((row["quality"], np.frombuffer(row["buckets"], "<i4"), counts / counts.sum()))
+        if row["counts"]:
+            examples.append((row["quality"], np.frombuffer(row["buckets"], "<u2"), np.frombuffer(row["counts"], "<u2")))
     return train(examples)
 
 
