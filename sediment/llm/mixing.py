@@ -144,7 +144,7 @@ def block_parts(rows: DataFrame, block: int) -> DataFrame:
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["key", "bucket"])
+    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).hint("merge").join(bases, ["key", "bucket"])
     placed = placed.select("uid", "key", "size", (F.col("at") + F.col("base")).alias("at"))
     b = F.lit(block)
     spread = placed.select("uid", "key", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("index"))
@@ -183,7 +183,8 @@ def draw(spark: SparkSession, sources: list[tuple], seed: int) -> DataFrame:
 def taken_parts(rows: DataFrame, sources: list[tuple], block: int, seed: int) -> DataFrame:
     """uid, first, n, times: how often the mix takes each part of each document; parts not taken are left out."""
     times = draw(rows.sparkSession, sources, seed).groupBy("key", "index").agg(F.count("*").cast("int").alias("times"))
-    return block_parts(_with_source(rows, sources), block).join(times, ["key", "index"]).select("uid", "first", "n", "times")
+    # its size follows that of the corpus, which Spark can't see behind Python: never broadcast
+    return block_parts(_with_source(rows, sources), block).hint("merge").join(times, ["key", "index"]).select("uid", "first", "n", "times")
 
 
 def mix(docs: DataFrame, block: int = 64, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

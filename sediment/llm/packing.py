@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order)).join(bases, ["length", "bucket"])
+    ranked = pieces.withColumn("rank", F.row_number().over(order)).hint("merge").join(bases, ["length", "bucket"])
     names = [c for c in pieces.columns if c != "bucket"]
     ranked = ranked.select(*names, (F.col("base") + F.col("rank") - 1).alias("rank"))
 
