@@ -268,7 +268,7 @@ def test_repeated_and_null_ids(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_runs(spark, sf_dir, name):
-    n = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchall()[0][0]
     assert queries.queries()[name](spark, sf_dir).count() >= n
 
 
