@@ -6,14 +6,17 @@ document, which the nearest smaller owners on either side in suffix order give.
 not fit one machine, so suffixes are dealt into groups in which all matches that matter stay together:
 
 1. Each window of ``length`` bytes is named by an anchor, the smallest hash of its GRAM-byte strings. Equal windows
-   have equal anchors at equal places. Only anchors that occur in two documents, with equal bytes before or after them,
-   can matter; they are found by packed arrays of (hash, sides, document, position), combined for each task first.
-2. Around each such anchor the bytes that hold its windows (a region) are gathered by the anchor's hash. Equal regions
-   are merged before the shuffle. There, the regions' windows are put into suffix order and each start gets its
-   smallest earlier owner.
-3. What the regions say goes back to the documents, where covered bytes are removed and the rest is hashed.
-
-Documents equal to a smaller document's whole text need no suffixes: all of their windows start there.
+   have equal anchors at equal places. The bytes that hold an anchor's windows are its region. Anchors travel to
+   buckets as packed arrays of (hash, sides, digest of the region, document, place).
+2. Of equal regions, all but those of the smallest document are covered whole; that is settled within each task first,
+   then in the buckets. What is left is one document for each different region. It is compared only if another
+   document has the same anchor with equal bytes before or after it; the other regions have no earlier match.
+3. Regions to compare are gathered by their anchor's hash. There their windows are put into suffix order, and each
+   start gets its smallest earlier owner.
+4. The covered stretches go back to the documents, where the bytes are removed and the rest is hashed.
+
+A document equal to a smaller one's whole text has equal regions everywhere, so step 2 covers it without any bytes.
+Regions count as equal if 48 bits of their hash and the anchor's hash agree.
 
 Defined results: null text is empty text; texts shorter than ``length`` lose nothing; rows with equal doc_id never
 remove each other's bytes; rows with a null doc_id neither lose bytes nor count as earlier; an empty table gives no
@@ -38,7 +41,6 @@ LENGTH, GRAM = 50, 16
 ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET, REGION_BYTES_AT_ONCE = 1 << 18, 1 << 18, 1 << 20
 _CHUNK = 1 << 22
 _A, _B, _C = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_FLAG = np.uint32(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +49,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sides(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A byte of hash for the GRAM bytes before and for those after each anchor's own; the lower byte is the one before.
+def _context(raw: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of hash for the GRAM bytes before and for those after each anchor's own (the lower byte is the one
+    before), and a digest of 48 bits for the bytes from begin to end.
 
     A window of LENGTH bytes holds, besides its anchor, one of these two stretches whole, so two equal windows agree in
     one byte at least. (That holds for lengths of three GRAMs minus one or more.) Beyond the text's ends zeros are taken.
     """
     padded = np.concatenate([np.zeros(GRAM, np.uint8), raw, np.zeros(2 * GRAM, np.uint8)])
     sums = np.concatenate([[np.uint64(0)], np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * _powers(len(padded)))])
+    inverse = _powers(len(padded), inverse=True)
 
-    def byte(begin: np.ndarray) -> np.ndarray:
-        return (_mix((sums[begin + GRAM] - sums[begin]) * _powers(len(padded), inverse=True)[begin]) >> np.uint64(56)).astype(np.uint16)
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((sums[b] - sums[a]) * inverse[a])
 
-    return byte(at) | byte(at + 2 * GRAM) << np.uint16(8)
+    before, after = (hashed(a, a + GRAM) >> np.uint64(56) for a in (at, at + 2 * GRAM))
+    return (before | after << np.uint64(8)).astype(np.uint16), hashed(begin + GRAM, end + GRAM) >> np.uint64(16)
 
 
 @cache
@@ -104,10 +109,6 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))  # type: ignore[return-value]
 
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("data"))
@@ -120,88 +121,115 @@ def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "data")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("n", pa.int32()), ("entries", pa.binary()), ("local", pa.bool_())])
-_PACKED_DDL = "bucket int, docs binary, tags binary, n int, entries binary, local boolean"
-_PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("n", pa.int32()), ("entries", pa.binary()), ("settled", pa.bool_())])
+_PACKED_DDL = "bucket int, docs binary, tags binary, n int, entries binary, settled boolean"
+_MARKS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("covered", pa.binary()), ("compare", pa.binary())])
+_MARKS_DDL = "doc_id long, tag long, covered binary, compare binary"
+#: Type and bytes kept of: anchor (as differences), sides, digest, row in docs and tags, begin, size; and of settled stretches.
+_ENTRY = (("<u4", 4), ("<u2", 2), ("<u8", 6), ("<u4", 4), ("<u4", 4), ("<u2", 2))
+_STRETCH = (("<u4", 4), ("<u4", 4), ("<u4", 4))
+_COMPARE = np.dtype([("key", "<u8"), ("begin", "<u4"), ("size", "<u4")])
 
 
-def _squeeze(keys: np.ndarray, sides: np.ndarray, who: np.ndarray, at: np.ndarray) -> bytes:
-    """Arrays by byte planes, sorted keys as differences, compressed."""
+def _squeeze(kinds: tuple, *columns: np.ndarray) -> bytes:
+    """Arrays by byte planes, compressed."""
     import zstandard
 
-    steps = np.diff(keys, prepend=np.uint32(0))
-    planes = [x.astype(k).view(np.uint8).reshape(-1, w).T.tobytes() for x, k, w in ((steps, "<u4", 4), (sides, "<u2", 2), (who, "<u4", 4), (at, "<u4", 4))]
+    planes = [np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes() for (kind, width), x in zip(kinds, columns, strict=True)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unsqueeze(kinds: tuple, data: bytes, n: int) -> list[np.ndarray]:
     import zstandard
 
-    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=14 * n), np.uint8), [], 0
-    for kind, width in (("<u4", 4), ("<u2", 2), ("<u4", 4), ("<u4", 4)):
-        out.append(np.ascontiguousarray(raw[at : at + width * n].reshape(width, n).T).view(kind).ravel())
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=n * sum(w for _, w in kinds)), np.uint8), [], 0
+    for kind, width in kinds:
+        column = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        column[:, :width] = raw[at : at + width * n].reshape(width, n).T
+        out.append(column.view(kind).ravel())
         at += width * n
-    out[0] = np.cumsum(out[0], dtype=np.uint32)
-    return tuple(out)  # type: ignore[return-value]
+    return out
+
+
+def _begins(*ordered: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows begins."""
+    apart = np.zeros(len(ordered[0]), bool)
+    apart[:1] = True
+    for column in ordered:
+        apart[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(apart)
+
+
+def _later(key: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a smaller document with an equal region."""
+    order = np.lexsort((digest, key))
+    begins = _begins(key[order], digest[order])
+    out = np.empty(len(key), bool)
+    out[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], begins), np.diff(begins, append=len(key)))
+    return out
 
 
-def _met(key: np.ndarray, sides: np.ndarray, doc: np.ndarray, flagged: np.ndarray) -> np.ndarray:
-    """Which entries share their key and one of their side bytes with another document (or with a flagged entry)."""
+def _met(key: np.ndarray, sides: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries share their key and one of their side bytes with another document."""
     out = np.zeros(len(key), bool)
     for shift in (0, 8):
         side = sides >> np.uint16(shift) & np.uint16(255)
         order = np.lexsort((side, key))
-        k, s = key[order], side[order]
-        begins = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
-        several = np.minimum.reduceat(doc[order], begins) != np.maximum.reduceat(doc[order], begins)
-        several |= np.logical_or.reduceat(flagged[order], begins)
-        out[order] |= np.repeat(several, np.diff(np.concatenate([begins, [len(k)]])))
+        begins = _begins(key[order], side[order])
+        if len(begins):
+            several = np.minimum.reduceat(doc[order], begins) != np.maximum.reduceat(doc[order], begins)
+            out[order] |= np.repeat(several, np.diff(begins, append=len(key)))
     return out
 
 
+def _merged(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of each document, those that touch joined. (Sizes within a task are alike, so ends ascend with begins.)"""
+    order = np.lexsort((end, begin, who))
+    who, begin, end = who[order], begin[order], end[order]
+    apart = np.ones(len(who), bool)
+    apart[1:] = (who[1:] != who[:-1]) | (begin[1:] > end[:-1])
+    at = np.flatnonzero(apart)
+    return who[at], begin[at], np.maximum.reduceat(end, at) if len(at) else end
+
+
 def _pack(buckets: int, length: int):
     bits = np.uint64(buckets.bit_length() - 1)
 
     def flush(docs: list, tags: list, parts: list) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        key, sides, who, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        key, sides, digest, who, begin, size = (np.concatenate([p[i] for p in parts]) for i in range(6))
         doc, tag = np.array(docs, np.int64), np.array(tags, np.int64)
-        order = np.argsort(key, kind="stable")
-        key, sides, who, at = key[order], sides[order], who[order].astype(np.uint32), at[order]
-        known = _met(key, sides, doc[who], np.zeros(len(key), bool))  # met within this task already
-        bucket = (key >> (np.uint64(64) - bits)).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
-        small = (key << bits >> np.uint64(32)).astype(np.uint32)
+        key = key >> (np.uint64(32) - bits)
         rows: dict[str, list] = {n: [] for n in _PACKED.names}
 
-        def add(number: int, chosen: np.ndarray, names: np.ndarray, local: bool) -> None:
-            real = names[chosen]
-            used, index = np.unique(real[real != _FLAG], return_inverse=True)
-            out = np.full(len(real), _FLAG, np.uint32)
-            out[real != _FLAG] = index
-            entries = _squeeze(small[chosen] if not local else np.zeros(len(chosen), np.uint32), sides[chosen], out, at[chosen])
-            for column, value in zip(rows.values(), (number, doc[used].tobytes(), tag[used].tobytes(), len(chosen), entries, local), strict=True):
+        def add(number: int, names: np.ndarray, kinds: tuple, before: tuple, after: tuple) -> None:
+            used, index = np.unique(names, return_inverse=True)
+            entries = _squeeze(kinds, *before, index, *after)
+            for column, value in zip(rows.values(), (number, doc[used].tobytes(), tag[used].tobytes(), len(names), entries, not before), strict=True):
                 column.append(value)
 
-        # of those known, one entry for each different hash and sides stands for all
-        same = np.flatnonzero(known)
-        _, first = np.unique(np.stack([key[same], sides[same].astype(np.uint64)], axis=1), axis=0, return_index=True) if len(same) else (None, same)
-        sent = np.sort(np.concatenate([np.flatnonzero(~known), same[first]]))
-        names = np.where(known, _FLAG, who).astype(np.uint32)
-        edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
+        later = _later(key, digest, doc[who])
+        for b, at in enumerate(np.flatnonzero(later)[i : i + (1 << 16)] for i in range(0, int(later.sum()), 1 << 16)):
+            names, a, z = _merged(who[at], begin[at], begin[at] + size[at])
+            add(b % buckets, names, _STRETCH, (), (a, z))
+        sent = np.flatnonzero(~later)
+        sent = sent[np.argsort(key[sent], kind="stable")]
+        bucket, small = (key[sent] >> np.uint64(32)).astype(np.int64), (key[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            add(int(b), sent[edges[b] : edges[b + 1]], names, False)
-        for b, begin in enumerate(range(0, len(same), 1 << 16)):
-            add(b % buckets, same[begin : begin + (1 << 16)], who, True)
+            x, k = sent[edges[b] : edges[b + 1]], small[edges[b] : edges[b + 1]]
+            add(int(b), who[x], _ENTRY, (np.diff(k, prepend=np.uint32(0)), sides[x], digest[x]), (begin[x], size[x]))
         yield pa.RecordBatch.from_pydict(rows, schema=_PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, tags, parts, held = [], [], [], 0
         for few in _few(batches):
             for doc_id, tag, data in zip(*(few.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
-                key, at, _, _ = anchors(data, length)
+                key, at, first, last = anchors(data, length)
                 if len(key):
-                    parts.append((key, _sides(np.frombuffer(data, np.uint8), at), np.full(len(key), len(docs), np.int64), at))
+                    sides, digest = _context(np.frombuffer(data, np.uint8), at, first, last + length)
+                    parts.append((key, sides, digest, np.full(len(key), len(docs), np.int64), first, last + length - first))
                     docs.append(doc_id)
                     tags.append(tag)
                     held += len(key)
@@ -213,110 +241,78 @@ def _pack(buckets: int, length: int):
     return run
 
 
-def _places(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    if not len(doc):
-        return pa.RecordBatch.from_pydict({n: [] for n in _PLACES.names}, schema=_PLACES)
+def _marks(column: str, doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """A row for each document, with its values packed into one of the two columns."""
     order = np.lexsort((tag, doc))
-    doc, tag, at = doc[order], tag[order], at[order]
-    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-    ends = np.concatenate([begins[1:], [len(doc)]])
-    return pa.RecordBatch.from_pydict({"doc_id": doc[begins], "tag": tag[begins], "at": [at[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]}, schema=_PLACES)
-
-
-def _owners(row: dict, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    named = who != _FLAG
-    docs, tags = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["tags"], np.int64)
-    doc, tag = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
-    doc[named], tag[named] = docs[who[named]], tags[who[named]]
-    return doc, tag
-
-
-def _shared_in_bucket(rows: list[dict]) -> pa.RecordBatch:
-    parts = [_unsqueeze(r["entries"], r["n"]) for r in rows]
-    owners = [_owners(r, p[2]) for r, p in zip(rows, parts, strict=True)]
-    key, sides, who, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    doc, tag = (np.concatenate([o[i] for o in owners]) for i in range(2))
-    chosen = _met(key, sides, doc, who == _FLAG) & (who != _FLAG)
-    return _places(doc[chosen], tag[chosen], at[chosen])
-
-
-def _find_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc, tag, values = doc[order], tag[order], values[order]
+    begins = _begins(doc, tag)
+    packed = [values[a:b].tobytes() for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(doc)], strict=False)]
+    nothing = [None] * len(packed)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[begins]), pa.array(tag[begins]), *(pa.array(packed if c == column else nothing, pa.binary()) for c in ("covered", "compare"))], schema=_MARKS
+    )
+
+
+def _stretches(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.stack([begin, end], axis=1).astype("<u4")
+
+
+def _settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Marks of one bucket: the stretches that an equal region covers, and the regions to compare."""
+    parts = []
+    for r in rows:
+        steps, sides, digest, who, begin, size = _unsqueeze(_ENTRY, r["entries"], r["n"])
+        parts.append((np.cumsum(steps, dtype=np.uint32), sides, digest, np.frombuffer(r["docs"], np.int64)[who], np.frombuffer(r["tags"], np.int64)[who], begin, size))
+    key, sides, digest, doc, tag, begin, size = (np.concatenate([p[i] for p in parts]) for i in range(7))
+    order = np.argsort(key, kind="stable")
+    runs = np.diff(_begins(key[order]), append=len(key))
+    x = order[np.repeat(runs, runs) > 1]  # anchors that occur once match nothing
+    if not len(x):
+        return
+    later = _later(key[x], digest[x], doc[x])
+    at = x[later]
+    yield _marks("covered", doc[at], tag[at], _stretches(begin[at], begin[at] + size[at]))
+    x = x[~later]
+    x = x[_met(key[x], sides[x], doc[x])]
+    compare = np.empty(len(x), _COMPARE)
+    compare["key"], compare["begin"], compare["size"] = key[x] | np.uint64(rows[0]["bucket"]) << np.uint64(32), begin[x], size[x]
+    yield _marks("compare", doc[x], tag[x], compare)
+
+
+def _find_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-            if row["local"]:
-                _, _, who, at = _unsqueeze(row["entries"], row["n"])
-                yield _places(*_owners(row, who), at)
+            if row["settled"]:
+                who, begin, end = _unsqueeze(_STRETCH, row["entries"], row["n"])
+                yield _marks("covered", np.frombuffer(row["docs"], np.int64)[who], np.frombuffer(row["tags"], np.int64)[who], _stretches(begin, end))
                 continue
             if held and held[0]["bucket"] != row["bucket"]:
-                yield _shared_in_bucket(held)
+                yield from _settle(held)
                 held = []
             held.append(row)
     if held:
-        yield _shared_in_bucket(held)
+        yield from _settle(held)
 
 
-def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag and at (packed positions) of the anchors that occur in two documents, possibly in several rows."""
+def marks(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
+    """doc_id, tag, covered (stretches of bytes) and compare (anchors and regions), a document possibly in many rows."""
     buckets = power_of_two(n_bytes / ((length - GRAM) / 2 + 1) / ANCHORS_PER_BUCKET)
     packed = texts.where("doc_id is not null").mapInArrow(_pack(buckets, length), _PACKED_DDL)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_shared, "doc_id long, tag long, at binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_marks, _MARKS_DDL)
 
 
-def _regions_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def _region_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each region to compare."""
     for batch in _few(batches):
-        for doc_id, tag, data, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "data", "places")), strict=True):
-            wanted = np.concatenate([np.frombuffer(p, np.uint32) for p in places]).astype(np.int64)
-            key, at, first, last = anchors(data, length)
-            here = np.isin(at, wanted)
-            yield doc_id, tag, data, key[here].view(np.int64), first[here], last[here]
-
-
-def _region_rows(length: int):
-    """key, region and the smallest doc_id that has it, merged within the task as far as memory allows."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            rows = list(merged.items())
-            return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.int64()), pa.array([r for (_, r), _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.int64())], names=["key", "region", "doc_id"])
-
-        merged: dict[tuple[int, bytes], int] = {}
-        for doc_id, _, data, key, first, last in _regions_of(batches, length):
-            for k, a, b in zip(key.tolist(), first.tolist(), (last + length).tolist(), strict=True):
-                name = (k, data[a:b])
-                if merged.get(name, doc_id) >= doc_id:
-                    merged[name] = doc_id
-            if len(merged) > 100_000:
-                yield out()
-                merged = {}
-        if merged:
-            yield out()
-
-    return run
-
-
-def _digest(region: bytes) -> tuple[int, int]:
-    import xxhash
-
-    low, high = np.frombuffer(xxhash.xxh3_128_digest(region), "<i8")
-    return int(low), int(high)
-
-
-def _occurrence_rows(length: int):
-    names, kinds = ["low", "high", "doc_id", "tag", "first"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for doc_id, tag, data, _, first, last in _regions_of(batches, length):
-            for a, b in zip(first.tolist(), (last + length).tolist(), strict=True):
-                rows.append((*_digest(data[a:b]), doc_id, tag, a))
-            if len(rows) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-                rows = []
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    return run
+        rows: list[tuple] = []
+        for doc_id, tag, data, compare in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "data", "compare")), strict=True):
+            found = np.frombuffer(b"".join(compare or []), _COMPARE)
+            for key, begin, size in zip(found["key"].view(np.int64).tolist(), found["begin"].tolist(), found["size"].tolist(), strict=True):
+                rows.append((key, data[begin : begin + size], doc_id, tag, begin))
+        kinds = {"key": pa.int64(), "region": pa.binary(), "doc_id": pa.int64(), "tag": pa.int64(), "begin": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def earliest_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -346,35 +342,40 @@ def earliest_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, leng
 
 
 def _judge(length: int):
-    """For each different region: its smallest owner, and which of its starts have an owner smaller still."""
+    """The stretches of each region whose starts have an owner smaller than its own."""
 
-    def judged(merged: dict[bytes, int]) -> pa.RecordBatch:
-        regions, owners = list(merged), np.fromiter(merged.values(), np.int64, len(merged))
+    def judged(merged: dict[bytes, list[tuple[int, int, int]]]) -> pa.RecordBatch:
+        regions = list(merged)
+        owners = np.array([min(x[0] for x in places) for places in merged.values()], np.int64)
         sizes = np.fromiter(map(len, regions), np.int64, len(regions))
         starts_in = sizes - length + 1
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        begin = np.cumsum(sizes) - sizes
+        edge = np.cumsum(starts_in) - starts_in
         which = np.repeat(np.arange(len(regions)), starts_in)
-        edge = np.concatenate([[0], np.cumsum(starts_in)])
-        starts = begin[which] + np.arange(edge[-1]) - edge[which]
-        earlier = earliest_owner(np.frombuffer(b"".join(regions), np.uint8), starts, owners[which], length) < owners[which]
-        digests = [_digest(r) for r in regions]
-        masks = [np.packbits(earlier[a:b]).tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_pydict({"low": pa.array([d[0] for d in digests], pa.int64()), "high": pa.array([d[1] for d in digests], pa.int64()), "owner": pa.array(owners), "starts": pa.array(starts_in, pa.int32()), "mask": pa.array(masks, pa.binary())})
+        offset = np.arange(len(which)) - edge[which]
+        least = earliest_owner(np.frombuffer(b"".join(regions), np.uint8), begin[which] + offset, owners[which], length)
+        times = np.fromiter(map(len, merged.values()), np.int64, len(merged))
+        doc, tag, place = np.array([x for places in merged.values() for x in places], np.int64).T
+        region = np.repeat(np.arange(len(regions)), times)
+        # each occurrence of a region, with each of its starts
+        owner = np.repeat(doc, starts_in[region])
+        nth = np.repeat(np.arange(len(region)), starts_in[region])
+        step = np.arange(len(nth)) - np.repeat(np.cumsum(starts_in[region]) - starts_in[region], starts_in[region])
+        hit = np.flatnonzero(least[edge[region[nth]] + step] < owner)
+        names, a, z = _merged(nth[hit], place[nth[hit]] + step[hit], place[nth[hit]] + step[hit] + length)
+        return _marks("covered", doc[names], tag[names], _stretches(a, z))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[bytes, int] = {}
+        merged: dict[bytes, list[tuple[int, int, int]]] = {}
         held, last = 0, None
         for batch in batches:
-            for key, region, doc_id in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "doc_id")), strict=True):
+            for key, region, *place in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "doc_id", "tag", "begin")), strict=True):
                 if key != last and held >= REGION_BYTES_AT_ONCE:
                     yield judged(merged)
                     merged, held = {}, 0
                 last = key
-                if region not in merged:
-                    held += len(region)
-                    merged[region] = doc_id
-                elif doc_id < merged[region]:
-                    merged[region] = doc_id
+                held += len(region)
+                merged.setdefault(region, []).append(tuple(place))
         if merged:
             yield judged(merged)
 
@@ -386,46 +387,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     if length < 3 * GRAM - 1:
         raise ValueError(f"strings of at least {3 * GRAM - 1} bytes are needed")
     texts = _texts(docs)
-    sizes = materialize(texts.select("doc_id", "tag", F.sha2("data", 256).alias("sha"), F.length("data").cast("long").alias("n")), "substring-sizes")
-    least = sizes.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copies = materialize(sizes.where(f"n >= {length}").join(least, "sha").where("doc_id > least").select("doc_id", "tag").distinct(), "substring-copies")
-    n_bytes = sizes.agg(F.sum("n")).first()[0] or 0
-    shared = shared_anchors(texts, n_bytes, length).join(copies, ["doc_id", "tag"], "left_anti")
-    places = materialize(shared.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("places")), "substring-anchors")
-
-    named = texts.where("doc_id is not null")  # the same for all joins, so that Spark shuffles the texts once
-    with_places = named.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "data", "places")
-    regions = with_places.mapInArrow(_region_rows(length), "key long, region binary, doc_id long")
-    verdicts = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), "low long, high long, owner long, starts int, mask binary")
-    occurrences = with_places.mapInArrow(_occurrence_rows(length), "low long, high long, doc_id long, tag long, first int")
-    said = occurrences.join(verdicts, ["low", "high"]).where((F.col("doc_id") > F.col("owner")) | (F.conv(F.hex("mask"), 16, 10) != "0"))
-    one = F.struct("first", "starts", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
-    said = said.groupBy("doc_id", "tag").agg(F.collect_list(one).alias("said")).select("doc_id", "tag", "said", F.lit(False).alias("copy"))
-    said = said.unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<struct<first:int,starts:int,mask:binary>>").alias("said"), F.lit(True).alias("copy")))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = marks(texts, n_bytes, length).groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("covered"), F.collect_list("compare").alias("compare"))
+    found = materialize(found, "substring-marks")
+
+    named = texts.where("doc_id is not null")  # the same left side for both joins, so that Spark shuffles the texts once
+    regions = named.join(found.select("doc_id", "tag", "compare"), ["doc_id", "tag"], "left").mapInArrow(_region_rows, "key long, region binary, doc_id long, tag long, begin long")
+    judged = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), _MARKS_DDL)
+    judged = judged.groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("judged"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             rows = []
-            for doc_id, data, said_, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "said", "copy")), strict=True):
-                gone = np.zeros(len(data), bool)
-                if copy:
-                    gone[:] = True
-                elif said_:
-                    steps = np.zeros(len(data) + 1, np.int64)
-                    for x in said_:
-                        if x["mask"] is None:
-                            begins = np.arange(x["starts"])
-                        else:
-                            begins = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8))[: x["starts"]])
-                        np.add.at(steps, begins + x["first"], 1)
-                        np.add.at(steps, begins + x["first"] + length, -1)
+            for doc_id, data, covered, judged in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "covered", "judged")), strict=True):
+                raw, kept, n_gone, spans = np.frombuffer(data, np.uint8), data, 0, 0
+                if covered or judged:
+                    stretches = np.frombuffer(b"".join([*(covered or []), *(judged or [])]), "<u4").reshape(-1, 2)
+                    steps = np.bincount(stretches[:, 0], minlength=len(raw) + 1) - np.bincount(stretches[:, 1], minlength=len(raw) + 1)
                     gone = np.cumsum(steps[:-1]) > 0
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *[kept] * keep))
+                    kept = raw[~gone].tobytes()
+                    n_gone, spans = int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+                rows.append((doc_id, len(data), n_gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * keep))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + keep]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep])
 
-    joined = named.join(said, ["doc_id", "tag"], "left").select("doc_id", "data", "said", F.coalesce("copy", F.lit(False)).alias("copy"))
-    unnamed = texts.where("doc_id is null").select("doc_id", "data", F.lit(None).cast(joined.schema["said"].dataType).alias("said"), F.lit(False).alias("copy"))
+    joined = named.join(found.select("doc_id", "tag", "covered"), ["doc_id", "tag"], "left").join(judged, ["doc_id", "tag"], "left").select("doc_id", "data", "covered", "judged")
+    none = F.lit(None).cast("array<binary>")
+    unnamed = texts.where("doc_id is null").select("doc_id", "data", none.alias("covered"), none.alias("judged"))
     return joined.union(unnamed).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
