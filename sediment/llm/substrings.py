@@ -111,7 +111,9 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("data"))
+    # without an alias where none is needed: Spark drops it from one of two equal plans only, and then does not see them as equal
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, F.xxhash64(text).alias("tag"), text.cast("binary").alias("data"))
 
 
 def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
