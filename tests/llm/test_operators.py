@@ -243,6 +243,36 @@ def test_substrings_equal_brute_force(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_many_overlapping_copies(spark):
+    """Parts of a few passages in all documents, dealt over partitions, with ids that are repeated."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abc d") for _ in range(400)) for _ in range(4)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(330)
+            parts += [rng.choice(passages)[a : a + rng.randrange(20, 200)], rng.choice(["", "x", "é", "\n"])]
+        texts.append("".join(parts))
+    rows = [(i // 2 if i % 10 == 0 else i, t) for i, t in enumerate(texts)]
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        for p in range(len(t.encode()) - 49):
+            w = t.encode()[p : p + 50]
+            first[w] = min(i, first.get(w, i))
+    expected = []
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        expected.append((i, len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    found = substrings.remove_repeats(docs, keep=False).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_pii(docs, none):
     row = pii.pii_report(docs).where("doc_id = 11").first()
     assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 0, 1, 1)
