@@ -117,8 +117,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def joined(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans of the kinds, by start and then by the order of ``kinds``."""
-    ranked = [F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))) for i, k in enumerate(kinds)]
-    return F.concat_ws(",", F.transform(F.array_sort(F.concat(*ranked)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def ranked(rank: int, kind: str) -> Column:  # a lambda with a second parameter would get the element's index there
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    return F.concat_ws(",", F.transform(F.array_sort(F.concat(*(ranked(i, k) for i, k in enumerate(kinds)))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
