@@ -11,6 +11,9 @@ not fit one machine, so suffixes are dealt into groups in which all matches that
 2. Of equal regions, all but those of the smallest document are covered whole; that is settled within each task first,
    then in the buckets. What is left is one document for each different region. It is compared only if another
    document has the same anchor with equal bytes before or after it; the other regions have no earlier match.
+   Anchors with very many different regions (found by counting in a part of the documents) take another exact way:
+   each of their windows is hashed whole to 128 bits, and Spark aggregates the smallest document of each hash, so no
+   task ever gathers such a group.
 3. Regions to compare are gathered by their anchor's hash. There their windows are put into suffix order, and each
    start gets its smallest earlier owner.
 4. The covered stretches go back to the documents, where the bytes are removed and the rest is hashed.
@@ -39,6 +42,9 @@ from .common import materialize, power_of_two, slices
 LENGTH, GRAM = 50, 16
 #: Anchors packed into one set of arrays, anchors to a bucket, and bytes of regions put in suffix order at once.
 ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET, REGION_BYTES_AT_ONCE = 1 << 18, 1 << 18, 1 << 20
+#: One document in so many is looked at for crowded anchors, those with more different regions there than the second
+#: number; the third bounds how many anchors are listed, the fourth the windows that a task holds for them.
+LOOK_AT, CROWDED_FROM, MOST_CROWDED, WINDOWS_AT_ONCE = 256, 1024, 1 << 20, 1 << 16
 _CHUNK = 1 << 22
 _A, _B, _C = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -123,6 +129,64 @@ def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "data")
 
 
+def crowded_anchors(texts: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """Hashes of the anchors with more than CROWDED_FROM different regions among one document in LOOK_AT, sorted.
+
+    At most MOST_CROWDED of them, those with most regions. What is listed decides how windows are compared, never the result.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in _few(batches):
+            pairs = [np.zeros((2, 0), np.uint64)]
+            for data in few.column("data").to_pylist():
+                key, at, first, last = anchors(data, length)
+                if len(key):
+                    pairs.append(np.stack([key, _context(np.frombuffer(data, np.uint8), at, first, last + length)[1]]))
+            key, digest = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, digest)], names=["key", "digest"])
+
+    looked_at = texts.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(LOOK_AT)) == 0)
+    counted = looked_at.mapInArrow(run, "key long, digest long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    rows = counted.where(F.col("n") > CROWDED_FROM).orderBy(F.desc("n"), "key").limit(MOST_CROWDED).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+def crowded_marks(texts: DataFrame, crowded: np.ndarray, length: int = LENGTH) -> DataFrame:
+    """Marks of all windows that crowded anchors name, by their smallest document, which Spark aggregates before it shuffles."""
+    listed = texts.sparkSession.sparkContext.broadcast(crowded)  # 8 MB at most
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        kinds = {"window": pa.binary(), "doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64()}
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+        for few in _few(batches):
+            for doc_id, tag, data in zip(*(few.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
+                key, _, first, last = anchors(data, length)
+                for i in np.flatnonzero(np.isin(key, listed.value)).tolist():
+                    rows += [(xxh3_128_digest(data[start : start + length]), doc_id, tag, start) for start in range(first[i], last[i] + 1)]
+                    if len(rows) >= WINDOWS_AT_ONCE:
+                        yield flush()
+                        rows = []
+        yield flush()
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                doc, tag, start = (batch.column(c).to_numpy() for c in ("doc_id", "tag", "start"))
+                yield _marks("covered", doc, tag, _stretches(start, start + length))
+
+    windows = materialize(texts.where("doc_id is not null").mapInArrow(run, "window binary, doc_id long, tag long, start long"), "substring-windows")
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
+    # a window of very many documents is skewed on the left side only, which a merge join splits at run time
+    later = windows.hint("merge").join(least, "window").where("doc_id > least")
+    return later.select("doc_id", "tag", "start").mapInArrow(pack, _MARKS_DDL)
+
+
 _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("n", pa.int32()), ("entries", pa.binary()), ("settled", pa.bool_())])
 _PACKED_DDL = "bucket int, docs binary, tags binary, n int, entries binary, settled boolean"
 _MARKS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("covered", pa.binary()), ("compare", pa.binary())])
@@ -194,7 +258,8 @@ def _merged(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return who[at], begin[at], np.maximum.reduceat(end, at) if len(at) else end
 
 
-def _pack(buckets: int, length: int):
+def _pack(buckets: int, length: int, crowded: np.ndarray):
+    """Packed anchors of all documents, but for the crowded ones."""
     bits = np.uint64(buckets.bit_length() - 1)
 
     def flush(docs: list, tags: list, parts: list) -> Iterator[pa.RecordBatch]:
@@ -229,6 +294,9 @@ def _pack(buckets: int, length: int):
         for few in _few(batches):
             for doc_id, tag, data in zip(*(few.column(c).to_pylist() for c in ("doc_id", "tag", "data")), strict=True):
                 key, at, first, last = anchors(data, length)
+                if len(crowded):
+                    others = ~np.isin(key, crowded)
+                    key, at, first, last = key[others], at[others], first[others], last[others]
                 if len(key):
                     sides, digest = _context(np.frombuffer(data, np.uint8), at, first, last + length)
                     parts.append((key, sides, digest, np.full(len(key), len(docs), np.int64), first, last + length - first))
@@ -301,8 +369,10 @@ def _find_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def marks(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
     """doc_id, tag, covered (stretches of bytes) and compare (anchors and regions), a document possibly in many rows."""
     buckets = power_of_two(n_bytes / ((length - GRAM) / 2 + 1) / ANCHORS_PER_BUCKET)
-    packed = texts.where("doc_id is not null").mapInArrow(_pack(buckets, length), _PACKED_DDL)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_marks, _MARKS_DDL)
+    crowded = crowded_anchors(texts, length)
+    packed = texts.where("doc_id is not null").mapInArrow(_pack(buckets, length, crowded), _PACKED_DDL)
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_marks, _MARKS_DDL)
+    return found.union(crowded_marks(texts, crowded, length)) if len(crowded) else found
 
 
 def _region_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

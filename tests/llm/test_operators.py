@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -243,8 +244,12 @@ def test_substrings_equal_brute_force(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_substrings_of_many_overlapping_copies(spark):
-    """Parts of a few passages in all documents, dealt over partitions, with ids that are repeated."""
+@pytest.mark.parametrize("crowded_from", [None, 0, 5])
+def test_substrings_of_many_overlapping_copies(spark, monkeypatch, crowded_from):
+    """Parts of a few passages in all documents, dealt over partitions, with ids that are repeated; also with all or some anchors crowded."""
+    if crowded_from is not None:
+        monkeypatch.setattr(substrings, "LOOK_AT", 1)
+        monkeypatch.setattr(substrings, "CROWDED_FROM", crowded_from)
     rng = random.Random(9)
     passages = ["".join(rng.choice("abc d") for _ in range(400)) for _ in range(4)]
     texts = []
@@ -283,6 +288,38 @@ def test_pii(docs, none):
     assert pii.pii_report(none).count() == 0
 
 
+#: The base patterns.
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _confirmed(kind: str, found: str) -> bool:
+    digits = [int(c) for c in found if c.isdigit()]
+    if kind == "ip":
+        return all(int(part) <= 255 for part in found.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and (sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])) % 10 == 0
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def test_pii_base_spans_equal_brute_force(spark):
+    rng = random.Random(4)
+    pieces = ["a", "B", "_", "1", "23", "256", "007", "@", ".", "-", "+", " ", "(", ")", "%", "é", "", "😀", "\n", "b.c", "x@y.z", "10.0.0.1", "4111 1111 1111 1111", "5500-0000-0000-0004", "+1 555 123 4567"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 70))) for _ in range(1500)]
+    texts += ["".join(rng.choice("0123456789 -.") for _ in range(200)) for _ in range(300)]
+    rows = {r["doc_id"]: r for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = [(m.start(), nth, f"{kind}:{m.start()}:{m.end()}", kind) for nth, (kind, pattern) in enumerate(_BASE.items()) for m in re.finditer(pattern, text) if _confirmed(kind, m.group())]
+        expected = [s[2] for s in sorted(spans)]
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest(), text
+        assert [rows[i][f"n_{k}"] for k in _BASE] == [sum(s[3] == k for s in spans) for k in _BASE]
+        assert set(expected) <= set(rows[i]["spans"].split(","))
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(None, "a b c d e", None), (1, "a b c d e", "s"), (1, "a b c d e", "s"), (2, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
