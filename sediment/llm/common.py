@@ -66,5 +66,13 @@ def per_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text
     return run
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is named so (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_of(buckets: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")

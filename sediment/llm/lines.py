@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import fresh, materialize, slices
 
 LEAST_WORDS = 50
 
@@ -93,10 +93,13 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
-def _join_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def _join_runs(docs: DataFrame, runs: DataFrame, name: str) -> DataFrame:
+    """The documents with their runs in a column of that name."""
     text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.withColumn("_tag", F.xxhash64(text)).join(runs.select(F.col("doc_id").alias("_doc_id"), F.col("tag").alias("_of"), F.col("runs").alias("_runs")), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_tag") == F.col("_of")), "left")
-    return joined.drop("_tag", "_doc_id", "_of")
+    tag, doc_id, of = (fresh(n, docs) for n in ("_tag", "_doc_id", "_of"))
+    right = runs.select(F.col("doc_id").alias(doc_id), F.col("tag").alias(of), F.col("runs").alias(name))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.col(tag) == F.col(of))
+    return docs.withColumn(tag, F.xxhash64(text)).join(right, same, "left").drop(tag, doc_id, of)
 
 
 def _without(text: str, runs: list[dict] | None) -> tuple[str, int, int]:
@@ -109,15 +112,15 @@ def _without(text: str, runs: list[dict] | None) -> tuple[str, int, int]:
 
 def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents, with all their columns, without repeated lines; n_chars, if there, is counted again."""
-    joined = _join_runs(docs, repeats(docs, least_words))
-    names = docs.columns
+    runs, names = fresh("_runs", docs), docs.columns
+    joined = _join_runs(docs, repeats(docs, least_words), runs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
             for few in slices(batch):
-                texts = [t if t is None else _without(t, r)[0] for t, r in zip(few.column("text").to_pylist(), few.column("_runs").to_pylist(), strict=True)]
+                texts = [t if t is None else _without(t, r)[0] for t, r in zip(few.column("text").to_pylist(), few.column(runs).to_pylist(), strict=True)]
                 columns = {name: few.column(name) for name in names} | {"text": pa.array(texts, pa.string())}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], few.column("n_chars").type)
@@ -140,4 +143,4 @@ def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 columns = [few.column("doc_id"), pa.array([n for _, n, _ in kept], pa.int64()), pa.array([n for _, _, n in kept], pa.int64()), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return _join_runs(narrow, repeats(docs, least_words)).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _join_runs(narrow, repeats(docs, least_words), "_runs").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize, per_slice, power_of_two
+from .common import bucket_of, fresh, materialize, per_slice, power_of_two
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Block slots to an output shard.
@@ -202,12 +202,12 @@ def mixed_documents(docs: DataFrame, block: int = 64, seed: int = 7, weights: tu
     A pass that takes all words leaves the text as it is; otherwise the taken stretches follow each other, joined by a
     line end, and n_chars (if there is such a column) is counted again. Documents without words leave.
     """
-    kept = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "mixing-documents")
-    rows = materialize(sized_with_uid(kept), "mixing-sizes")
+    uid, taken, names = fresh("_uid", docs), fresh("_parts", docs), docs.columns
+    kept = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mixing-documents")
+    rows = materialize(sized_with_uid(kept, uid), "mixing-sizes")
     sources = source_table(rows, block, weights, share, most)
-    parts = taken_parts(rows, sources, block, seed).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "n", "times"))).alias("_parts"))
-    joined = kept.join(parts, kept["_uid"] == parts["uid"]).drop("_uid", "uid")
-    names = docs.columns
+    parts = taken_parts(rows, sources, block, seed).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "n", "times"))).alias(taken))
+    joined = kept.join(parts.withColumnRenamed("uid", uid), uid).drop(uid)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -220,7 +220,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, seed: int = 7, weights: tu
         for batch in batches:
             for few in slices(batch):
                 index, texts = [], []
-                for i, (text, parts_) in enumerate(zip(few.column("text").to_pylist(), few.column("_parts").to_pylist(), strict=True)):
+                for i, (text, parts_) in enumerate(zip(few.column("text").to_pylist(), few.column(taken).to_pylist(), strict=True)):
                     spans = None
                     for turn in range(max(p["times"] for p in parts_)):
                         runs: list[list[int]] = []
@@ -248,10 +248,12 @@ def mixed_documents(docs: DataFrame, block: int = 64, seed: int = 7, weights: tu
     return joined.mapInArrow(run, docs.schema)
 
 
-def sized_with_uid(kept: DataFrame) -> DataFrame:
+def sized_with_uid(kept: DataFrame, uid: str) -> DataFrame:
+    """doc_id, source, size (words) and uid of documents that have a column of row names already."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size = [len(t.split()) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64()), batch.column("uid")], names=["doc_id", "source", "size", "uid"])
 
-    narrow = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("_uid").alias("uid"))
+    narrow = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col(uid).alias("uid"))
     return narrow.mapInArrow(per_slice(run), "doc_id long, source string, size long, uid long")

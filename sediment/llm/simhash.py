@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_slice, texts_of
+from .common import fresh, materialize, per_slice, texts_of
 from .components import connected_components
 
 SEED = 42
@@ -224,5 +224,6 @@ STAGE_SHINGLE, STAGE_WORDS, STAGE_THRESHOLD, STAGE_SLACK = 5, 4, 48, 3
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of the smallest doc_id of each near-duplicate group; null doc_ids stay."""
     found = near_duplicates(docs, STAGE_SHINGLE, STAGE_THRESHOLD, STAGE_WORDS, STAGE_SLACK)
-    leaving = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_leaving")).distinct()
-    return docs.join(leaving, docs["doc_id"].cast("long") == F.col("_leaving"), "left_anti")
+    gone = fresh("_leaving", docs)
+    leaving = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(leaving, docs["doc_id"].cast("long") == F.col(gone), "left_anti")

@@ -339,6 +339,25 @@ def test_query_runs(spark, sf_dir, name):
     assert queries.queries()[name](spark, sf_dir).count() >= n
 
 
+def test_stages_on_hard_rows(spark, sf_dir, docs, none):
+    """Nulls in every column, empty tables, and extra columns named like those that the stages make."""
+    import corpus_pipeline
+
+    extra = ["uid", "_uid", "_parts", "_tag", "_doc_id", "_of", "_runs", "_leaving", "first", "n", "tag", "name", "fp0"]
+    blank = spark.createDataFrame([(None,) * len(docs.columns), (None,) * len(docs.columns)], SCHEMA)
+    add = lambda df: df.selectExpr("*", *(f"'x' AS {c}" for c in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (add(docs.union(blank)), add(none)):
+            out = stage(spark, df, sf_dir)
+            rows = out.collect()
+            assert name == "best_fit_packing" or out.columns == df.columns
+            if name == "line_dedup":
+                assert all(r["n_chars"] == len(r["text"]) and r["_runs"] == "x" for r in rows)
+            if name == "source_mixing":
+                assert all(r["n_chars"] == len(r["text"]) and r["uid"] == r["_uid"] == "x" for r in rows)
+        assert not rows
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
