@@ -17,7 +17,7 @@ component; a null doc_id is ignored as a component's name unless it is alone; an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,7 @@ CELL_ROWS = 200_000
 #: Replicas of a point at a slack of four bits, roughly.
 TYPICAL_REPLICAS = 50
 _COMPARED_AT_ONCE = 1 << 21
+_LINKS_AT_ONCE = 1 << 16
 
 
 def shingle_hashes(text: str, k: int) -> list[int]:
@@ -63,16 +64,20 @@ def majority_bits(hashes: list[int] | np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(values)).tolist())
 
 
+def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The hashes themselves for ``i`` = 0, else mixed again in the ``i``-th way."""
+    if not i:
+        return hashes
+    h = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
 def printed(text: str, shingle: int, words: int) -> list[int]:
     """The fingerprint's words of 64 bits: the first of the hashes themselves, the others of the hashes mixed again."""
-    hashes = shingle_hashes(text, shingle)
-    out = [majority_bits(hashes)]
-    for i in range(1, words):
-        h = np.array(hashes, np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-        out.append(majority_bits(h ^ (h >> np.uint64(32))))
-    return out
+    hashes = np.array(shingle_hashes(text, shingle), np.uint64)
+    return [majority_bits(mixed(hashes, i)) for i in range(words)]
 
 
 def _names(words: int) -> list[str]:
@@ -141,24 +146,25 @@ def spanning_links(home: np.ndarray, points: np.ndarray, threshold: int) -> tupl
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(points: DataFrame, threshold: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
-    """Spanning links a, b between the names of a written table of different fingerprints (name, fp0, ...)."""
-    slack = threshold if slack is None else slack
-    fps, code = _names(words), linear_code(code_dimension(points.count()))
-    ddl = "anchor long, name long, " + "".join(f"{n} long, " for n in fps) + "home boolean"
+def _cells(points: DataFrame, carried: list[str], words: int, compared: int, slack: int, code: np.ndarray) -> DataFrame:
+    """Rows of anchor, h, r, home, the carried columns and c0, c1, ...: the ``compared`` words from the anchor's own on."""
+    fps, shown = _names(words), [f"c{i}" for i in range(compared)]
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    ddl = "anchor int, " + "".join(f"{n} {kinds[n]}, " for n in carried) + "".join(f"{n} long, " for n in shown) + "home boolean"
 
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                columns = {n: part.column(n).to_numpy(zero_copy_only=False) for n in ("name", *fps)}
+                columns = {n: part.column(n).to_numpy(zero_copy_only=False) for n in (*carried, *fps)}
                 for i, n in enumerate(fps):
                     index, anchor, home = anchors_of(columns[n].view(np.uint64), code, slack)
-                    rows = {"anchor": anchor * words + i} | {c: v[index] for c, v in columns.items()} | {"home": home}
+                    rows = {"anchor": (anchor * words + i).astype(np.int32)} | {c: columns[c][index] for c in carried}
+                    rows |= {c: columns[fps[(i + k) % words]][index] for k, c in enumerate(shown)} | {"home": home}
                     yield pa.RecordBatch.from_pydict(rows)
 
     # made twice, once to be counted: that is cheaper than writing them
-    replicas = points.select("name", *fps).mapInArrow(replicate, ddl)
+    replicas = points.select(*carried, *fps).mapInArrow(replicate, ddl)
     # at most (number of replicas / CELL_ROWS) anchors are listed here
     crowded = replicas.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
     crowded = crowded.select("anchor", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("cells"))
@@ -169,61 +175,182 @@ def fingerprint_links(points: DataFrame, threshold: int = 4, words: int = 1, sla
     as_replica = F.transform(span, lambda h: cell(h, block, F.lit(False)))
     as_home = F.transform(span, lambda r: cell(block, r, F.lit(True)))
     spread = F.when(F.col("cells") == 1, F.array(cell(F.lit(0), F.lit(0), F.col("home")))).when(F.col("home"), F.concat(as_replica, as_home)).otherwise(as_replica)
-    cells = dealt.select("anchor", "name", *fps, F.explode(spread).alias("cell")).select("anchor", "name", *fps, "cell.*")
-    cells = cells.repartition("anchor", "h", "r").sortWithinPartitions("anchor", "h", "r")
+    cells = dealt.select("anchor", *carried, *shown, F.explode(spread).alias("cell")).select("anchor", *carried, *shown, "cell.*")
+    return cells.repartition("anchor", "h", "r").sortWithinPartitions("anchor", "h", "r")
+
+
+def _of_each_cell(cells: DataFrame, links: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Different links a, b that ``links`` finds in the cells, one cell at a time."""
 
     def compare(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            cell = pd.concat(parts) if len(parts) > 1 else parts[0]
-            name, first, inverse = np.unique(cell["name"].to_numpy(), return_index=True, return_inverse=True)
-            values = np.stack([cell[n].to_numpy().view(np.uint64)[first] for n in fps], axis=1)
-            a, b = spanning_links(np.unique(inverse[cell["home"].to_numpy()]), values, threshold)
-            return pd.DataFrame({"a": name[a], "b": name[b]})
+        def of(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return links(pd.concat(parts) if len(parts) > 1 else parts[0])
 
         held: list[pd.DataFrame] = []
         key = None
         for frame in frames:
             keys = frame[["anchor", "h", "r"]].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            found = []
+            found, rows = [], 0
             for begin, end in zip([0, *cuts], [*cuts, len(frame)], strict=True):
                 if held and tuple(keys[begin]) != key:
-                    found.append(links(held))
+                    for some in of(held):
+                        found.append(some)
+                        rows += len(some)
+                        if rows > _LINKS_AT_ONCE:
+                            yield pd.concat(found)
+                            found, rows = [], 0
                     held = []
                 held.append(frame.iloc[begin:end])
                 key = tuple(keys[begin])
             if found:
                 yield pd.concat(found)
         if held:
-            yield links(held)
+            yield from of(held)
 
     return cells.mapInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
-    """doc_id, fp0, ... and component_id, the smallest doc_id that links reach.
+def fingerprint_links(points: DataFrame, threshold: int = 4) -> DataFrame:
+    """Spanning links a, b between the names of a written table of different fingerprints (name, fp0)."""
+
+    def links(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        name, first, inverse = np.unique(cell["name"].to_numpy(), return_index=True, return_inverse=True)
+        values = cell["c0"].to_numpy().view(np.uint64)[first]
+        a, b = spanning_links(np.unique(inverse[cell["home"].to_numpy()]), values[:, None], threshold)
+        yield pd.DataFrame({"a": name[a], "b": name[b]})
+
+    return _of_each_cell(_cells(points, ["name"], 1, 1, threshold, linear_code(code_dimension(points.count()))), links)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
+    """doc_id, fp0 and component_id, the smallest doc_id that links of at most ``threshold`` bits reach; no link is missed."""
+    printed_ = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
+    points = materialize(printed_.groupBy("fp0").agg(F.min("doc_id").alias("name")), "simhash-points")
+    roots = connected_components(fingerprint_links(points.where("name is not null"), threshold))
+    named = points.join(roots, points["name"] == roots["node"], "left").select("fp0", F.coalesce("root", "name").alias("component_id"))
+    return printed_.join(named, "fp0").select("doc_id", "fp0", "component_id")
+
+
+#: The stage's parameters: texts are alike from a Jaccard similarity of 4/5 of their sets of five-word shingles on. That
+#: means a cosine of 0.89 and 15.1 % differing bits: 29 of the 192 that are compared at an anchor, with a deviation of
+#: 5; the threshold lies 4.6 deviations above. Candidates are found at anchors of six words; the code's dimension does
+#: not depend on the table, nor then does the recall.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_COMPARED, STAGE_THRESHOLD, STAGE_SLACK, STAGE_DIMENSION = 5, 6, 3, 52, 3, 12
+
+
+def shingle_set(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (hash of the text) and text of the rows that have a doc_id."""
+    return texts_of(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
-    A slack of at least ``threshold`` with one word finds every link of ``threshold`` bits. With more words, replicas
-    are made for each word with a smaller slack, and all words are compared where replicas of any word meet: the wide
-    fingerprint tells similarities apart that 64 bits cannot, at a recall that is measured and not guaranteed.
+
+def set_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, digest of the shingle set (low, high), fp0, ... of the set, and keys k0, ... that like sets often share."""
+    fps, keys = _names(STAGE_WORDS), [f"k{i}" for i in range(STAGE_WORDS)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+
+        rows = np.zeros((batch.num_rows, 2 + 2 * STAGE_WORDS), np.uint64)
+        for at, text in enumerate(batch.column("text").to_pylist()):
+            hashes = shingle_set(text)
+            rows[at, :2] = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.uint64)
+            if len(hashes):
+                mixes = [mixed(hashes, i) for i in range(STAGE_WORDS)]
+                rows[at, 2 : 2 + STAGE_WORDS] = [majority_bits(m) for m in mixes]
+                least = np.array([m.min() for m in mixes])
+                rows[at, 2 + STAGE_WORDS :] = least ^ np.roll(least, 1) * np.uint64(0x9E3779B97F4A7C15)
+        parts = (pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(rows.shape[1]))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *parts], names=["doc_id", "tag", "low", "high", *fps, *keys])
+
+    return _keyed(docs).mapInArrow(per_slice(run), ", ".join(f"{n} long" for n in ("doc_id", "tag", "low", "high", *fps, *keys)))
+
+
+def candidate_pairs(points: DataFrame) -> DataFrame:
+    """All pairs a, b of names of different labels whose fingerprints meet at an anchor and differ little there.
+
+    ``points`` is a written table of name, label, fp0, ...
+    """
+    shown = [f"c{i}" for i in range(STAGE_COMPARED)]
+
+    def links(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        name, label = cell["name"].to_numpy(), cell["label"].to_numpy()
+        values = np.stack([cell[n].to_numpy().view(np.uint64) for n in shown])
+        home = np.flatnonzero(cell["home"].to_numpy())
+        step = max(1, _COMPARED_AT_ONCE // max(1, len(name)))
+        for at in range(0, len(home), step):
+            own = home[at : at + step]
+            apart = np.bitwise_count(values[0, own, None] ^ values[0]).astype(np.uint16)
+            for v in values[1:]:
+                apart += np.bitwise_count(v[own, None] ^ v)
+            i, j = np.nonzero(apart <= STAGE_THRESHOLD)
+            i = own[i]
+            other = label[i] != label[j]
+            if other.any():
+                one, two = name[i[other]], name[j[other]]
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    return _of_each_cell(_cells(points, ["name", "label"], STAGE_WORDS, STAGE_COMPARED, STAGE_SLACK, linear_code(STAGE_DIMENSION)), links)
+
+
+def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b of point names whose shingle sets have a Jaccard similarity of 4/5 or more, counted exactly.
+
+    ``pairs`` is written; ``points`` has name and place, the (doc_id, tag) of a row with the point's text.
     """
-    fps = _names(words)
-    printed_ = materialize(fingerprints(docs, shingle, words), "simhash-fingerprints")
-    points = materialize(printed_.groupBy(*fps).agg(F.min("doc_id").alias("name")), "simhash-points")
-    links = fingerprint_links(points.where("name is not null"), threshold, words, slack)
-    roots = connected_components(links)
-    named = points.join(roots, points["name"] == roots["node"], "left").select(*fps, F.coalesce("root", "name").alias("component_id"))
-    return printed_.join(named, fps).select("doc_id", *fps, "component_id")
+    nodes = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.join(points, "name").select("name", "place.doc_id", "place.tag"), "simhash-wanted")
+    texts = _keyed(docs).join(wanted, ["doc_id", "tag"]).select("name", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.list_(pa.int64()))], names=["name", "hashes"])
 
+    sets = materialize(texts.mapInArrow(per_slice(run), "name long, hashes array<long>"), "simhash-sets").dropDuplicates(["name"])
+    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
-#: Stage parameters: five words, 256 bits. A similarity of 0.8 (Jaccard, of shingle sets) means a cosine of 0.89 and
-#: 38.7 differing bits with a deviation of 5.7; the threshold lies 1.6 deviations above, so that few such pairs are missed.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_THRESHOLD, STAGE_SLACK = 5, 4, 48, 3
+
+def near_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and tag of the rows that leave, and of those that stay but occur more than once.
+
+    Points are the different shingle sets. Sets that share a key are first compared with the smallest of them, which
+    joins most of any large group of near copies in as many steps as it has members. Then all candidate pairs that this
+    left apart are compared. Only exactly verified pairs join points.
+    """
+    prints = materialize(set_prints(docs), "simhash-prints")
+    rest = [*_names(STAGE_WORDS), *(f"k{i}" for i in range(STAGE_WORDS))]
+    points = prints.groupBy("low", "high").agg(F.min(F.struct("doc_id", "tag")).alias("place"), *(F.first(n).alias(n) for n in rest))
+    points = materialize(points.withColumn("name", F.monotonically_increasing_id()), "simhash-points")
+    keyed = points.select("name", F.posexplode(F.array(*(f"k{i}" for i in range(STAGE_WORDS)))).alias("at", "key"))
+    least = keyed.groupBy("at", "key").agg(F.min("name").alias("a"), F.max("name").alias("most")).where("a < most")
+    stars = materialize(keyed.join(least, ["at", "key"]).where("a < name").select("a", F.col("name").alias("b")).distinct(), "simhash-stars")
+    near = materialize(alike(stars, points, docs), "simhash-near")
+    roots = connected_components(near)
+    labelled = points.join(roots, points["name"] == roots["node"], "left").select("name", F.coalesce("root", "name").alias("label"), *_names(STAGE_WORDS))
+    labelled = materialize(labelled, "simhash-labelled")
+    pairs = materialize(candidate_pairs(labelled).join(stars, ["a", "b"], "left_anti"), "simhash-pairs")
+    roots = connected_components(near.union(alike(pairs, points, docs)))
+    of = points.join(roots, points["name"] == roots["node"], "left").select("low", "high", "place", F.coalesce("root", "name").alias("component"))
+    kept = of.groupBy("component").agg(F.min("place").alias("kept"))
+    rows = prints.groupBy("doc_id", "tag", "low", "high").agg(F.count("*").alias("n"))
+    marked = rows.join(of.select("low", "high", "component"), ["low", "high"]).join(kept, "component")
+    marked = marked.withColumn("leaves", F.struct("doc_id", "tag") != F.col("kept")).where("leaves or n > 1")
+    marked = materialize(marked.select("doc_id", "tag", "leaves"), "simhash-marked")
+    return marked.where("leaves").select("doc_id", "tag"), marked.where("not leaves").select("doc_id", "tag")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of the smallest doc_id of each near-duplicate group; null doc_ids stay."""
-    found = near_duplicates(docs, STAGE_SHINGLE, STAGE_THRESHOLD, STAGE_WORDS, STAGE_SLACK)
-    gone = fresh("_leaving", docs)
-    leaving = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(leaving, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
+    """One row, with all its columns, of each near-duplicate group: that of the smallest doc_id; null doc_ids stay."""
+    doc_id, tag = fresh("_leaving", docs), fresh("_text_tag", docs)
+    leaving, repeated = near_rows(docs)
+    key = lambda df: df.select(F.col("doc_id").alias(doc_id), F.col("tag").alias(tag))
+    same = (docs["doc_id"].cast("long") == F.col(doc_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(tag))
+    once = docs.join(key(leaving.union(repeated)), same, "left_anti")
+    return once.union(docs.join(key(repeated), same).dropDuplicates([doc_id, tag]).drop(doc_id, tag))
