@@ -18,8 +18,10 @@ doc_id and equal text are one document for the comparison and keep the same line
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,17 +112,16 @@ def _without(text: str, runs: list[dict] | None) -> tuple[str, int, int]:
     return "\n".join(line for i, line in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
-def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents, with all their columns, without repeated lines; n_chars, if there, is counted again."""
-    runs, names = fresh("_runs", docs), docs.columns
-    joined = _join_runs(docs, repeats(docs, least_words), runs)
+def _cut(joined: DataFrame, docs: DataFrame, runs: str, cut) -> DataFrame:
+    """``docs`` with ``cut`` applied to each text and its runs; n_chars, if there, is counted again."""
+    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
             for few in slices(batch):
-                texts = [t if t is None else _without(t, r)[0] for t, r in zip(few.column("text").to_pylist(), few.column(runs).to_pylist(), strict=True)]
+                texts = [t if t is None else cut(t, r) for t, r in zip(few.column("text").to_pylist(), few.column(runs).to_pylist(), strict=True)]
                 columns = {name: few.column(name) for name in names} | {"text": pa.array(texts, pa.string())}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], few.column("n_chars").type)
@@ -129,6 +130,12 @@ def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> D
     return joined.mapInArrow(run, docs.schema)
 
 
+def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents, with all their columns, without repeated lines; n_chars, if there, is counted again."""
+    runs = fresh("_runs", docs)
+    return _cut(_join_runs(docs, repeats(docs, least_words), runs), docs, runs, lambda text, r: _without(text, r)[0])
+
+
 def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed (lines) and kept_sha256 of the text that is left."""
     narrow = docs.select("doc_id", "text")
@@ -144,3 +151,109 @@ def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     return _join_runs(narrow, repeats(docs, least_words), "_runs").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+
+
+_WORD = re.compile(r"\S+")
+#: Odd factors of the two rolling hashes of runs of words.
+_BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Two hashes of 64 bits of each word."""
+    from xxhash import xxh3_128_digest
+
+    return np.frombuffer(b"".join([xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words]), np.uint64).reshape(-1, 2)
+
+
+def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Two rolling hashes of each run of ``n`` words, equal wherever the run stands."""
+    total = np.zeros((len(hashes) - n + 1, 2), np.uint64)
+    factor = np.ones(2, np.uint64)
+    for i in range(n):
+        total += hashes[i : len(hashes) - n + 1 + i] * factor
+        factor = factor * _BASES
+    total = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return total ^ (total >> np.uint64(29))
+
+
+def anchors(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shorter runs of words that are the smallest in some run of ``least_words`` words (winnowing)."""
+    k = (least_words + 1) // 2
+    if len(hashes) < least_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    short = run_hashes(hashes, k)[:, 0]
+    spans = np.lib.stride_tricks.sliding_window_view(short, least_words - k + 1)
+    at = np.unique(np.concatenate([np.arange(b, min(b + 65536, len(spans))) + spans[b : b + 65536].argmin(axis=1) for b in range(0, len(spans), 65536)]))
+    return at, short[at]
+
+
+def _rows_of(docs: DataFrame, find, names: list[str]) -> DataFrame:
+    """doc_id, tag, at and the named longs that ``find`` gives for each text (and its _ats, if there are any)."""
+    columns = ["doc_id", "tag", "at", *names]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for batch in batches:
+            for few in slices(batch):
+                given = few.column("_ats").to_pylist() if "_ats" in few.schema.names else [None] * few.num_rows
+                found = [find(text.split(), ats) for text, ats in zip(few.column("text").to_pylist(), given, strict=True)]
+                index = pa.array(np.repeat(np.arange(few.num_rows), [len(f[0]) for f in found]))
+                parts = [np.concatenate([f[i] for f in found]) for i in range(1 + len(names))]
+                arrays = [few.column("doc_id").take(index), few.column("tag").take(index), pa.array(parts[0].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in parts[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return docs.mapInArrow(run, "doc_id long, tag long, at int" + "".join(f", {n} long" for n in names))
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, tag and runs (array of places): where runs of ``least_words`` words begin that occur earlier.
+
+    Equal runs share an anchor at the same place in them. Only around anchors that occur twice are runs hashed whole and
+    compared; all of them are, so that a passage is found word by word past any line's edges.
+    """
+    place, k = F.struct("doc_id", "tag", "at"), (least_words + 1) // 2
+
+    def selected(words: list[str], _: None) -> tuple[np.ndarray, ...]:
+        return anchors(word_hashes(words), least_words)
+
+    def around(words: list[str], ats: list[int]) -> tuple[np.ndarray, ...]:
+        begins = np.unique((np.array(ats)[:, None] - np.arange(least_words - k + 1)).ravel())
+        begins = begins[(begins >= 0) & (begins <= len(words) - least_words)]
+        whole = run_hashes(word_hashes(words), least_words)[begins]
+        return begins, np.ascontiguousarray(whole[:, 0]), np.ascontiguousarray(whole[:, 1])
+
+    found = materialize(_rows_of(_tagged(docs), selected, ["anchor"]), "passage-anchors")
+    shared = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
+    hits = found.join(shared, "anchor", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("runs"))
+    likely = _join_runs(docs.select("doc_id", "text"), materialize(hits, "passage-hits"), "_ats").where("_ats is not null")
+    text = F.coalesce("text", F.lit(""))
+    likely = likely.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), "_ats")
+    runs = materialize(_rows_of(likely, around, ["low", "high"]), "passage-runs")
+    first = runs.groupBy("low", "high").agg(F.min(place).alias("earliest"), F.max(place).alias("last")).where("earliest <> last")
+    later = runs.join(first.select("low", "high", "earliest"), ["low", "high"]).where(place > F.col("earliest"))
+    # a run that overlaps its first occurrence is part of it
+    itself = F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (F.col("tag") == F.col("earliest.tag")) & (F.col("at") < F.col("earliest.at") + least_words)
+    return later.where(~itself).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("runs"))
+
+
+def _without_words(text: str, begins: list[int] | None, least_words: int) -> str:
+    if not begins:
+        return text
+    spans = [m.span() for m in _WORD.finditer(text)]
+    parts, at, covered = [], 0, -1  # covered: the last word that is gone
+    for begin in sorted(begins):
+        if begin > covered + 1 or covered < 0:
+            if covered >= 0:
+                at = spans[covered][1]
+            parts.append(text[at : spans[begin][0]])
+        covered = begin + least_words - 1
+    parts.append(text[spans[covered][1] :])
+    return "".join(parts)
+
+
+def without_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents, with all their columns, without runs of words that occur earlier, wherever they begin or end in a line."""
+    runs = fresh("_runs", docs)
+    joined = _join_runs(docs, materialize(repeated_passages(docs, least_words), "passages"), runs)
+    return _cut(joined, docs, runs, lambda text, begins: _without_words(text, begins, least_words))
