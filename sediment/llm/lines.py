@@ -2,9 +2,9 @@
 
 A window is a shortest run of lines with at least ``least_words`` words, grown forward from its first line or backward
 from its last; a long line is a window alone. The smallest line hash of a window is its fingerprint, so equal runs of
-enough words have equal fingerprints at equal places: every repeated run is guaranteed to share some. Positions are
-joined on fingerprints, which leaves only windows whose fingerprint occurs twice. From a shared fingerprint the match
-is extended both ways, to the forward and the backward windows around it, whose whole content is then compared: a
+enough words have equal fingerprints at equal places: every repeated run is guaranteed to share some. Windows are
+left out unless their fingerprint occurs twice. In place of a join of positions and an extension both ways,
+all forward and backward windows that are left are compared by a 128-bit hash of their whole content: a
 window that begins earlier in the corpus (by doc_id, then line) makes the later one a repeat, and all lines of repeats
 are deleted. A maximal repeated run of at least ``least_words`` words is the union of such windows, so all of it goes
 and its first occurrence stays.
