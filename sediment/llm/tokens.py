@@ -38,7 +38,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._drops_space = not self._tokenizer.encode(" ", add_special_tokens=False).ids
         self._alphabet = _byte_letters()
         self._known: dict[str, bytes] = {}
