@@ -1,9 +1,9 @@
-"""Operator 9: repeated byte strings, by longest previous factors in suffix order.
+"""Operator 9: repeated byte strings, by the smallest owner of each window of fixed length.
 
-A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id. Whether a
-position starts such a string is a question about its longest previous factor: the longest match with a smaller
-document, which the nearest smaller owners on either side in suffix order give. A suffix array of a whole corpus does
-not fit one machine, so suffixes are dealt into groups in which all matches that matter stay together:
+A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id. That asks
+only whether a position's longest previous factor reaches ``length``, not how long it is, so no factor array and no
+nearest smaller owners are made: windows of ``length`` bytes are sorted within groups, and the smallest document of each
+run of equal windows stands in for them. All matches that matter stay together in a group:
 
 1. Each window of ``length`` bytes is named by an anchor, the smallest hash of its GRAM-byte strings. Equal windows
    have equal anchors at equal places. The bytes that hold an anchor's windows are its region. Anchors travel to
@@ -14,8 +14,8 @@ not fit one machine, so suffixes are dealt into groups in which all matches that
    Anchors with very many different regions (found by counting in a part of the documents) take another exact way:
    each of their windows is hashed whole to 128 bits, and Spark aggregates the smallest document of each hash, so no
    task ever gathers such a group.
-3. Regions to compare are gathered by their anchor's hash. There their windows are put into suffix order, and each
-   start gets its smallest earlier owner.
+3. Regions to compare are gathered by their anchor's hash. There their windows are sorted, and each start gets the
+   smallest owner of its run of equal windows.
 4. The covered stretches go back to the documents, where the bytes are removed and the rest is hashed.
 
 A document equal to a smaller one's whole text has equal regions everywhere, so step 2 covers it without any bytes.
