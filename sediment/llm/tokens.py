@@ -56,6 +56,8 @@ class PieceEncoder:
             return self._with_space(text)
         if self._drops_space:
             return text.replace("\n", " ").split(" ")
+        if not words:  # blanks alone are one run to the end
+            return [text]
         return _PIECES_WITH_ODD_SPACE.findall(text)
 
     @staticmethod

@@ -42,7 +42,6 @@ def none(spark):
 
 def _ids(name: str, end: int) -> dict[int, bytes]:
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes() for i, t in enumerate(_texts())}
 
 
