@@ -1,15 +1,16 @@
 """Operator 7: mixing sources to target weights, by blocks of words.
 
 The documents of a source, in a fixed order, are one long row of words that is cut into blocks of ``block`` words.
-Targets follow from the weights, capped at a multiple of the source's size. The output is dealt into shards: how many
-blocks of each source a shard gets is a multinomial draw, conditioned on the sources' totals. The totals are split
-along a binary tree over the shards, each node with its own seed, so any task can work out the counts of its shards,
-and how many blocks the shards before took, without the others. A source's n-th block slot is mapped through the
-source's pseudorandom permutation of its block indexes (a new one each pass), and the drawn indexes are joined with
-the blocks.
+Targets follow from the weights, capped at a multiple of the source's size. The output is dealt into shards: the slots
+of each source fall on the shards by a multinomial draw, so that a shard's source counts are multinomial given its size
+and the sources' totals are kept. The draw is made along a binary tree over the shards, a binomial draw at each node
+with a seed of its own, at every size alike; so any task can work out the counts of its shards, and how many slots the
+shards before took, without the others. A source's n-th block slot is mapped through the source's pseudorandom
+permutation of its block indexes (a new one each pass), and the drawn indexes are joined with the blocks.
 
-A document's place in its source is a sum over hash buckets plus a sum within the bucket, so a source that holds a
-third of the corpus is not ordered in one task. Only one row for each source reaches the driver.
+A document's place in its source is a sum over hash buckets of (doc_id, text) plus a sum within the bucket, so neither a
+source that holds a third of the corpus nor a doc_id (or null) that many rows share is ordered in one task. Only one row
+for each source reaches the driver.
 
 Defined results: null text is empty text, of size 0, of which nothing is taken; null source is a source of its own;
 an empty table gives no rows; repeated rows count each, though which of two equal rows gives its words is open; other
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,31 +31,27 @@ from pyspark.sql import functions as F
 from .common import bucket_of, fresh, materialize, per_slice, power_of_two
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Block slots to an output shard.
+#: Block slots to an output shard, on average.
 SHARD_SLOTS = 4096
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 8192
 #: Up to so many sources, their small table is broadcast.
 BROADCAST_SOURCES = 20_000
-#: numpy's hypergeometric draw takes fewer than this many.
-_DRAW_LIMIT = 1_000_000_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
     """Weighted shares of ``share`` times all sizes, none above ``most`` times its size; the excess is shared again."""
-    total, out = share * sum(sizes), [0.0] * len(sizes)
-    free, left = [i for i, s in enumerate(sizes) if s > 0], total
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in free if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = unit * weights[i]
+    size, weight, out = np.array(sizes, float), np.array(weights, float), np.zeros(len(sizes))
+    free, left = size > 0, share * float(sum(sizes))
+    while free.any():
+        wanted = left / weight[free].sum() * weight
+        full = free & (wanted > most * size)
+        if not full.any():
+            out[free] = wanted[free]
             break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        free = [i for i in free if i not in set(full)]
-    return out
+        out[full] = most * size[full]
+        left -= out[full].sum()
+        free &= ~full
+    return out.tolist()
 
 
 def _number(*parts: object) -> int:
@@ -81,41 +77,41 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(shard: int, shards: int, totals: tuple[int, ...], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of each source in the shard, and in the shards before it."""
-    low, high, counts, before = 0, shards, np.array(totals, np.int64), np.zeros(len(totals), np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        left = _left_half(low, middle, high, tuple(counts.tolist()), seed)
-        if shard < middle:
-            counts, high = left, middle
-        else:
-            counts, before, low = counts - left, before + left, middle
-    return counts, before
+def shard_draws(low: int, high: int, shards: int, totals: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each of the shards from low to high: its number, the sources it gets slots of, how many, and how many the shards before got."""
 
+    def walk(a: int, b: int, keys: np.ndarray, counts: np.ndarray, before: np.ndarray):
+        if b <= low or a >= high or not len(keys):
+            return
+        if b - a == 1:
+            yield a, keys, counts, before
+            return
+        middle = (a + b) // 2
+        left = np.random.default_rng([seed, a, b]).binomial(counts, (middle - a) / (b - a))
+        some = left > 0
+        yield from walk(a, middle, keys[some], left[some], before[some])
+        some = counts > left
+        yield from walk(middle, b, keys[some], (counts - left)[some], (before + left)[some])
 
-@lru_cache(maxsize=1 << 16)
-def _left_half(low: int, middle: int, high: int, counts: tuple[int, ...], seed: int) -> np.ndarray:
-    counts_ = np.array(counts, np.int64)
-    total = sum(counts)
-    wanted = total * (middle - low) // (high - low)
-    if total < _DRAW_LIMIT:
-        return np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts_, wanted, method="marginals")
-    left = counts_ * (middle - low) // (high - low)  # the spread of so large a draw is below one in ten thousand
-    left[np.argsort(left - counts_ * (middle - low) / (high - low), kind="stable")[: wanted - int(left.sum())]] += 1
-    return left
+    keys = np.flatnonzero(totals)
+    yield from walk(0, shards, keys, totals[keys], np.zeros(len(keys), np.int64))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source and size (words), written: uid names the row from here on."""
+    """uid, doc_id, source, size (words) and tag (hash of the text), written: uid names the row from here on."""
+    return materialize(_sizes(docs.select(*(docs[c] for c in ("doc_id", "source", "text")), F.monotonically_increasing_id().alias("uid")), "uid"), "mixing-sizes")
+
+
+def _sizes(docs: DataFrame, uid: str) -> DataFrame:
+    """doc_id, source, tag, uid and size (words) of documents whose rows are named by the column ``uid``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size = [len(t.split()) for t in batch.column("text").to_pylist()]  # of bytes: at the six ASCII blanks
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64())], names=["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "tag", "uid")), pa.array(size, pa.int64())], names=["doc_id", "source", "tag", "uid", "size"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = narrow.mapInArrow(per_slice(run), "doc_id long, source string, size long")
-    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "mixing-sizes")
+    text = F.coalesce(docs["text"], F.lit(""))
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(text).alias("tag"), docs[uid].alias("uid"), text.cast("binary").alias("text"))
+    return narrow.mapInArrow(per_slice(run), "doc_id long, source string, tag long, uid long, size long")
 
 
 def source_table(rows: DataFrame, block: int, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[tuple]:
@@ -140,10 +136,10 @@ def _with_source(rows: DataFrame, sources: list[tuple]) -> DataFrame:
 def block_parts(rows: DataFrame, block: int) -> DataFrame:
     """Where each document meets each block: key, index, uid, first (word of the document) and n (words)."""
     buckets = power_of_two(rows.count() / ROWS_PER_BUCKET)
-    rows = rows.where("size > 0").select("uid", "doc_id", "key", "size", bucket_of(buckets, "doc_id").alias("bucket"))
+    rows = rows.where("size > 0").select("uid", "doc_id", "tag", "key", "size", bucket_of(buckets, "doc_id", "tag").alias("bucket"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("doc_id", "tag", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).hint("merge").join(bases, ["key", "bucket"])
     placed = placed.select("uid", "key", "size", (F.col("at") + F.col("base")).alias("at"))
     b = F.lit(block)
@@ -155,29 +151,32 @@ def block_parts(rows: DataFrame, block: int) -> DataFrame:
 
 def draw(spark: SparkSession, sources: list[tuple], seed: int) -> DataFrame:
     """The mix: shard, slot (its place among the shard's), key, pass and index of each drawn block."""
-    totals, blocks = tuple(s[5] for s in sources), [s[3] for s in sources]
-    shards = max(1, -(-sum(totals) // SHARD_SLOTS))
+    totals, blocks = np.array([s[5] for s in sources], np.int64), [s[3] for s in sources]
+    shards = max(1, -(-int(totals.sum()) // SHARD_SLOTS))
+    tasks = min(shards, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    edges = [shards * i // tasks for i in range(tasks + 1)]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shard in frame["id"].tolist():
-                counts, before = shard_counts(shard, shards, totals, seed)
-                parts = []
-                for key in np.flatnonzero(counts):
-                    nth = np.arange(before[key], before[key] + counts[key])
-                    turn = nth // blocks[key]
-                    index = np.empty(len(nth), np.int64)
-                    for t in np.unique(turn):
-                        at = turn == t
-                        index[at] = permuted(nth[at] % blocks[key], blocks[key], _number(seed, int(key), int(t)))
-                    parts.append(pd.DataFrame({"key": np.int32(key), "turn": turn.astype(np.int32), "index": index}))
-                if parts:
-                    dealt = pd.concat(parts, ignore_index=True)
-                    order = np.random.default_rng([seed, shards, shard]).permutation(len(dealt))
-                    yield dealt.iloc[order].assign(shard=shard, slot=np.arange(len(dealt)))[["shard", "slot", "key", "turn", "index"]]
-
-    tasks = min(shards, max(1, shards // 16))
-    return spark.range(0, shards, 1, tasks).mapInPandas(run, "shard long, slot long, key int, turn int, index long")
+            for task in frame["id"].tolist():
+                for shard, keys, counts, before in shard_draws(edges[task], edges[task + 1], shards, totals, seed):
+                    yield slots(shard, keys.tolist(), counts, before)
+
+    def slots(shard: int, keys: list[int], counts: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+        parts = []
+        for key, count, first in zip(keys, counts.tolist(), before.tolist(), strict=True):
+            nth = np.arange(first, first + count)
+            turn = nth // blocks[key]
+            index = np.empty(count, np.int64)
+            for t in np.unique(turn):
+                at = turn == t
+                index[at] = permuted(nth[at] % blocks[key], blocks[key], _number(seed, key, int(t)))
+            parts.append(pd.DataFrame({"key": np.int32(key), "turn": turn.astype(np.int32), "index": index}))
+        dealt = pd.concat(parts, ignore_index=True)
+        order = np.random.default_rng([seed, shards, shard]).permutation(len(dealt))
+        return dealt.iloc[order].assign(shard=shard, slot=np.arange(len(dealt)))[["shard", "slot", "key", "turn", "index"]]
+
+    return spark.range(0, tasks, 1, tasks).mapInPandas(run, "shard long, slot long, key int, turn int, index long")
 
 
 def taken_parts(rows: DataFrame, sources: list[tuple], block: int, seed: int) -> DataFrame:
@@ -204,7 +203,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, seed: int = 7, weights: tu
     """
     uid, taken, names = fresh("_uid", docs), fresh("_parts", docs), docs.columns
     kept = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mixing-documents")
-    rows = materialize(sized_with_uid(kept, uid), "mixing-sizes")
+    rows = materialize(_sizes(kept, uid), "mixing-sizes")
     sources = source_table(rows, block, weights, share, most)
     parts = taken_parts(rows, sources, block, seed).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "n", "times"))).alias(taken))
     joined = kept.join(parts.withColumnRenamed("uid", uid), uid).drop(uid)
@@ -246,14 +245,3 @@ def mixed_documents(docs: DataFrame, block: int = 64, seed: int = 7, weights: tu
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
-
-
-def sized_with_uid(kept: DataFrame, uid: str) -> DataFrame:
-    """doc_id, source, size (words) and uid of documents that have a column of row names already."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size = [len(t.split()) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64()), batch.column("uid")], names=["doc_id", "source", "size", "uid"])
-
-    narrow = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col(uid).alias("uid"))
-    return narrow.mapInArrow(per_slice(run), "doc_id long, source string, size long, uid long")
