@@ -2,7 +2,8 @@
 
 A pattern proposes spans; a validator (part sizes, digit counts, Luhn, mod-97) confirms them; words just before a span
 raise its score, and spans of weak kinds count only with them. Positions are code points, ends exclusive. A span's
-place follows from the lengths of the matches and of the text between them.
+place follows from the lengths of the matches and of the text between them; these are added up within groups of
+MATCHES_AT_ONCE matches and then over the groups, so that the work follows the length of the text.
 
 Patterns with repeated groups are applied to a text of equal length in which the separators inside a run are replaced
 by a private-use character; so each is a plain run of characters, which takes linear time and no deep recursion.
@@ -24,15 +25,22 @@ MORE_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 CONTEXT_CHARS = 40
 KEEP_FROM = 0.5
+MATCHES_AT_ONCE = 256
 _INNER, _OTHER = "\ue000", "\ue001"
 _LOCAL = rf"[A-Za-z0-9._%+{_INNER}-]"
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in _IBAN_LENGTHS.items())
 #: pattern, prior score, pattern of context words before the span
 _RULES = {
     "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++{_INNER}[A-Za-z0-9{_INNER}-]++", 0.9, "(?i)mail|contact|write"),
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.7, "(?i)\\bip\\b|address|host|server"),
     "card": (rf"(?<![0-9{_INNER}])[0-9{_INNER}]{{14,37}}(?![0-9{_INNER}])", 0.8, "(?i)card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "(?i)phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.9, "(?i)iban|account|bank"),
+    "iban": (rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", 0.9, "(?i)iban|account|bank"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, "(?i)ssn|social|security"),
     "secret": (r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}(?![A-Za-z0-9_])", 0.3, "(?i)(?:token|key|secret|passw(?:or)?d)[\"'\\s]*[:=]\\s*[\"']?$"),
 }
@@ -87,24 +95,42 @@ def _prepared(kind: str, text: Column) -> Column:
 
 
 _SPAN = "array<struct<start:int,end:int,kind:string,score:double>>"
+_STATE = f"struct<at:int,context:string,out:{_SPAN}>"
 
 
 def _spans(kind: str, text: Column, prepared: Column) -> Column:
     pattern, prior, words = _RULES[kind]
     matches = F.regexp_extract_all(prepared, F.lit(pattern), F.lit(0))
-    both = F.zip_with(matches, F.split(prepared, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    start = lambda state, x: state["at"] + x["gap"]
+    both = F.zip_with(matches, F.split(prepared, pattern, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    both = F.filter(both, lambda x: x["m"].isNotNull())
+    end_of = lambda t: F.right(t, F.lit(CONTEXT_CHARS))
 
     def add(state: Column, x: Column) -> Column:
-        begin = start(state, x)
-        before = F.substring(text, F.greatest(begin - CONTEXT_CHARS, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT_CHARS)))
+        begin = state["at"] + F.length(x["gap"])
+        end, before = begin + F.length(x["m"]), end_of(F.concat(state["context"], end_of(x["gap"])))
         score = F.lit(prior) + F.when(before.rlike(words), F.lit(1 - prior) / 2).otherwise(F.lit(0.0))
-        span = F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         keep = _valid(kind, x["m"]) & (score >= KEEP_FROM)
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(_SPAN).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), begin, add, lambda state: state["out"])
+        out = F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(_SPAN)
+        return F.struct(end.alias("at"), end_of(F.concat(before, x["m"])).alias("context"), out.alias("out"))
+
+    def group(all_: Column, i: Column) -> Column:
+        """The spans of one group of matches, as if the text began behind the match before it."""
+        last = F.get(all_, i - 1)
+        before = F.coalesce(end_of(F.concat(last["gap"], last["m"])), F.lit(""))
+        begin = F.struct(F.lit(0).alias("at"), before.alias("context"), F.array().cast(_SPAN).alias("out")).cast(_STATE)
+        return F.aggregate(F.slice(all_, i + 1, F.lit(MATCHES_AT_ONCE)), begin, add)
+
+    def shifted(state: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["groups"], F.array(moved)).cast(f"array<{_SPAN}>").alias("groups"))
+
+    def whole(all_: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(MATCHES_AT_ONCE)), lambda i: group(all_, i))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("groups"))
+        return F.aggregate(groups, begin, shifted, lambda state: F.flatten(state["groups"]))
+
+    found = F.get(F.transform(F.array(both), whole), F.lit(0))  # a lambda's variable is computed once, however often it is read
     return F.when(text.rlike(_MAY_HAVE[kind]), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -127,4 +153,4 @@ def joined(kinds: tuple[str, ...]) -> Column:
 def pii_report(docs: DataFrame) -> DataFrame:
     found = find_pii(docs)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(BASE_KINDS), 256).alias("base_sha256"), joined(KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(BASE_KINDS), 256).alias("base_sha256"), joined(KINDS).alias("spans"), sum(map(F.size, KINDS)).cast("long").alias("n_spans"))
