@@ -240,15 +240,15 @@ def test_substrings_equal_brute_force(docs, none):
             if first[b[p : p + 50]] < r["doc_id"]:
                 gone[p : p + 50] = True
         assert bytes(r["kept"]) == np.frombuffer(b, np.uint8)[~gone].tobytes() and r["n_removed"] == gone.sum()
+        assert r["n_spans"] == len(re.findall("1+", "".join(map(str, gone.astype(int)))))
     assert substrings.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("crowded_from", [None, 0, 5])
-def test_substrings_of_many_overlapping_copies(spark, monkeypatch, crowded_from):
+@pytest.mark.parametrize("limits", [{}, {"MOST_IN_SET": 0}, {"MOST_IN_SET": 3}, {"MOST_IN_BUCKET": 0}, {"MOST_IN_BUCKET": 5}, {"MOST_IN_BUCKET": 4, "HELD_AT_ONCE": 50}, {"MOST_IN_SET": 4, "MOST_IN_BUCKET": 3, "HELD_AT_ONCE": 9}])
+def test_substrings_of_many_overlapping_copies(spark, monkeypatch, limits):
     """Parts of a few passages in all documents, dealt over partitions, with ids that are repeated; also with all or some anchors crowded."""
-    if crowded_from is not None:
-        monkeypatch.setattr(substrings, "LOOK_AT", 1)
-        monkeypatch.setattr(substrings, "CROWDED_FROM", crowded_from)
+    for name, value in limits.items():
+        monkeypatch.setattr(substrings, name, value)
     rng = random.Random(9)
     passages = ["".join(rng.choice("abc d") for _ in range(400)) for _ in range(4)]
     texts = []
@@ -271,9 +271,10 @@ def test_substrings_of_many_overlapping_copies(spark, monkeypatch, crowded_from)
         for p in range(len(b) - 49):
             if first[b[p : p + 50]] < i:
                 gone[p : p + 50] = True
-        expected.append((i, len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        n_spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+        expected.append((i, len(b), int(gone.sum()), n_spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
-    found = substrings.remove_repeats(docs, keep=False).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    found = substrings.remove_repeats(docs, keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
