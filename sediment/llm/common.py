@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and no executor holds the only copy."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+#: Where the tables lie that materialize wrote.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialized tables that no later step reads: all that was made from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        if (path := _written.pop(df, None)) and (jvm := getattr(spark, "_jvm", None)):  # elsewhere the files stay until the folder is cleared
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(n, 1))))
 
 
+def powers(n: int, base: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2 ** 64."""
+    return _powers(power_of_two(n), base)[:n] if n <= 1 << 20 else _grown(n, base)
+
+
+@cache
+def _powers(size: int, base: int) -> np.ndarray:
+    return _grown(size, base)
+
+
+def _grown(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """The two columns the operators read; other columns, whatever their names, are left out. Null text is empty text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
