@@ -3,7 +3,8 @@
 HTML is parsed into an ordered sequence of text and media-reference items. A reference names its payload by digest
 (``sha256:...``); a join on the digest resolves it against a media store, while position and caption stay with the
 reference. The store keeps lossless images (PNG, 8-bit samples); it is read back, decoded and described where it lies,
-and only the small descriptions are joined, never the payloads.
+and only the small descriptions are joined, never the payloads. They are written first, so that a digest which a third
+of all references name is skewed on one side of the join only, which Spark splits at run time.
 
 Defined results: null HTML is an empty page without items; a reference whose digest is not in the store keeps null
 media columns; equal payloads have one digest and one description; null text is an empty text, whose payload is one
@@ -152,14 +153,15 @@ def parse_sequence(html: str | None) -> list[dict]:
     return [{"position": i, **dict(zip(names, item, strict=True)), "digest": item[2][7:] if (item[2] or "").startswith("sha256:") else None} for i, item in enumerate(parser.items)]
 
 
-def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and items: each page's ordered text and media references."""
+def sequences(pages: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns (numbers that name the page) and items: each page's ordered text and media references."""
+    kinds = dict(pages.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(h) for h in batch.column("html").to_pylist()], pa.list_(_ITEM))], names=["key", "items"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array([parse_sequence(h) for h in batch.column("html").to_pylist()], pa.list_(_ITEM))], names=[*carried, "items"])
 
-    narrow = pages.select(F.col(key).cast("long").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
-    return narrow.mapInArrow(per_slice(run, "html"), f"key long, items {_ITEM_DDL}")
+    narrow = pages.select(*carried, F.coalesce("html", F.lit("")).alias("html"))
+    return narrow.mapInArrow(per_slice(run, "html"), "".join(f"{c} {kinds[c]}, " for c in carried) + f"items {_ITEM_DDL}")
 
 
 def read_store(store: DataFrame) -> DataFrame:
@@ -174,25 +176,33 @@ def read_store(store: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[n.split()[0] for n in ddl.split(", ")])
 
     ddl = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store.select("digest", "media").mapInArrow(per_slice(run, "media"), ddl).dropDuplicates(["digest"])
+    read = store.select("digest", "media").mapInArrow(per_slice(run, "media"), ddl)
+    rest = [n.split()[0] for n in ddl.split(", ")][1:]
+    return materialize(read.groupBy("digest").agg(*(F.min(n).alias(n) for n in rest)), "media-described")  # equal within a digest
 
 
 def resolve(sequenced: DataFrame, described: DataFrame) -> DataFrame:
-    """One row for each media reference: key, position, caption, digest and the store's columns (null if not there)."""
-    refs = sequenced.select("key", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
-    return refs.select("key", "item.position", "item.caption", "item.digest").join(described, "digest", "left")
+    """One row for each media reference: the page's columns, position, caption, digest and the store's columns (null if not there)."""
+    of_page = [c for c in sequenced.columns if c != "items"]
+    refs = sequenced.select(*of_page, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    return refs.select(*of_page, "item.position", "item.caption", "item.digest").join(described, "digest", "left")
 
 
 def interleaved(pages: DataFrame, described: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and items in order, each media item with its resolved description."""
-    sequenced = sequences(pages, key)
-    found = resolve(sequenced, described).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("media_sha256", "media_bytes", "feature")))).alias("media"))
+    """The pages' key and items in order, each media item with its resolved description.
+
+    ``key`` names a page; of pages with equal keys the items are equal as far as positions are.
+    """
+    named = pages.withColumn("_row", F.monotonically_increasing_id())
+    sequenced = materialize(sequences(named, key, "_row"), "media-sequences")
+    found = resolve(sequenced, described).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("media_sha256", "media_bytes", "feature")))).alias("media"))
     items = F.transform("items", lambda x: x.withField("media", F.try_element_at("media", x["position"])))
-    return sequenced.join(found, "key", "left").select("key", items.alias("items"))
+    return sequenced.join(found, "_row", "left").select(key, items.alias("items"))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Each document as a page that shows its text as one image, written with the image: doc_id, n_bytes, html, digest, media."""
+    """Each document as a page that tells its size and shows its text as one image, written with the image: doc_id,
+    n_bytes, html, digest, media. Equal texts have equal pages."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -201,10 +211,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
             for few in slices(batch):
                 rows = []
                 for doc_id, text in zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True):
-                    media = png_encode(payload_of(text))
+                    media, n_bytes = png_encode(payload_of(text)), len(text.encode("utf-8", "surrogatepass"))
                     digest = hashlib.sha256(media).hexdigest()
-                    html = f'<figure><img src="sha256:{digest}"><figcaption>Document {doc_id}</figcaption></figure>'
-                    rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), html, digest, media))
+                    html = f'<p>A text of {n_bytes} bytes:</p><figure><img src="sha256:{digest}"><figcaption>Its bytes, {ROW_BYTES} to a row</figcaption></figure>'
+                    rows.append((doc_id, n_bytes, html, digest, media))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "html", "digest", "media"])
 
@@ -212,16 +222,16 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
+    """doc_id and what its image's reference resolves to: sizes, hashes, feature, and the place and caption in the page."""
     stored = store_texts(docs)
-    # the page's key carries n_bytes along, so that repeated doc_ids keep their own
-    pages = stored.select("doc_id", "n_bytes", "html")
-    described = read_store(stored)
+    found = resolve(sequences(stored, "doc_id", "n_bytes"), read_store(stored))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [next(x for x in parse_sequence(h) if x["kind"] == "media") for h in batch.column("html").to_pylist()]
-        extra = [pa.array([x[n] for x in found], k) for n, k in (("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string()))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *extra], names=["doc_id", "n_bytes", "position", "digest", "caption"])
 
-    refs = pages.mapInArrow(per_slice(run, "html"), "doc_id long, n_bytes long, position int, digest string, caption string")
-    joined = refs.join(described, "digest")
-    return joined.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+def pages_with_images(pages: DataFrame) -> DataFrame:
+    """page_id and the items of each page, to which an image of its address is added behind its text, in order and resolved."""
+    stored = store_texts(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")))
+    image = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>Its address</figcaption></figure>'))
+    images = stored.select(F.col("doc_id").alias("page_id"), image.alias("image")).distinct()
+    shown = pages.select("page_id", "html").join(images, "page_id", "left")
+    return interleaved(shown.select("page_id", F.concat(F.coalesce("html", F.lit("")), F.coalesce("image", F.lit(""))).alias("html")), read_store(stored))

@@ -1,69 +1,79 @@
 """Operator 5: a quality classifier of supervised subword embeddings.
 
-A document is the mean of the learned vectors of its features: its words and its byte n-grams, hashed into BUCKETS
-rows. A softmax over two classes follows. The vectors and the output layer are trained by stochastic gradient descent
+A document is the mean of the learned vectors of its features: its words and its character n-grams (of code points, also
+across blanks), hashed into BUCKETS rows. A softmax over two classes follows. The vectors and the output layer are trained by stochastic gradient descent
 in numpy, on SAMPLE labelled documents chosen by the hash of doc_id (the documented bound; the sample's features are
 counted on the executors). For scoring, each feature's vector is multiplied into the output layer once, which leaves
 one number a bucket; the mean of these numbers gives the same softmax as the mean of the vectors.
 
 Defined results: null or empty text has no feature and gets the score of the bias, the labels' base rate; labels that
-are null, or whose documents are missing, teach nothing; several labels of one doc_id count as the highest; without
-any label every score is 0.5; an empty table gives no rows; repeated rows are scored each.
+are null, or whose documents are missing, teach nothing; several labels of one doc_id count as the highest, and of
+several texts of one doc_id the one with the smallest hash teaches; without any label every score is 0.5; an empty table
+gives no rows; repeated rows are scored each. Long texts are read in parts of CHARS_AT_ONCE code points, cut at blanks; a
+word that is longer counts as several.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_slice, texts_of
+from .common import per_slice, powers, texts_of
 
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 16, (3, 5)
 #: Labelled documents learned from, passes over them, and the first learning rate.
 SAMPLE, EPOCHS, RATE = 2000, 15, 0.5
 ACCEPT_FROM = 0.3
+CHARS_AT_ONCE = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _A and of its inverse modulo 2 ** 64."""
-    inverse = np.uint64(pow(int(_A), -1, 1 << 64))
-    ones = np.full(n, 1, np.uint64)
-    up, down = ones.copy(), ones.copy()
-    up[1:], down[1:] = _A, inverse
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h + np.uint64(salt)) * _B
-    return ((h ^ (h >> np.uint64(29))) * _A >> np.uint64(48)).astype(np.int64)
-
-
-def features(text: str) -> np.ndarray:
-    """Buckets of all words and byte n-grams, repeats included."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    codes = raw.astype(np.uint64) + np.uint64(1)
-    size = 1 << (len(raw) - 1).bit_length() + 1
-    up, down = _powers(size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * up[: len(codes)])])
-    inside = np.concatenate([[False], ~_BLANK[raw], [False]])
-    begins = np.flatnonzero(~inside[:-1] & inside[1:])
-    ends = np.flatnonzero(inside[:-1] & ~inside[1:])
-    found = [_bucket((sums[ends] - sums[begins]) * down[begins], 1)]
-    for n in NGRAMS:
-        if len(raw) >= n:
-            found.append(_bucket((sums[n:] - sums[:-n]) * down[: len(raw) - n + 1], n + 1))
-    return np.concatenate(found)
+    return ((h ^ (h >> np.uint64(29))) * _A >> np.uint64(48)).astype(np.uint16)
+
+
+def features(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all words and character n-grams, repeats included, for one part of the text after the other."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    begin = 0
+    while begin < len(points):
+        end = min(begin + CHARS_AT_ONCE, len(points))
+        own = points[begin:end]
+        blank = (own == 32) | (own >= 9) & (own <= 13)
+        if end < len(points) and blank.any():
+            own, blank = own[: len(own) - blank[::-1].argmax()], blank[: len(own) - blank[::-1].argmax()]
+        codes = points[begin : begin + len(own) + max(NGRAMS) - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers(len(codes), int(_A)), out=sums[1:])
+        down = powers(len(codes), pow(int(_A), -1, 1 << 64))
+        inside = np.concatenate([[False], ~blank, [False]])
+        first, last = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        yield _bucket((sums[last] - sums[first]) * down[first], 1)
+        for n in NGRAMS:
+            count = min(len(own), len(codes) - n + 1)
+            if count > 0:
+                yield _bucket((sums[n : n + count] - sums[:count]) * down[:count], n + 1)
+        begin += len(own)
+
+
+def log_odds(text: str, weights: np.ndarray) -> float:
+    """The mean weight of the features, which the mean of their vectors gives in the output layer."""
+    total, count = 0.0, 0
+    for buckets in features(text):
+        total += float(weights[buckets].sum(dtype=np.float64))
+        count += len(buckets)
+    return total / count if count else 0.0
+
+
+def probability(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Of label 1, by the softmax over two classes."""
+    weights, bias = model
+    return 1 / (1 + np.exp(-np.clip(np.array([log_odds(t or "", weights) for t in texts]) + bias, -30, 30)))
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -79,7 +89,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             label, buckets, counts = rows[i]
-            shares = counts / np.float32(counts.sum())
+            shares = (counts / counts.sum()).astype(np.float32)
             lr = np.float32(rate * (1 - done / steps))
             mean = shares @ vectors[buckets]
             z = output @ mean + bias
@@ -104,17 +114,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     chosen = known.where(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counted = [np.unique(features(t), return_counts=True) for t in batch.column("text").to_pylist()]
-        columns = [pa.array([np.minimum(c[i], 0xFFFF).astype("<u2").tobytes() for c in counted], pa.binary()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *columns], names=["doc_id", "quality", "buckets", "counts"])
-
-    taught = texts_of(docs).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    rows = taught.mapInArrow(per_slice(count), "doc_id long, quality int, buckets binary, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    examples = []
-    for row in rows:
-        if row["counts"]:
-            examples.append((row["quality"], np.frombuffer(row["buckets"], "<u2"), np.frombuffer(row["counts"], "<u2")))
-    return train(examples)
+        counted = []
+        for text in batch.column("text").to_pylist():
+            counts = np.zeros(BUCKETS, np.int64)
+            for buckets in features(text):
+                counts += np.bincount(buckets, minlength=BUCKETS)
+            used = np.flatnonzero(counts)
+            counted.append((used.astype("<u2").tobytes(), counts[used].astype("<u4").tobytes()))
+        columns = [pa.array([c[i] for c in counted], pa.binary()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tag", "quality")), *columns], names=["doc_id", "tag", "quality", "buckets", "counts"])
+
+    taught = texts_of(docs).withColumn("tag", F.xxhash64("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    counted = taught.mapInArrow(per_slice(count), "doc_id long, tag long, quality int, buckets binary, counts binary")
+    one = F.min(F.struct("tag", "quality", "buckets", "counts")).alias("one")
+    rows = counted.groupBy("doc_id").agg(one).orderBy("doc_id").select("one.*").collect()
+    return train([(r["quality"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u4")) for r in rows if r["counts"]])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -122,10 +136,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        weights, bias = shared.value
-        z = np.array([weights[f].mean(dtype=np.float64) if len(f) else 0.0 for f in map(features, batch.column("text").to_pylist())]) + bias
-        z = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in batch.schema.names[1:] if c != "text"), pa.array(z, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(batch.column("text").to_pylist(), shared.value))], names=["doc_id", "score"])
 
     return texts_of(docs).mapInArrow(per_slice(run), "doc_id long, score double")
 
@@ -139,11 +150,9 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], least: float = AC
 
         from .common import slices
 
-        weights, bias = shared.value
         for batch in batches:
             for few in slices(batch):
-                z = np.array([weights[f].mean(dtype=np.float64) if len(f) else 0.0 for f in (features(t or "") for t in few.column("text").to_pylist())]) + bias
-                yield few.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= least))
+                yield few.filter(pa.array(probability(few.column("text").to_pylist(), shared.value) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -41,6 +41,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequences of operator 6 over whole web pages."""
+    return media.pages_with_images(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_files, op4_order_minhash, op5_quality_classifier, op6_media_columns, op7_source_mixing, op8_line_dedup, op9_repeated_substrings, op10_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_files, op4_order_minhash, op5_quality_classifier, op6_media_columns, pages_interleaved, op7_source_mixing, op8_line_dedup, op9_repeated_substrings, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
