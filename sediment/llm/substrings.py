@@ -32,14 +32,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, power_of_two, slices
+from .common import materialize, power_of_two, powers, release, slices
 
 LENGTH, GRAM = 50, 16
 #: Anchors packed into one set of arrays, anchors to a bucket, and bytes of regions put in suffix order at once.
@@ -48,7 +47,7 @@ ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET, REGION_BYTES_AT_ONCE = 1 << 18, 1 << 18, 1
 #: bucket holds before it looks for such anchors; windows that a task hashes at once.
 MOST_IN_SET, MOST_IN_BUCKET, HELD_AT_ONCE, WINDOWS_AT_ONCE = 256, 4096, 1 << 20, 1 << 16
 #: Bytes of a text that are read at once, and bytes of texts for one task of the buckets.
-_CHUNK, _BYTES_PER_TASK = 1 << 20, 1 << 29
+_CHUNK, _BYTES_PER_TASK = (1 << 20) - 256, 1 << 29
 _A, _B, _C = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -58,13 +57,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@cache
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def _context(part: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A byte of hash for the GRAM bytes before and for those after each anchor's own (the lower byte is the one
     before), and a digest of 64 bits for the bytes from begin to end.
@@ -73,10 +65,9 @@ def _context(part: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.nda
     one byte at least. (That holds for lengths of three GRAMs minus one or more.) Beyond the text's ends zeros are taken.
     """
     padded = np.concatenate([np.zeros(GRAM - len(before), np.uint8), before, part, after, np.zeros(2 * GRAM - len(after), np.uint8)])
-    size = max(1 << 12, power_of_two(len(padded)))
-    up, down = _powers(size, _A), _powers(size, pow(_A, -1, 1 << 64))
+    up, down = powers(len(padded), _A), powers(len(padded), pow(_A, -1, 1 << 64))
     sums = np.zeros(len(padded) + 1, np.uint64)
-    np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * up[: len(padded)], out=sums[1:])
+    np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
 
     def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((sums[b] - sums[a]) * down[a])
@@ -114,7 +105,8 @@ def regions(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...
         last = np.concatenate([first[1:], [len(part) - length + 1]]) - 1
         end = begin + len(part)
         sides, digest = _context(part, raw[max(0, begin - GRAM) : begin], raw[end : end + 2 * GRAM], at, first, last + length)
-        yield h, sides, digest, first + begin, last + length - first
+        # minima are small numbers: mixed again, they fall evenly on the buckets
+        yield _mix(h * np.uint64(_A)), sides, digest, first + begin, last + length - first
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -461,8 +453,9 @@ def _judge(length: int):
 
 
 def _hashed_windows(length: int):
-    """A row for each window of the stretches: two halves of its hash, document and start."""
-    names = ["low", "high", "doc_id", "tag", "start"]
+    """A row for each run of equal windows (one, as a rule) of the stretches: two halves of the hash, document, first start
+    and the start behind the last."""
+    names = ["low", "high", "doc_id", "tag", "start", "end"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -474,8 +467,10 @@ def _hashed_windows(length: int):
                     for b in range(a, z - length + 1, WINDOWS_AT_ONCE):
                         starts = range(b, min(b + WINDOWS_AT_ONCE, z - length + 1))
                         halves = np.frombuffer(b"".join([xxh3_128_digest(data[i : i + length]) for i in starts]), np.int64).reshape(-1, 2)
-                        n = len(starts)
-                        yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(np.full(n, doc_id)), pa.array(np.full(n, tag)), pa.array(np.arange(b, b + n))], names=names)
+                        first = np.flatnonzero(np.concatenate([[True], (halves[1:] != halves[:-1]).any(axis=1)]))
+                        n = len(first)
+                        edges = b + np.append(first, len(halves))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[first, i])) for i in (0, 1)] + [pa.array(x) for x in (np.full(n, doc_id), np.full(n, tag), edges[:-1], edges[1:])], names=names)
 
     return run
 
@@ -483,18 +478,20 @@ def _hashed_windows(length: int):
 def _window_marks(named: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """Marks of the windows hashed whole, by their smallest document, which Spark aggregates before it shuffles."""
     some = found.where("size(windows) > 0").select("doc_id", "tag", "windows")
-    windows = materialize(named.join(some, ["doc_id", "tag"]).mapInArrow(_hashed_windows(length), "low long, high long, doc_id long, tag long, start long"), "substring-windows")
-    least = windows.groupBy("low", "high").agg(F.min("doc_id").alias("least"))
-    # a window of very many documents is skewed on the left side only, which a merge join splits at run time
-    later = windows.hint("merge").join(least, ["low", "high"]).where("doc_id > least")
+    windows = materialize(named.join(some, ["doc_id", "tag"]).mapInArrow(_hashed_windows(length), "low long, high long, doc_id long, tag long, start long, end long"), "substring-windows")
+    # written, so that a window of very many documents is skewed on one side of the join only, which Spark splits
+    least = materialize(windows.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("low", "high", "least"), "substring-least")
+    later = windows.join(least, ["low", "high"]).where("doc_id > least")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                doc, tag, start = (batch.column(c).to_numpy() for c in ("doc_id", "tag", "start"))
-                yield _stretch_marks("covered", doc, tag, start, start + length)
+                doc, tag, start, end = (batch.column(c).to_numpy() for c in ("doc_id", "tag", "start", "end"))
+                yield _stretch_marks("covered", doc, tag, start, end + length - 1)
 
-    return later.select("doc_id", "tag", "start").mapInArrow(pack, _MARKS_DDL)
+    out = materialize(later.select("doc_id", "tag", "start", "end").mapInArrow(pack, _MARKS_DDL), "substring-window-marks")
+    release(windows, least)
+    return out
 
 
 def _without(data: bytes, packed: list[bytes]) -> tuple[list[bytes], int, int]:
