@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def with_position(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
-    """Add the 0-based place in ``order``: range partitions, places inside them, and one offset for each partition."""
+    """Add the 0-based place in ``order``: range partitions, places inside them, and one offset for each partition.
+
+    The places inside are written before they are counted, so that rows with equal keys keep theirs if a task runs again.
+    """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_inside", inside).persist(StorageLevel.DISK_ONLY)
+    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_inside", inside), "positions")
     offsets, total = [], 0
     for row in ranged.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
         offsets.append((row["_part"], total))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import Embedder
 
-#: Query vectors are broadcast up to this many; more are joined by blocks of queries.
-BROADCAST_QUERIES = 1000
+#: Bytes of query vectors in one block, which is broadcast; scores that a task holds at once; room for rounding.
+BLOCK_BYTES, SCORES_AT_ONCE = 64 << 20, 1 << 21
 
 
 def norm(vector: Column) -> Column:
@@ -99,20 +101,52 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) ->
     return latest.select(key, f"row.{version}", *(f"row.{c}" for c in rest))
 
 
+def _best_children(block: list, names: list[str], k: int, slack: float):
+    """Rows of an index batch that may be the best child of one of the best k parents of a query."""
+    ids = [row[0] for row in block]
+    matrix = np.array([row[1] for row in block], np.float64).T
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORES_AT_ONCE // len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                if rows.shape[1] != len(matrix):
+                    raise ValueError("index and query vectors differ in size")
+                scores = rows @ matrix
+                codes = part.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(codes, kind="stable")
+                begins = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                best = np.maximum.reduceat(scores[order], begins, axis=0)  # a row for each parent
+                least = np.partition(best, -k, axis=0)[-k] if len(best) > k else np.full(len(ids), -np.inf)
+                child, query = np.nonzero(scores >= np.maximum(best[codes], least) - slack)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()]), part.column(0).take(pa.array(child)), part.column(1).take(pa.array(child)), pa.array(scores[child, query])], names=names)
+
+    return run
+
+
 def top_parents(index: DataFrame, queries: DataFrame, k: int, parent: str, child: str, vector: str = "vector", digits: int = 6) -> DataFrame:
     """query_id, rank, parent, child, score: the k best parents of each query by their best child, exactly.
 
-    ``queries`` (query_id, query_vector) is the small side; its size is checked before it is broadcast. Ties go to the
-    smaller child, then parent. Best children per parent are found by a partial maximum before any shuffle.
+    The index stays where it is. ``queries`` (query_id, query_vector) goes through it in blocks of at most BLOCK_BYTES, each
+    broadcast as a matrix; a batch of the index keeps only what may be among the best k parents of a query. Scores are
+    rounded afterwards, so what rounding may tie is kept. Ties go to the smaller child, then parent.
     """
-    blocks = -(-queries.count() // BROADCAST_QUERIES)
-    if blocks <= 1:
-        scored = index.crossJoin(F.broadcast(queries))
-    else:
-        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        scored = index.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block")
-    score = F.round(dot(F.col(vector), F.col("query_vector")), digits)
-    scored = scored.select("query_id", F.col(parent).alias("parent"), F.col(child).alias("child"), score.alias("score"))
+    n, size = queries.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    blocks = max(1, -(-n * (size or 1) * 8 // BLOCK_BYTES))
+    names, kinds = ["query_id", "parent", "child", "raw"], dict(index.dtypes)
+    ddl = f"query_id {dict(queries.dtypes)['query_id']}, parent {kinds[parent]}, child {kinds[child]}, raw double"
+    narrow, found = index.select(F.col(parent).alias("parent"), F.col(child).alias("child"), F.col(vector).alias("vector")), None
+    for b in range(blocks):
+        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        block = [tuple(r) for r in asked.select("query_id", "query_vector").collect()]  # at most about BLOCK_BYTES
+        if block:
+            part = narrow.mapInArrow(_best_children(block, names, k, 2 * 10.0**-digits), ddl)
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], ddl)
+    scored = found.withColumn("score", F.round("raw", digits)).drop("raw")
     best = scored.groupBy("query_id", "parent").agg(F.max_by("child", F.struct("score", -F.col("child"))).alias("child"), F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "child", "parent")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
