@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import NOT_CORE, SCHEMA_VERSION, SECTIONS
 from ..functions import text as T
 from ..functions.html import render_fields, resolved_url
+from ..scratch import materialize, release
 
 FIELDS = ["title", *(f for fields in SECTIONS.values() for f in fields)]
 _ISSUE = "struct<code:string,section:string,detail:string>"
@@ -85,7 +85,8 @@ def _rendering_issues(name: str, r: Column) -> list[Column]:
 def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_sha256: str = "", record_label: str = "Record") -> Normalized:
     """Split hits into records and quarantine; nothing is dropped. A repeated identifier is an error.
 
-    Rendering is the costly step, so its result is kept on disk by Spark and used by all four outputs.
+    Rendering is the costly step, so its result is written once, and so are the resolved sections: all that follows reads
+    plain columns, which keeps the plans small.
     """
     known = with_identifier(hits)
     bad = known.where("lesson_id is null")
@@ -96,7 +97,8 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
         raise ValueError(f"identifier {twice[0]['lesson_id']} occurs more than once")
 
     raw = F.array(*(_raw(f) for f in FIELDS))
-    rendered = good.withColumn("raw", raw).withColumn("r", render_fields(F.col("raw"), base_url)).persist(StorageLevel.DISK_ONLY)
+    rendered = good.withColumn("raw", raw).withColumn("r", render_fields(F.col("raw"), base_url)).drop("raw")
+    rendered = materialize(rendered, "rendered-fields")
     sections = {s: resolve_section(s) for s in SECTIONS}
     empty = F.from_json(F.lit('{"source_text_present":false,"tables":[],"links":[],"media":[],"parser_diagnostics":[],"unrecognized_tags":[]}'), rendered.schema["r"].dataType.elementType)
 
@@ -105,7 +107,11 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
         return F.when(field.isNotNull(), F.struct(field.alias("field"), T.pointer(F.col("idx"), field).alias("raw_pointer"), F.sha2(value, 256).alias("raw_utf8_sha256")))
 
     df = rendered.select("*", *(c.alias(f"{s}_{k}") for s, cols in sections.items() for k, c in cols.items()))
-    df = df.select("*", F.coalesce(F.col("r")[0], empty).alias("title"), *(F.coalesce(F.col(f"{s}_chosen.r"), empty).alias(s) for s in SECTIONS))
+    of_section = [F.coalesce(F.col(f"{s}_chosen.r"), empty).alias(s) for s in SECTIONS]
+    of_section += [F.col(f"{s}_chosen.field").alias(f"{s}_field") for s in SECTIONS]
+    df = df.select("idx", "doc_id", "source", "lesson_id", F.coalesce(F.col("r")[0], empty).alias("title"), *of_section, *(c for c in df.columns if c.endswith(("_relation", "_other"))))
+    df = materialize(df, "resolved-sections")
+    release(rendered)
 
     raw_iso, ui = F.try_variant_get("source", "$.lesson_date", "string"), F.try_variant_get("source", "$.lessonDate", "string")
     df = df.withColumn("raw_iso", raw_iso).withColumn("iso", T.iso_date(_string("lesson_date"))).withColumn("ui", ui).withColumn("ui_date", T.display_date(_string("lessonDate")))
@@ -124,7 +130,7 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     issues = [_issue(~F.col("doc_id").eqNullSafe(F.col("lesson_id")), "document_id_differs_from_lesson_number", None, F.col("doc_id")), _issue(F.col("title.text").isNull(), "missing_title")]
     for s, fields in SECTIONS.items():
         issues.append(_issue(~has_content(F.col(s)), "missing_section", s))
-        issues.append(_issue(F.col(f"{s}_chosen.field") != fields[0], "legacy_field_fallback", s, F.col(f"{s}_chosen.field")))
+        issues.append(_issue(F.col(f"{s}_field") != fields[0], "legacy_field_fallback", s, F.col(f"{s}_field")))
         if len(fields) == 2:
             issues.append(_issue(F.col(f"{s}_relation") == "different_nonempty_variants", "field_variant", s, F.col(f"{s}_other.field")))
     for s in ("title", *SECTIONS):
@@ -140,8 +146,9 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     ]
     df = df.withColumn("issues", F.filter(F.array(*issues), lambda x: x.isNotNull())).withColumn("has_core_body_text", body)
     df = df.withColumn("body_sha256", F.when(body, F.sha2(F.to_json(F.array(*(F.col(f"{s}.text") for s in core))), 256)))
-    repeated = df.where("body_sha256 is not null").groupBy("body_sha256").agg(F.count("*").alias("n")).where("n > 1").select("body_sha256", F.lit(True).alias("repeated"))
-    df = df.join(repeated, "body_sha256", "left")
+    repeated = df.where("body_sha256 is not null").groupBy("body_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("body_sha256").alias("same_body"), F.lit(True).alias("repeated"))
+    # rows without a body are dealt out by their id: they find nothing, and don't meet in one task
+    df = df.join(repeated, F.coalesce("body_sha256", F.concat(F.lit("none "), "lesson_id")) == F.col("same_body"), "left").drop("same_body")
     same = F.filter(F.array(_issue(F.col("repeated"), "same_body_text_as_other_lesson", None, F.col("body_sha256"))), lambda x: x.isNotNull())
     df = df.withColumn("issues", F.concat("issues", same))
 
@@ -149,11 +156,11 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     rest = F.map_filter(F.try_variant_get("source", "$", "map<string,variant>"), lambda k, _: ~F.array_contains(consumed, k))
     lessons = df.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "lesson_id", "title", F.coalesce("title.text", F.concat(F.lit(f"{record_label} "), "lesson_id")).alias("display_title"), F.col("title.text").isNull().alias("display_title_generated"), F.col("iso").cast("string").alias("lesson_date"),
-        F.struct(*(F.col(s).withField("source", origin(F.col(f"{s}_chosen.field"))).alias(s) for s in SECTIONS)).alias("sections"), "attachments", F.to_json(rest).alias("metadata_raw"),
+        F.struct(*(F.col(s).withField("source", origin(F.col(f"{s}_field"))).alias(s) for s in SECTIONS)).alias("sections"), "attachments", F.to_json(rest).alias("metadata_raw"),
         F.struct(F.lit(snapshot_path).alias("snapshot_path"), F.lit(snapshot_sha256).alias("snapshot_sha256"), F.concat(F.lit("/hits/hits/"), "idx").alias("raw_record_pointer"), F.col("doc_id").alias("raw_document_id"), F.concat(F.lit(base_url.rstrip("/") + "/lesson/"), "lesson_id").alias("public_lesson_url")).alias("source"),
         "has_core_body_text", (~failed).alias("text_extraction_succeeded"), F.array_sort(F.array_distinct(F.transform("issues", lambda x: x["code"]))).alias("quality_flags"), "body_sha256",
     )
-    pairs = [F.when(F.col(f"{s}_relation") == "different_nonempty_variants", F.struct(F.lit(s).alias("section"), F.col(f"{s}_chosen.field").alias("selected_field"), F.col(s).alias("selected"), F.col(f"{s}_other.field").alias("alternate_field"), F.col(f"{s}_other.r").alias("alternate"))) for s, f in SECTIONS.items() if len(f) == 2]
+    pairs = [F.when(F.col(f"{s}_relation") == "different_nonempty_variants", F.struct(F.lit(s).alias("section"), F.col(f"{s}_field").alias("selected_field"), F.col(s).alias("selected"), F.col(f"{s}_other.field").alias("alternate_field"), F.col(f"{s}_other.r").alias("alternate"))) for s, f in SECTIONS.items() if len(f) == 2]
     variants = df.select("lesson_id", F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("v")).select("lesson_id", "v.*")
     long = df.select("lesson_id", F.posexplode("issues").alias("seq", "issue")).select("lesson_id", "seq", "issue.*")
     return Normalized(lessons, variants, quarantine, long)

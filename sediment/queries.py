@@ -71,8 +71,8 @@ def word_stats(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"""SELECT lang, (w <= 1200 AND b <= 20000) AS fits, count(*) AS n, sum(b)::BIGINT AS bytes
 FROM (SELECT lang, {_WORDS} AS w, strlen(text) AS b FROM documents) GROUP BY ALL""")
 def byte_budget_split(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("lang", T.word_count(F.col("text")).alias("w"), T.byte_count(F.col("text")).alias("b"))
-    return d.groupBy("lang", ((F.col("w") <= 1200) & (F.col("b") <= 20000)).alias("fits")).agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
+    fits = chunking.within_budget(F.col("text"), ChunkConfig()).alias("fits")
+    return _t(spark, sf, "documents").groupBy("lang", fits).agg(F.count("*").alias("n"), F.sum(T.byte_count(F.col("text"))).alias("bytes"))
 
 
 @_query("SELECT sha256(text) AS body_sha256, count(*) AS n, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -117,9 +117,14 @@ def alias_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(quality.compare_aliases(F.col("current"), F.col("legacy")).alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@_query(f"SELECT doc_id, CASE WHEN {_FULL.format('c')} THEN 'current' WHEN {_FULL.format('l')} THEN 'legacy' END AS field FROM (SELECT doc_id, {_CURRENT} AS c, {_LEGACY} AS l FROM documents)")
+@_query(f"""SELECT doc_id, CASE WHEN {_FULL.format('c')} THEN 'lesson' WHEN {_FULL.format('l')} THEN 'lesson_learned' WHEN c IS NOT NULL THEN 'lesson'
+WHEN l IS NOT NULL THEN 'lesson_learned' END AS field FROM (SELECT doc_id, {_CURRENT} AS c, {_LEGACY} AS l FROM documents)""")
 def field_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return _aliases(spark, sf).select("doc_id", F.when(T.meaningful(F.col("current")), "current").when(T.meaningful(F.col("legacy")), "legacy").alias("field"))
+    d = _aliases(spark, sf)
+    source = F.parse_json(F.to_json(F.struct(F.col("doc_id").alias("lesson_number"), F.col("current").alias("lesson"), F.col("legacy").alias("lesson_learned"))))
+    hits = d.select(F.col("doc_id").alias("idx"), source.alias("raw_hit"), F.col("doc_id").cast("string").alias("doc_id"), source.alias("source"))
+    lessons = normalize.normalize(hits, BASE_URL).lessons
+    return lessons.select(F.col("lesson_id").cast("long").alias("doc_id"), F.col("sections.lesson.source.field").alias("field"))
 
 
 @_query(f"SELECT count(*) AS kept FROM (SELECT {_CURRENT} AS c FROM documents) WHERE {_FULL.format('c')}")
@@ -172,6 +177,12 @@ def section_context(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ordered_text(_t(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS lesson_id, concat('Document ', doc_id) AS title, concat('https://example.org/', doc_id) AS url,
+CASE WHEN text = '' THEN '' ELSE concat('LESSON', chr(10), text) END AS text FROM documents""")
+def record_context(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.contexts(_document_records(spark, sf)).select("lesson_id", "title", "url", "text")
+
+
 @_query("SELECT doc_id, regexp_replace(substr(sha256(text), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id FROM documents")
 def point_uuid(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", T.uuid_of(F.sha2("text", 256)).alias("id"))
@@ -207,9 +218,20 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return _rendered(spark, sf).select("page_id", F.size("r.links").cast("long").alias("links"))
 
 
-@_query()
+#: The rendering rules as patterns, for pages with paragraphs, lists, headings, links and no tables.
+_BODY = r"regexp_replace(html, '(?s)<!DOCTYPE[^>]*>|<!--.*?-->|<head>.*?</head>', '', 'g')"
+_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_BODY}, '</?(p|div|article|h1|ul|footer)( [^>]*)?>|<br>|</li>', chr(10), 'g'), '<li>', chr(10) || '- ', 'g'), '</?[a-z0-9]+( [^>]*)?>', '', 'g')"
+_PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[ \t\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ')"
+_PAGE_TEXT = _TIDY.format(_PLAIN.format(_LINES))
+_TITLE = _TIDY.format("regexp_replace(" + _PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + ", '&amp$', '&')")
+
+
+@_query(f"""SELECT page_id, {_PAGE_TEXT} AS text, true AS has_text, CASE WHEN html LIKE '%<nav%' THEN 'nav' ELSE '' END AS unrecognized_tags,
+array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: 'https://example.org' || x), ' ') AS urls FROM pages""")
 def render_page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _rendered(spark, sf).select("page_id", "r.text", F.col("r.source_text_present").alias("has_text"), F.transform("r.links", lambda x: x["resolved_url"]).alias("urls"), "r.unrecognized_tags")
+    urls = F.array_join(F.transform("r.links", lambda x: x["resolved_url"]), " ")
+    return _rendered(spark, sf).select("page_id", "r.text", F.col("r.source_text_present").alias("has_text"), urls.alias("urls"), F.array_join("r.unrecognized_tags", " ").alias("unrecognized_tags"))
 
 
 @_query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(h1|p|li|a)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
@@ -225,13 +247,20 @@ def _page_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "pages").select(F.col("page_id").alias("idx"), source.alias("raw_hit"), F.col("page_id").cast("string").alias("doc_id"), source.alias("source"))
 
 
-@_query()
+_FLAGS = """concat_ws(',', CASE WHEN trim(url) <> '' THEN 'attachment_content_not_loaded' END, 'missing_section',
+CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'same_body_text_as_other_lesson' END, CASE WHEN html LIKE '%<nav%' THEN 'unrecognized_html_tags' END)"""
+
+
+@_query(f"""SELECT CAST(page_id AS VARCHAR) AS lesson_id, {_TITLE} AS display_title, '2001-01-02' AS lesson_date, text, concat('/hits/hits/', page_id, '/_source/lesson') AS pointer,
+{_FLAGS} AS flags, CASE WHEN trim(url) <> '' THEN 1 ELSE 0 END AS attachments, true AS has_core_body_text FROM (SELECT *, {_PAGE_TEXT} AS text FROM pages)""")
 def normalized_pages(spark: SparkSession, sf: str) -> DataFrame:
     lessons = normalize.normalize(_page_hits(spark, sf), BASE_URL).lessons
     return lessons.select("lesson_id", "display_title", "lesson_date", F.col("sections.lesson.text").alias("text"), F.col("sections.lesson.source.raw_pointer").alias("pointer"), F.concat_ws(",", "quality_flags").alias("flags"), F.size("attachments").alias("attachments"), "has_core_body_text")
 
 
-@_query()
+@_query("""SELECT 'missing_section' AS code, s AS section, count(*) AS n FROM pages, (SELECT unnest(['abstract', 'driving_event', 'recommendation', 'evidence', 'related_policy']) AS s) GROUP BY s
+UNION ALL SELECT 'unrecognized_html_tags', 'lesson', count(*) FROM pages WHERE html LIKE '%<nav%' HAVING count(*) > 0
+UNION ALL SELECT 'attachment_content_not_loaded', NULL, count(*) FROM pages WHERE trim(url) <> '' HAVING count(*) > 0""")
 def issue_histogram(spark: SparkSession, sf: str) -> DataFrame:
     issues = normalize.normalize(_page_hits(spark, sf), BASE_URL).issues
     return issues.groupBy("code", "section").agg(F.count("*").alias("n"))
