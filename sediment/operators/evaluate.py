@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..contracts import Generator
 from .chunking import rendered, section_list
 
 RULES = "Answer only from the records given. Name the record ids you used. Say so when they do not answer the question."
@@ -42,6 +46,21 @@ def prompts(results: DataFrame, context: DataFrame, version: str = "v2", rules:
     return gathered.select("query_id", F.lit(version).alias("prompt_version"), F.transform("source_records", lambda r: r["lesson_id"]).alias("source_ids"), payload.alias("payload"))
 
 
+def generated(prompts: DataFrame, generator: Generator) -> DataFrame:
+    """The prompts without their payload, and the generator's answer to each."""
+    kept = [c for c in prompts.columns if c != "payload"]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = generator.generate(frame["payload"].tolist())
+            if len(said) != len(frame):
+                raise ValueError("one answer for each prompt is expected")
+            yield frame[kept].assign(answer=said)
+
+    kinds = dict(prompts.dtypes)
+    return prompts.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", answer string")
+
+
 def answer_text(parts):
     """Joined text of an array of (text, thought) response parts, without thoughts; null without any."""
     said = F.filter(parts, lambda p: ~F.coalesce(p["thought"], F.lit(False)) & p["text"].isNotNull())

@@ -80,7 +80,8 @@ def embed_pending(chunks: DataFrame, embedder: Embedder, cache_path: str, batch_
     if max_new is not None:
         todo = todo.orderBy("lesson_id", "chunk_number").limit(max_new)
     embed(todo, embedder, batch_size).write.mode("append").parquet(cache_path)
-    have, expected = spark.read.schema(empty.schema).parquet(cache_path).count(), chunks.count()
+    have = checked_cache(spark.read.schema(empty.schema).parquet(cache_path), chunks, embedder.dimensions).count()  # as read back
+    expected = chunks.count()
     return {"vectors": have, "expected": expected, "complete": have == expected}
 
 
@@ -101,10 +102,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) ->
     return latest.select(key, f"row.{version}", *(f"row.{c}" for c in rest))
 
 
-def _best_children(block: list, names: list[str], k: int, slack: float):
+def _best_children(block: pa.Table, names: list[str], k: int, slack: float):
     """Rows of an index batch that may be the best child of one of the best k parents of a query."""
-    ids = [row[0] for row in block]
-    matrix = np.array([row[1] for row in block], np.float64).T
+    ids = block.column(0).combine_chunks()
+    matrix = block.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1).T
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, SCORES_AT_ONCE // len(ids))
@@ -121,7 +122,7 @@ def _best_children(block: list, names: list[str], k: int, slack: float):
                 best = np.maximum.reduceat(scores[order], begins, axis=0)  # a row for each parent
                 least = np.partition(best, -k, axis=0)[-k] if len(best) > k else np.full(len(ids), -np.inf)
                 child, query = np.nonzero(scores >= np.maximum(best[codes], least) - slack)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()]), part.column(0).take(pa.array(child)), part.column(1).take(pa.array(child)), pa.array(scores[child, query])], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), part.column(0).take(pa.array(child)), part.column(1).take(pa.array(child)), pa.array(scores[child, query])], names=names)
 
     return run
 
@@ -140,8 +141,8 @@ def top_parents(index: DataFrame, queries: DataFrame, k: int, parent: str, child
     narrow, found = index.select(F.col(parent).alias("parent"), F.col(child).alias("child"), F.col(vector).alias("vector")), None
     for b in range(blocks):
         asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = [tuple(r) for r in asked.select("query_id", "query_vector").collect()]  # at most about BLOCK_BYTES
-        if block:
+        block = asked.select("query_id", "query_vector").toArrow()  # at most about BLOCK_BYTES
+        if block.num_rows:
             part = narrow.mapInArrow(_best_children(block, names, k, 2 * 10.0**-digits), ddl)
             found = part if found is None else found.union(part)
     if found is None:

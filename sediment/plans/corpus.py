@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import ChunkConfig, Embedder
-from ..operators import chunking, evaluate, normalize, vectors
+from ..contracts import SCHEMA_VERSION, ChunkConfig, Embedder, Generator
+from ..operators import chunking, evaluate, normalize, quality, vectors
 from ..sources import readers, sinks
 
 
+NAMES = ("lessons", "variants", "quarantine", "issues")
+
+
+def run_statistics(made: normalize.Normalized) -> dict:
+    """The totals of a run, each an aggregate: records, flags, missing sections, field comparisons, sizes."""
+    stats = quality.corpus_statistics(made.lessons, made.variants, made.quarantine).first().asDict()
+    stats["input_hits"] = stats["lessons"] + stats["quarantined"]
+    stats |= {f"flag {r['flag']}": r["n"] for r in quality.flag_histogram(made.lessons, "quality_flags").collect()}  # a row for each of the fixed flags
+    by_section = made.issues.where("code in ('missing_section', 'field_variant', 'legacy_field_fallback')").groupBy("code", "section").count()
+    return stats | {f"{r['code']} {r['section']}": r["count"] for r in by_section.collect()}  # sections are fixed, too
+
+
 def ingest(spark: SparkSession, snapshot: str, output: str, base_url: str, snapshot_sha256: str = "", protected: str | None = None) -> normalize.Normalized:
-    """Read hits, normalize them and write the four products; returns them as written."""
+    """Read hits, normalize them and write the four products, a manifest and a report; returns the products as written.
+
+    ``snapshot`` is a response file, or a snapshot folder, whose layers are verified.
+    """
     if protected:
         sinks.guard_outside(output, protected)
-    made = normalize.normalize(readers.read_hits(spark, snapshot), base_url, snapshot, snapshot_sha256)
-    frames = {name: getattr(made, name) for name in ("lessons", "variants", "quarantine", "issues")}
+    if snapshot.rstrip("/").endswith((".json", ".gz")):
+        hits = readers.read_hits(spark, snapshot)
+    else:
+        manifest, hits = readers.load_snapshot(spark, snapshot)
+        snapshot_sha256 = manifest["files"]["compressed"]["sha256"]
+    made = normalize.normalize(hits, base_url, snapshot, snapshot_sha256)
+    frames = {name: getattr(made, name) for name in NAMES}
     for name, df in frames.items():
         df.write.mode("errorifexists").parquet(f"{output}/{name}")
-    return normalize.Normalized(**{name: spark.read.schema(df.schema).parquet(f"{output}/{name}") for name, df in frames.items()})
+    made = normalize.Normalized(**{name: spark.read.schema(df.schema).parquet(f"{output}/{name}") for name, df in frames.items()})
+    stats = run_statistics(made)
+    products = {r["name"]: {"records": r["records"], "content": r["content"]} for r in sinks.products({name: getattr(made, name) for name in NAMES}).collect()}
+    if products["lessons"]["records"] + products["quarantine"]["records"] != hits.count():
+        raise ValueError("records and quarantine do not make up the hits")
+    text = sinks.report(stats)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{output}/report")
+    fields = [r["field"] for r in readers.source_fields(hits).orderBy("field").collect()]  # names of fields
+    facts = {"schema_version": SCHEMA_VERSION, "source_snapshot": snapshot, "source_snapshot_sha256": snapshot_sha256, "source_fields": fields, "external_fetches": 0, "statistics": stats, "products": products, "report_sha256": hashlib.sha256(text.encode()).hexdigest()}
+    sinks.write_json(spark, facts, f"{output}/manifest")
+    return made
 
 
 def index(lessons: DataFrame, root: str, dataset: str, embedder: Embedder, config: ChunkConfig) -> DataFrame:
@@ -27,14 +59,22 @@ def index(lessons: DataFrame, root: str, dataset: str, embedder: Embedder, confi
     path = sinks.write_run(chunking.plan_chunks(lessons, dataset, config), root, config.as_dict() | {"dataset": dataset})
     chunks = spark.read.parquet(f"{path}/data")
     chunking.check_plan(chunks, config)
-    vectors.embed_pending(chunks, embedder, f"{path}/cache")
-    return vectors.build_index(chunks, spark.read.parquet(f"{path}/cache"), embedder.dimensions)
+    status = vectors.embed_pending(chunks, embedder, f"{path}/cache")
+    sinks.write_json(spark, status, f"{path}/status")
+    points = vectors.build_index(chunks, spark.read.parquet(f"{path}/cache"), embedder.dimensions)
+    marked = sinks.write_run(points, f"{path}/index", config.as_dict() | {"dataset": dataset, "points": status["expected"], "dimensions": embedder.dimensions})
+    built = spark.read.parquet(f"{marked}/data")
+    if built.count() != status["expected"]:
+        raise ValueError("the index has not as many points as there are units")
+    return built
 
 
 def search(points: DataFrame, questions: DataFrame, embedder: Embedder, config: ChunkConfig, k: int = 5) -> DataFrame:
     """Ranked parents for questions (query_id, question); blank questions and a k beyond 1 to 20 are errors."""
     if not 1 <= k <= 20 or questions.where("question is null or trim(question) = '' or octet_length(question) > 20000").head(1):
         raise ValueError("questions must have text of up to 20,000 bytes, and k lies between 1 and 20")
+    if embedder.dimensions != config.dimensions or points.where(F.size("vector") != embedder.dimensions).head(1):
+        raise ValueError("index, embedder and configuration differ in their dimensions")
     asked = questions.select(F.col("query_id").cast("string").alias("cache_key"), F.lit("").alias("input_sha256"), F.concat(F.lit(config.query_prefix), F.trim("question")).alias("embedding_input"))
     asked = vectors.embed(asked, embedder).select(F.col("cache_key").alias("query_id"), F.col("vector").alias("query_vector"))
     return vectors.top_parents(points.withColumn("child", F.xxhash64("id")), asked, k, "lesson_id", "child")
@@ -45,3 +85,27 @@ def evaluated(points: DataFrame, cases: DataFrame, embedder: Embedder, config: C
     found = search(points, cases, embedder, config, k)
     named = cases.select(F.col("query_id").cast("string").alias("query_id"), "expected_ids")
     return evaluate.metrics(evaluate.first_relevant_rank(found, named, k))
+
+
+def evaluated_in_steps(points: DataFrame, cases: DataFrame, embedder: Embedder, config: ChunkConfig, path: str, k: int = 5, at_once: int = 1000) -> DataFrame:
+    """As ``evaluated``; the ranks of each part of the cases are appended as they are found, and a report says whether all
+    are there. Cases that have a rank there already are not asked again."""
+    spark = points.sparkSession
+    spark.createDataFrame([], "query_id string, first_relevant_rank int").write.mode("append").parquet(f"{path}/ranks")
+    named = cases.withColumn("query_id", F.col("query_id").cast("string"))
+    parts, written = -(-named.count() // at_once), lambda: spark.read.schema("query_id string, first_relevant_rank int").parquet(f"{path}/ranks")
+    for part in range(parts):
+        todo = named.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).join(written(), "query_id", "left_anti")
+        if todo.head(1):
+            evaluate.first_relevant_rank(search(points, todo, embedder, config, k), todo.select("query_id", "expected_ids"), k).write.mode("append").parquet(f"{path}/ranks")
+        found = evaluate.metrics(written())
+        sinks.write_json(spark, found.first().asDict() | {"complete": part == parts - 1}, f"{path}/report")
+    return evaluate.metrics(written())
+
+
+def answers(points: DataFrame, lessons: DataFrame, questions: DataFrame, embedder: Embedder, generator: Generator, config: ChunkConfig, k: int = 5, version: str = "v2") -> DataFrame:
+    """query_id, question, prompt_version, source_ids and answer of a batch of questions, by search, prompts and the generator."""
+    found = search(points, questions, embedder, config, k)
+    asked = found.join(questions.select(F.col("query_id").cast("string").alias("query_id"), "question"), "query_id")
+    prompts = evaluate.prompts(asked, evaluate.contexts(lessons), version)
+    return evaluate.generated(prompts, generator).join(asked.select("query_id", "question").distinct(), "query_id")

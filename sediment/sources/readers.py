@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _RESPONSE = "timed_out boolean, _shards struct<total:long,successful:long,failed:long>, hits struct<total:variant,hits:array<variant>>"
@@ -19,6 +21,15 @@ def verify_file(spark: SparkSession, path: str, n_bytes: int, sha256: str) -> No
         raise ValueError(f"checksum or size mismatch: {path}")
 
 
+def verify_layers(spark: SparkSession, path: str, packed: tuple[int, str], plain: tuple[int, str]) -> None:
+    """Check size and SHA-256 of a compressed file as stored and of the text within, which Spark unpacks."""
+    verify_file(spark, path, *packed)
+    text = F.col("value").cast("binary")
+    found = spark.read.text(path, wholetext=True).select(F.octet_length(text).cast("long"), F.sha2(text, 256)).first()
+    if found is None or tuple(found) != plain:
+        raise ValueError(f"checksum or size mismatch of the unpacked text: {path}")
+
+
 def exact_total(response: DataFrame) -> int:
     """The response's hit count, if it is complete and exact."""
     kind = F.schema_of_variant("hits.total")
@@ -42,14 +53,52 @@ def read_hits(spark: SparkSession, path: str, expected: int | None = None) -> Da
     total = exact_total(response)
     hits = response.select(F.posexplode("hits.hits").alias("idx", "raw_hit")).repartition("idx")
     hits = hits.select(F.col("idx").cast("long").alias("idx"), "raw_hit", F.try_variant_get("raw_hit", "$._id", "string").alias("doc_id"), F.try_variant_get("raw_hit", "$._source", "variant").alias("source"))
-    count, distinct = hits.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit("")))).first()
-    if count != total or distinct != count or (expected is not None and expected != count):
-        raise ValueError("hit count, expected count or unique ids do not agree")
+    kind = F.schema_of_variant("source")
+    count, distinct, hollow = hits.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(""))), F.count_if(F.coalesce(~kind.startswith("OBJECT<") | (kind == "OBJECT<>"), F.lit(True)))).first()
+    if count != total or distinct != count or hollow or (expected is not None and expected != count):
+        raise ValueError("hit count, expected count, unique ids or sources do not agree")
     return hits
 
 
-def read_records(spark: SparkSession, path: str, schema, records: int | None = None) -> DataFrame:
-    """Normalized records from JSON lines (gzip too); ids unique, one snapshot only. Gzip files do not split: dealt out anew."""
+def source_fields(hits: DataFrame) -> DataFrame:
+    """field: the different field names of all sources."""
+    return hits.select(F.explode(F.map_keys(F.try_variant_get("source", "$", "map<string,variant>"))).alias("field")).distinct()
+
+
+_LAYER = "struct<path:string,bytes:long,sha256:string>"
+
+
+def load_snapshot(spark: SparkSession, folder: str) -> tuple[Row, DataFrame]:
+    """The manifest of a snapshot folder and its hits, if sizes, checksums, counts and ids agree in every layer."""
+    schema = f"record_count long, response_received_utc string, files struct<compressed:{_LAYER},uncompressed:{_LAYER}>"
+    manifest = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/manifest.json").first()
+    if manifest is None or manifest["files"] is None or manifest["record_count"] is None:
+        raise ValueError(f"{folder} has no complete manifest")
+    packed, plain = manifest["files"]["compressed"], manifest["files"]["uncompressed"]
+    path = f"{folder}/{packed['path']}"
+    verify_layers(spark, path, (packed["bytes"], packed["sha256"]), (plain["bytes"], plain["sha256"]))
+    return manifest, read_hits(spark, path, manifest["record_count"])
+
+
+def consistent(count: Callable[[], int], read: Callable[[int], str], most: int = 10_000) -> tuple[str, int]:
+    """The text of a response and its record count, if the source counts the same before and after it is read.
+
+    ``count`` and ``read`` are the deployment's client of the source; ``read`` gets the number of records to ask for.
+    """
+    before = count()
+    if not 0 < before <= most:
+        raise ValueError(f"{before} records can't be read at once")
+    text = read(before)
+    if count() != before:
+        raise ValueError("the source changed while it was read")
+    return text, before
+
+
+def read_records(spark: SparkSession, path: str, schema, records: int | None = None, stored: tuple[int, str] | None = None) -> DataFrame:
+    """Normalized records from JSON lines (gzip too); ids unique, one snapshot only, and the file as ``stored`` (bytes,
+    SHA-256) if that is given. Gzip files do not split: dealt out anew."""
+    if stored:
+        verify_file(spark, path, *stored)
     rows = spark.read.schema(schema).json(path).repartition("lesson_id")
     count, distinct, snapshots = rows.agg(F.count("*"), F.count_distinct("lesson_id"), F.count_distinct("source.snapshot_sha256")).first()
     if count != distinct or snapshots > 1 or (records is not None and records != count):
@@ -61,3 +110,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases: question, expected_ids, source_note."""
     cases = spark.read.schema("question string, expected_lesson_ids array<string>, source_note string").option("multiLine", True).json(path)
     return cases.withColumnRenamed("expected_lesson_ids", "expected_ids")
+
+
+def checked_cases(cases: DataFrame, lessons: DataFrame) -> DataFrame:
+    """The cases, if all records that they expect are there."""
+    unknown = cases.select(F.explode("expected_ids").alias("lesson_id")).join(lessons.select("lesson_id"), "lesson_id", "left_anti").head(1)
+    if unknown:
+        raise ValueError(f"a case expects the unknown record {unknown[0]['lesson_id']}")
+    return cases

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,111 @@ def test_index_search_evaluate(spark, tmp_path):
 def test_metrics_without_cases(spark):
     ranks = spark.createDataFrame([], "query_id string, first_relevant_rank int")
     assert tuple(evaluate.metrics(ranks).first()) == (0, None, None)
+
+
+def _snapshot(spark, tmp_path, hits):
+    text = json.dumps({"timed_out": False, "_shards": {"total": 1, "successful": 1, "failed": 0}, "hits": {"total": {"value": len(hits), "relation": "eq"}, "hits": hits}})
+    counts = iter([len(hits)] * 2)
+    found, n = readers.consistent(lambda: next(counts), lambda _: text)
+    folder = str(tmp_path / "snapshot")
+    sinks.write_snapshot(spark, found, n, folder, "2001-01-02T00:00:00Z", ["lesson"])
+    return folder
+
+
+def test_snapshot_is_verified_in_every_layer(spark, tmp_path):
+    folder = _snapshot(spark, tmp_path, [_hit(1, lesson="x"), _hit(2, lesson="y")])
+    manifest, hits = readers.load_snapshot(spark, folder)
+    assert manifest["record_count"] == 2 and hits.count() == 2
+    with pytest.raises(Exception, match="exist"):
+        _snapshot(spark, tmp_path, [_hit(1)])
+    facts = manifest["files"].asDict(recursive=True)
+    for layer, key, value in (("compressed", "bytes", 1), ("compressed", "sha256", "0"), ("uncompressed", "bytes", 1), ("uncompressed", "sha256", "0")):
+        wrong = facts | {layer: facts[layer] | {key: value}}
+        sinks.write_json(spark, {"record_count": 2, "files": wrong}, f"{folder}/manifest.json")
+        with pytest.raises(ValueError, match="mismatch"):
+            readers.load_snapshot(spark, folder)
+    sinks.write_json(spark, {"record_count": 3, "files": facts}, f"{folder}/manifest.json")
+    with pytest.raises(ValueError, match="agree"):
+        readers.load_snapshot(spark, folder)
+
+
+def test_sources_that_change_or_are_hollow_are_refused(spark, tmp_path):
+    counts = iter([5, 6])
+    with pytest.raises(ValueError, match="changed"):
+        readers.consistent(lambda: next(counts), lambda _: "")
+    with pytest.raises(ValueError):
+        readers.consistent(lambda: 10_001, lambda _: "")
+    for source in ({}, None, 5):
+        with pytest.raises(ValueError, match="sources"):
+            readers.read_hits(spark, _response(tmp_path / "h.json", [_hit(1), {"_id": "2", "_source": source}]))
+
+
+def test_ingest_writes_products_manifest_and_report(spark, tmp_path):
+    folder, out = _snapshot(spark, tmp_path, [_hit(1, lesson="a", lesson_learned="b"), _hit(2), {"_id": "q", "_source": {"query": 1}}]), str(tmp_path / "out")
+    made = corpus.ingest(spark, folder, out, BASE)
+    facts = json.loads("\n".join(r["value"] for r in spark.read.text(f"{out}/manifest").collect()))
+    assert made.lessons.count() == 2 and facts["products"]["lessons"]["records"] == 2 and facts["products"]["quarantine"]["records"] == 1
+    assert facts["statistics"]["input_hits"] == 3 and facts["statistics"]["field_variant lesson"] == 1 and facts["statistics"]["missing_section lesson"] == 1
+    assert "query" in facts["source_fields"] and "| input_hits | 3 |" in "\n".join(r["value"] for r in spark.read.text(f"{out}/report").collect())
+    with pytest.raises(ValueError, match="protected"):
+        corpus.ingest(spark, folder, f"{folder}/../snapshot/x", BASE, protected=folder)
+    (tmp_path / "link").symlink_to(folder)
+    with pytest.raises(ValueError, match="protected"):
+        sinks.guard_outside(str(tmp_path / "link" / "x"), folder)
+
+
+def test_canonical_lines_and_redaction(spark, tmp_path):
+    sinks.write_jsonl(spark.createDataFrame([("é", None, 1)], "b string, c string, a int"), str(tmp_path / "j"), canonical=True)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":1,"b":"é","c":null}']
+    row = spark.createDataFrame([("the key s3cret failed " + "x" * 900,)], "m string").select(sinks.redacted(F.col("m"), "s3cret").alias("m")).first()
+    assert "s3cret" not in row["m"] and "[removed]" in row["m"] and len(row["m"]) == 600
+
+
+def test_index_run_steps_and_answers(spark, tmp_path):
+    class Echo:
+        def generate(self, prompts):
+            return [json.loads(p)["question"].upper() for p in prompts]
+
+    lessons = _record(spark, "1", lesson="pumps leak at night").union(_record(spark, "2", lesson="valves freeze in winter"))
+    config, embedder = ChunkConfig(), HashedWordEmbedder(256)
+    points = corpus.index(lessons, str(tmp_path / "runs"), "d", embedder, config)
+    assert points.count() == 2 and corpus.index(lessons, str(tmp_path / "runs"), "d", embedder, config).count() == 2
+    cases = readers.checked_cases(spark.createDataFrame([("q1", "pumps leak", ["1"]), ("q2", "valves winter", ["1"])], "query_id string, question string, expected_ids array<string>"), lessons)
+    once = corpus.evaluated(points, cases, embedder, config)
+    steps = [corpus.evaluated_in_steps(points, cases, embedder, config, str(tmp_path / "e"), at_once=1) for _ in range(2)]
+    assert [tuple(s.first()) for s in steps] == [tuple(once.first())] * 2 and '"complete": true' in "".join(r["value"] for r in spark.read.text(str(tmp_path / "e/report")).collect())
+    with pytest.raises(ValueError, match="unknown record 9"):
+        readers.checked_cases(spark.createDataFrame([("q", ["1", "9"])], "query_id string, expected_ids array<string>"), lessons)
+    with pytest.raises(ValueError, match="dimensions"):
+        corpus.search(points, cases, HashedWordEmbedder(64), config)
+    said = {r["query_id"]: (r["answer"], r["source_ids"][0]) for r in corpus.answers(points, lessons, cases, embedder, Echo(), config).collect()}
+    assert said == {"q1": ("PUMPS LEAK", "1"), "q2": ("VALVES WINTER", "2")}
+
+
+def test_longest_prefixes_equal_trying_each(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", "é", "漢", "😀", " ", "  ", "\n", ". ", "\xa0"]) for _ in range(rng.randrange(1, 60)))
+        begin, words, size = rng.randrange(len(text)), rng.randrange(0, 9), rng.randrange(0, 40)
+        fits = [n for n in range(len(text) - begin + 1) if len(text[begin : begin + n].split()) <= words and len(text[begin : begin + n].encode()) <= size]
+        assert chunking.longest_prefix(text, begin, len(text), words, size) == max(fits), (text, begin, words, size)
+
+
+def test_search_by_blocks_equals_brute_force(spark, monkeypatch):
+    """Ties after rounding, several blocks of queries, batches of a few rows."""
+    rng = np.random.default_rng(2)
+    vec = np.round(rng.normal(size=(300, 5)), 1)
+    asked = np.round(rng.normal(size=(9, 5)), 1)
+    index = spark.createDataFrame([(int(i % 17), i, [float(x) for x in v]) for i, v in enumerate(vec)], "parent int, child int, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id int, query_vector array<double>")
+    expected = set()
+    for q, a in enumerate(asked):
+        best = {}
+        for i, v in enumerate(vec):
+            best.setdefault(i % 17, []).append((-round(float(v @ a), 6), i))
+        expected |= {(q, p, c, -s, n + 1) for n, (s, c, p) in enumerate(sorted((*min(rows), p) for p, rows in best.items())[:4])}
+    for block_bytes, at_once in ((64 << 20, 1 << 21), (100, 30)):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(vectors, "SCORES_AT_ONCE", at_once)
+        found = {(r["query_id"], r["parent"], r["child"], r["score"], r["rank"]) for r in vectors.top_parents(index, queries, 4, "parent", "child").collect()}
+        assert found == expected
