@@ -123,26 +123,31 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def _with_equals(positions: DataFrame, *key: str) -> DataFrame:
-    """The keys that have two places (doc_id, tag, at), with the earliest; written, so that a key of very many positions
-    is skewed on one side of a join only, which Spark splits."""
-    place = F.struct("doc_id", "tag", "at")
-    found = positions.groupBy(*key).agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest")
-    return materialize(found.select(*key, "earliest"), "line-equals")
+def _shared(positions: DataFrame, key: str) -> DataFrame:
+    """The keys that occur twice at least; written, so that a key of very many positions is skewed on one side of a join
+    only, which Spark splits. (That a document's position may stand in two equal rows only adds to what is compared.)"""
+    return materialize(positions.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "line-shared")
+
+
+def _earliest(runs: DataFrame) -> DataFrame:
+    """low, high and the earliest place (doc_id, tag, at) of the runs that occur twice at least; written as above."""
+    found = runs.groupBy("low", "high").agg(F.min(F.struct("doc_id", "tag", "at")).alias("earliest"), F.count("*").alias("n"))
+    return materialize(found.where("n > 1").select("low", "high", "earliest"), "line-earliest")
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, tag and runs (array of first, last): the lines to delete in each document that has any; written."""
     lines = materialize(hashed_lines(docs, least_words), "line-hashes")
     positions = lines.select("doc_id", "tag", F.explode("picks").alias("pick")).select("doc_id", "tag", "pick.*")
-    shared = _with_equals(positions, "fingerprint")
-    hits = positions.join(shared.select("fingerprint"), "fingerprint", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("ats"))
+    shared = _shared(positions, "fingerprint")
+    # what grows with the corpus is merged, also while it is small: a broadcast that ends at some size is a step in the costs
+    hits = positions.hint("merge").join(shared, "fingerprint", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("ats"))
     hits = hits.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "ats")
-    around = lines.drop("picks").join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))).drop("of", "of_tag")
+    around = lines.drop("picks").hint("merge").join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))).drop("of", "of_tag")
     runs = materialize(extended(around, least_words).withColumn("at", F.col("first")), "line-runs")
     release(lines, shared)
-    earliest = _with_equals(runs, "low", "high")
-    later = runs.join(earliest, ["low", "high"]).where(F.struct("doc_id", "tag", "at") > F.col("earliest"))
+    earliest = _earliest(runs)
+    later = runs.hint("merge").join(earliest, ["low", "high"]).where(F.struct("doc_id", "tag", "at") > F.col("earliest"))
     out = materialize(later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "line-repeats")
     release(runs, earliest)
     return out
@@ -154,7 +159,7 @@ def _join_runs(docs: DataFrame, runs: DataFrame, name: str, how: str = "left") -
     tag, doc_id, of = (fresh(n, docs) for n in ("_tag", "_doc_id", "_of"))
     right = runs.select(F.col("doc_id").alias(doc_id), F.col("tag").alias(of), F.col("runs").alias(name))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.col(tag) == F.col(of))
-    return docs.withColumn(tag, F.xxhash64(text)).join(right, same, how).drop(tag, doc_id, of)
+    return docs.withColumn(tag, F.xxhash64(text)).hint("merge").join(right, same, how).drop(tag, doc_id, of)
 
 
 def _without(text: str, runs: list[dict] | None) -> tuple[str, int, int]:
@@ -237,9 +242,14 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def anchor_words(least_words: int) -> int:
+    """Longer anchors are shared by chance less often, shorter ones are fewer."""
+    return max(1, least_words // 3)
+
+
 def anchors(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the shorter runs of words that are the smallest in some run of ``least_words`` words (winnowing)."""
-    k = (least_words + 1) // 2
+    k = anchor_words(least_words)
     if len(hashes) < least_words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = run_hashes(hashes, k)
@@ -272,7 +282,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     Equal runs share an anchor at the same place in them. Only around anchors that occur twice are runs hashed whole and
     compared; all of them are, so that a passage is found word by word past any line's edges.
     """
-    k = (least_words + 1) // 2
+    k = anchor_words(least_words)
 
     def chosen(hashes: np.ndarray, _: None) -> tuple[np.ndarray, ...]:
         return anchors(hashes, least_words)
@@ -284,14 +294,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     found = materialize(_rows_of(_tagged(docs).withColumn("text", text), chosen, ["anchor"]), "passage-anchors")
-    shared = _with_equals(found, "anchor")
-    hits = found.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("runs"))
+    shared = _shared(found, "anchor")
+    hits = found.hint("merge").join(shared, "anchor", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("runs"))
     likely = _join_runs(docs.select("doc_id", "text"), hits, "_ats", "inner")
     likely = likely.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), text, "_ats")
     runs = materialize(_rows_of(likely, around, ["low", "high"]), "passage-runs")
     release(found, shared)
-    earliest = _with_equals(runs, "low", "high")
-    later = runs.join(earliest, ["low", "high"]).where(F.struct("doc_id", "tag", "at") > F.col("earliest"))
+    earliest = _earliest(runs)
+    later = runs.hint("merge").join(earliest, ["low", "high"]).where(F.struct("doc_id", "tag", "at") > F.col("earliest"))
     # a run that overlaps its first occurrence is part of it
     itself = F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (F.col("tag") == F.col("earliest.tag")) & (F.col("at") < F.col("earliest.at") + least_words)
     out = materialize(later.where(~itself).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("runs")), "passages")
