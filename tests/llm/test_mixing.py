@@ -48,6 +48,22 @@ def test_mix_equals_brute_force(spark, docs):
     assert all(r["taken"] <= 2 * r["size"] for r in found)
 
 
+def test_mixed_texts_hold_the_words_taken(docs):
+    """As often as they are taken, in stretches of the document, each pass once over a word at most."""
+    texts: dict = defaultdict(list)
+    for r in mixing.mixed_documents(docs).where("doc_id < 900").collect():
+        texts[r["doc_id"]].append(r["text"].split())
+    whole = {r["doc_id"]: r["text"].split() for r in docs.where("doc_id < 900").distinct().collect()}
+    taken: Counter = Counter()
+    for r in mixing.mix(docs).where("doc_id < 900").collect():
+        taken[r["doc_id"]] += r["taken"]
+    for doc_id, n in taken.items():
+        assert sum(map(len, texts[doc_id])) == n
+        for words in texts[doc_id]:
+            rest = iter(whole[doc_id])
+            assert all(w in rest for w in words)  # a subsequence
+
+
 def test_mix_does_not_depend_on_partitions(docs):
     rows = lambda df: Counter(map(tuple, mixing.mix(df).collect()))
     assert rows(docs) == rows(docs.repartition(7, "text"))
