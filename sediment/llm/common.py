@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, release, shared_dir  # noqa: F401  handed on
+
 #: Texts that one step of an Arrow function holds at once.
 TEXTS_AT_ONCE = 256
 TEXTS_BYTES_AT_ONCE = 4 << 20
@@ -22,33 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut and no executor holds the only copy."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[out] = path
-    return out
-
-
-#: Where the tables lie that materialize wrote.
-_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove materialized tables that no later step reads: all that was made from them is written itself."""
-    for df in tables:
-        spark = df.sparkSession
-        if (path := _written.pop(df, None)) and (jvm := getattr(spark, "_jvm", None)):  # elsewhere the files stay until the folder is cleared
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(n, 1))))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import array
 import re
 import sys
-from collections import ChainMap
 from functools import cache
 from itertools import chain
 
@@ -20,8 +19,9 @@ _PIECES_WITH_ODD_SPACE = re.compile(r"(?:\A\s+)?(?: ?\S+)(?:(?:\s\s+|[^\S \n]|\s
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 _LETTERS_THEN_MARKS = re.compile(rf"( ?{_LETTER}++)({_MARK}++)\Z")
 _ONE_PRETOKEN = re.compile(rf" ?{_LETTER}++|{_MARK}++")
-#: So many pieces are remembered at most; later ones are computed anew, which bounds the memory of a worker.
-KNOWN_PIECES = 1_200_000
+#: So many pieces are remembered at most, and none of over so many characters; later ones are computed anew, which bounds
+#: the memory of a worker.
+KNOWN_PIECES, LONGEST_KNOWN = 400_000, 100
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,11 +70,12 @@ class PieceEncoder:
             pieces += words
         return pieces
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        """Ids of pieces: those of letters and then punctuation from both parts, the others by the library."""
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Ids of pieces: those of letters and then punctuation from both parts, the others by the library. Returns all that are new."""
+        known = self._known
         parts = {p: m.groups() for p in pieces if (m := _LETTERS_THEN_MARKS.match(p))}
         plain = [p for p in pieces if p not in parts]
-        plain += [p for p in set().union(*parts.values()) if p not in known and p not in self._known]
+        plain += [p for p in set().union(*parts.values()).difference(plain) if p not in known]
         merge, odd = self._tokenizer.model.tokenize, []
         for piece in plain:
             if _ONE_PRETOKEN.fullmatch(piece):  # the library's model alone: the steps before it are known here
@@ -87,19 +88,16 @@ class PieceEncoder:
             for piece, encoding in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = self._ids(encoding.ids)
         for piece, (letters, marks) in parts.items():
-            known[piece] = b"".join(known[p] if p in known else self._known[p] for p in (letters, marks))
+            known[piece] = known[letters] + known[marks]
+        return [*plain, *parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        new = [piece for piece in set(chain.from_iterable(cut)) if piece not in self._known]
-        known = self._known
-        if len(known) + 2 * len(new) < KNOWN_PIECES:
-            self._learn([p for p in new if len(p) <= 100], known)
-            new = [p for p in new if len(p) > 100]
-        if new:
-            known = ChainMap({}, known)  # for this call only
-            self._learn(new, known.maps[0])
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        cut, known = [self._cut(text) for text in texts], self._known
+        learned = self._learn([piece for piece in set(chain.from_iterable(cut)) if piece not in known])
+        ids = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in learned if len(known) > KNOWN_PIECES else [p for p in learned if len(p) > LONGEST_KNOWN]:
+            del known[piece]
+        return ids
 
 
 @cache
