@@ -1,24 +1,22 @@
-"""HTML fields to structured text: one pass over parser events, applied in Arrow batches.
+"""HTML as rows of parser events, in Arrow batches; what they mean is decided in operators.markup, by joins and windows.
 
-Open elements form a stack of frames that collect text; what an element means is decided when it closes. The parser is
-the standard library's, so recovery from broken markup is its own: end tags without a start are reported and ignored,
-and paragraphs, list items and table parts close where HTML implies it.
+The parser is the standard library's, so recovery from broken markup is its own: end tags without a start are reported
+and ignored, and paragraphs, list items, links and table parts close where HTML implies it.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Iterable, Iterator
 from contextlib import suppress
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import PLACEHOLDERS, RENDERED
-
 # The tag classes of the record format.
 BLOCKS = {
     "p", "div", "section", "article", "header", "footer", "center", "blockquote", "pre", "dl", "dt", "dd", "ul", "ol",
@@ -33,19 +31,12 @@ KNOWN = BLOCKS | MEDIA | DROPPED | {
 }
 _VOID = {"br", "hr", "img", "embed", "source", "wbr", "col", "input", "meta", "link", "area", "base", "param", "track"}
 #: An opening tag closes these, up to the scope that holds them.
-_IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "thead": ({"tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
-_LINE_END, _GAP = re.compile(r"\r\n?|\n"), re.compile(r"\n{3,}")
-
-
-def tidy(text: str) -> str:
-    """As functions.text.tidy."""
-    words = (" ".join(line.split()) for line in _LINE_END.split(text))
-    return _GAP.sub("\n\n", "\n".join(words)).strip("\n")
-
-
-def meaningful(text: str | None) -> bool:
-    """As functions.text.meaningful."""
-    return text is not None and text.strip().lower() not in PLACEHOLDERS
+_IMPLIED = {"a": ({"a"}, {"table", "td", "th", "caption"}), "li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "thead": ({"tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
+_P_SCOPE = {"table", "li", "td", "th", "caption", "div"}
+_ATTRIBUTES = {"href", "src", "data", "alt", "title", "rowspan", "colspan", "start", "value"}
+#: Two code points that are no characters mark where a list item begins and ends.
+ITEM_BEGINS, ITEM_ENDS = "\ufdd0", "\ufdd1"
+_RESERVED = {ord(ITEM_BEGINS): "\ufffd", ord(ITEM_ENDS): "\ufffd"}
 
 
 def resolve(reference: object, base: str) -> str | None:
@@ -58,233 +49,110 @@ def resolve(reference: object, base: str) -> str | None:
     return None
 
 
-class _Frame:
-    def __init__(self, tag: str, attrs: dict, extra: dict | None = None):
-        self.tag, self.attrs, self.parts, self.extra = tag, attrs, [], extra if extra is not None else {}
+class _Events(HTMLParser):
+    """Tags and text of one page in order; end tags that HTML implies are there, end tags without a start are problems."""
 
-
-class _Renderer(HTMLParser):
-    def __init__(self, base: str):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.base, self.stack, self.raw = base, [_Frame("", {})], []
-        self.out: dict = {"tables": [], "links": [], "media": [], "parser_diagnostics": []}
-        self.unknown: set[str] = set()
+        self.open: list[tuple[str, int]] = []
+        self.rows: list[tuple] = []
 
-    # where the parser is
+    def _add(self, kind: str, tag: str | None, start: int | None = None, attrs: list | None = None, text: str | None = None, line: int | None = None, column: int | None = None) -> None:
+        parent = self.open[-1][1] if self.open else -1
+        self.rows.append((len(self.rows), kind, tag, start, parent, len(self.open), attrs, text, line, column))
 
-    def _skipping(self) -> bool:
-        return any(f.tag in DROPPED for f in self.stack)
+    def _dropping(self) -> bool:
+        return any(tag in DROPPED for tag, _ in self.open)
 
-    def _table(self) -> tuple[_Frame | None, bool]:
-        """The nearest table, and whether a cell or caption of it holds what comes now."""
-        for frame in reversed(self.stack):
-            if frame.tag == "table":
-                return frame, False
-            if frame.tag in ("td", "th", "caption"):
-                return None, True
-        return None, False
+    def _close(self) -> None:
+        tag, seq = self.open.pop()
+        if not self._dropping() and tag not in DROPPED:
+            self._add("close", tag, seq)
 
-    # events
+    def _close_within(self, tags: set[str], scope: set[str]) -> None:
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] in scope:
+                return
+            if self.open[at][0] in tags:
+                while len(self.open) > at:
+                    self._close()
 
     def handle_starttag(self, tag, attrs):
-        if self._skipping():
+        if self._dropping():
             return
-        values = {k: v if v is not None else "" for k, v in attrs}
-        if tag not in KNOWN:
-            self.unknown.add(tag)
-        if tag in BLOCKS and any(f.tag == "p" for f in self.stack) and not self._table()[1]:
-            self._close_within({"p"}, {"table", "li", "td", "th", "div"})
+        if tag in BLOCKS:
+            self._close_within({"p"}, _P_SCOPE)
         if tag in _IMPLIED:
             self._close_within(*_IMPLIED[tag])
-        self.stack[-1].extra["touched"] = True
-        frame = _Frame(tag, values)
-        if tag == "table":
-            self.out["tables"].append({"number": len(self.out["tables"]) + 1, "caption": None, "rows": [], "text_outside_cells": None})
-            frame.extra |= {"table": self.out["tables"][-1], "captions": [], "outside": [], "nested": any(f.tag in ("td", "th", "caption") for f in self.stack)}
-        elif tag == "li":
-            frame.extra["marker"] = self._marker(values)
-        elif tag in MEDIA:
-            frame.parts.append(self._media(tag, values))
-        self.stack.append(frame)
+        if tag not in DROPPED:
+            self._add("open", tag, len(self.rows), [(k, v or "") for k, v in dict(attrs[::-1]).items() if k in _ATTRIBUTES])
+        self.open.append((tag, len(self.rows) - 1))
         if tag in _VOID:
             self._close()
 
     def handle_startendtag(self, tag, attrs):
+        depth = len(self.open)
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.stack[-1].tag == tag:
+        if tag not in _VOID and len(self.open) > depth:
             self._close()
 
     def handle_endtag(self, tag):
         if tag in _VOID:
             return
-        if not any(f.tag == tag for f in self.stack):
-            if not self._skipping():
+        if not any(t == tag for t, _ in self.open):
+            if not self._dropping():
                 line, column = self.getpos()
-                self.out["parser_diagnostics"].append({"level": "WARNING", "line": line, "column": column, "message": f"end tag without a start: {tag}"})
+                self._add("problem", tag, text=f"end tag without a start: {tag}", line=line, column=column)
             return
-        while self.stack[-1].tag != tag:
+        while self.open[-1][0] != tag:
             self._close()
         self._close()
 
     def handle_data(self, data):
-        if self._skipping():
-            return
-        self.raw.append(data)
-        table, _ = self._table()
-        if table is None:
-            self.stack[-1].parts.append(data)
-        elif not table.extra["nested"] or (self.stack[-1] is table and "touched" not in table.extra):
-            table.extra["outside"].append(data)
+        if not self._dropping():
+            self._add("text", None, text=data.translate(_RESERVED))
 
-    # closing
+    def finish(self) -> list[tuple]:
+        self.close()
+        while self.open:
+            self._close()
+        return self.rows
 
-    def _close_within(self, tags: set[str], scope: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag in scope:
-                return
-            if self.stack[depth].tag in tags:
-                while len(self.stack) > depth:
-                    self._close()
-                if not any(f.tag in tags for f in self.stack) or not scope:
-                    return
 
-    def _close(self) -> None:
-        frame = self.stack.pop()
-        shown = getattr(self, f"_close_{frame.tag}", self._close_other)(frame, "".join(frame.parts))
-        self.stack[-1].parts.append(shown)
-
-    def _close_other(self, frame: _Frame, body: str) -> str:
-        if frame.tag in DROPPED:
-            return ""
-        return f"\n{body}\n" if frame.tag in BLOCKS else body
-
-    def _close_br(self, frame, body):
-        return "\n"
-
-    _close_hr = _close_br
-
-    def _close_sup(self, frame, body):
-        return f"^({body})"
-
-    def _close_sub(self, frame, body):
-        return f"_({body})"
-
-    def _close_a(self, frame, body):
-        if "href" in frame.attrs:
-            href = frame.attrs["href"]
-            self.out["links"].append({"text": tidy(body), "reference": href, "resolved_url": resolve(href, self.base), "status": "not_downloaded"})
-        return body
-
-    def _close_li(self, frame, body):
-        return f"\n{frame.extra['marker']} {body.strip()}\n"
-
-    def _close_cell(self, frame, body):
-        row = next((f for f in reversed(self.stack) if f.tag in ("tr", "table")), None)
-        if row is None:
-            return body
-        row.extra.setdefault("cells", []).append({"text": tidy(body), "is_header": frame.tag == "th", "rowspan": frame.attrs.get("rowspan", "1"), "colspan": frame.attrs.get("colspan", "1")})
-        return ""
-
-    _close_td = _close_th = _close_cell
-
-    def _close_tr(self, frame, body):
-        table = next((f for f in reversed(self.stack) if f.tag == "table"), None)
-        if table is None:
-            return body
-        if frame.extra.get("cells"):
-            table.extra["table"]["rows"].append(frame.extra["cells"])
-        return ""
-
-    def _close_caption(self, frame, body):
-        table = next((f for f in reversed(self.stack) if f.tag == "table"), None)
-        if table is None:
-            return body
-        table.extra["captions"].append(body)
-        return ""
-
-    def _close_table(self, frame, body):
-        table, lines = frame.extra["table"], [f"[Table {frame.extra['table']['number']}]"]
-        if frame.extra.get("cells"):  # cells without a row
-            table["rows"].append(frame.extra["cells"])
-        if frame.extra["captions"]:
-            table["caption"] = tidy("\n".join(frame.extra["captions"]))
-        if table["caption"]:
-            lines.append(table["caption"])
-        for row in table["rows"]:
-            lines.append(" | ".join(c["text"] + ("" if (c["rowspan"], c["colspan"]) == ("1", "1") else f" [rowspan={c['rowspan']}; colspan={c['colspan']}]") for c in row))
-        outside = [t for t in map(tidy, frame.extra["outside"]) if meaningful(t)]
-        if outside:
-            table["text_outside_cells"] = outside
-            lines.append("[Text outside table cells] " + " ".join(outside))
-        return "\n" + "\n".join(lines) + f"\n[End table {table['number']}]\n"
-
-    def _marker(self, values: dict) -> str:
-        parent = self.stack[-1]
-        if parent.tag != "ol" or parent.extra.get("bad"):
-            if parent.tag == "ol":
-                self.unknown.add("invalid_ordered_list_number")
-            return "-"
-        try:
-            following = parent.extra["next"] if "next" in parent.extra else int(parent.attrs.get("start", "1"))
-            number = int(values["value"]) if "value" in values else following
-        except ValueError:
-            parent.extra["bad"] = True
-            self.unknown.add("invalid_ordered_list_number")
-            return "-"
-        parent.extra["next"] = number + 1
-        return f"{number}."
-
-    def _media(self, tag: str, values: dict) -> str:
-        number, alt = len(self.out["media"]) + 1, tidy(values.get("alt", ""))
-        reference = values.get("src") or values.get("data") or ""
-        self.out["media"].append({"number": number, "tag": tag, "reference": reference, "resolved_url": resolve(reference, self.base), "alt": alt or None, "title": values.get("title"), "status": "not_downloaded"})
-        return f"[{'Image' if tag == 'img' else 'Media'} {number}" + (f"; source alt: {alt}" if alt else "") + "; content not loaded]"
-
-
-def render(value: object, base: str) -> dict:
-    """The rendered field as a dictionary with the names of RENDERED."""
-    empty = {"text": None, "source_text_present": False, "tables": [], "links": [], "media": [], "parser_diagnostics": [], "unrecognized_tags": [], "parse_failed": None}
-    if value is None:
-        return empty
-    if not isinstance(value, str):
-        return empty | {"parser_diagnostics": [{"level": "ERROR", "line": None, "column": None, "message": "not a text field"}]}
-    if not value.strip():
-        return empty
-    renderer = _Renderer(base)
+def _page_events(html: str) -> list[tuple]:
+    parser = _Events()
     try:
-        renderer.feed(value)
-        renderer.close()
-        while len(renderer.stack) > 1:
-            renderer._close()
+        parser.feed(html)
+        return parser.finish()
     except (AssertionError, ValueError, RecursionError) as error:
-        return empty | {"text": value, "parse_failed": str(error) or type(error).__name__}
-    text = tidy("".join(renderer.stack[0].parts))
-    return empty | renderer.out | {"text": text if meaningful(text) else None, "source_text_present": meaningful(tidy("".join(renderer.raw))), "unrecognized_tags": sorted(renderer.unknown)}
+        return [(0, "failed", None, None, -1, 0, None, str(error) or type(error).__name__, None, None)]
 
 
-def render_html(value: Column, base: str) -> Column:
-    """Rendered struct of a text column, in Arrow batches."""
+EVENTS = "seq int, kind string, tag string, start int, parent int, depth int, attrs map<string,string>, text string, line int, column int"
 
-    @F.pandas_udf(RENDERED)
-    def run(values: pd.Series) -> pd.DataFrame:
-        rows = [render(v, base) for v in values]
-        return pd.DataFrame(rows, columns=list(render(None, base)))
-
-    return run(value)
 
+def page_events(pages: DataFrame) -> DataFrame:
+    """key and EVENTS of pages (key string, html string): a row for each start tag, end tag, stretch of text and problem."""
+    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+    names = ["key", *(c.split()[0] for c in EVENTS.split(", "))]
 
-def render_fields(fields: Column, base: str) -> Column:
-    """Rendered structs of an array of JSON values (null: absent), so a record crosses to Python once."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(keys: list[str], rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    @F.pandas_udf(f"array<{RENDERED}>")
-    def run(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            once = {v: None if v is None else render(json.loads(v), base) for v in row}  # two spellings of a field often say the same
-            out.append([once[v] for v in row])
-        return pd.Series(out)
+        for batch in batches:
+            keys, rows = [], []
+            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _page_events(html)
+                keys += [key] * len(found)
+                rows += found
+                if len(rows) > 20_000:
+                    yield made(keys, rows)
+                    keys, rows = [], []
+            yield made(keys, rows)
 
-    return run(fields)
+    return pages.select("key", "html").mapInArrow(run, f"key string, {EVENTS}")
 
 
 def resolved_url(reference: Column, base: str) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..contracts import NOT_CORE, SCHEMA_VERSION, SECTIONS
 from ..functions import text as T
-from ..functions.html import render_fields, resolved_url
+from ..functions.html import resolved_url
 from ..scratch import materialize, release
+from .markup import empty_rendering, rendered_texts
 
 FIELDS = ["title", *(f for fields in SECTIONS.values() for f in fields)]
 _ISSUE = "struct<code:string,section:string,detail:string>"
@@ -24,11 +25,6 @@ class Normalized:
     issues: DataFrame
 
 
-def _raw(field: str) -> Column:
-    """The field as JSON text; null if absent (a present null is the text null)."""
-    return F.to_json(F.try_variant_get("source", f"$.{field}", "variant"))
-
-
 def _string(field: str) -> Column:
     value = F.try_variant_get("source", f"$.{field}", "variant")
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("source", f"$.{field}", "string"))
@@ -41,6 +37,23 @@ def with_identifier(hits: DataFrame) -> DataFrame:
     return hits.withColumn("lesson_id", F.when(T.is_identifier(text), text))
 
 
+def rendered_fields(records: DataFrame, base_url: str) -> DataFrame:
+    """lesson_id and r: the renderings of all FIELDS in their order, null where a record has no such field.
+
+    A row for each field that is there; equal texts, in whatever field or record, are rendered once.
+    """
+    def there(field: str) -> Column:
+        value = F.try_variant_get("source", f"$.{field}", "variant")
+        return F.when(value.isNotNull(), F.struct(F.lit(FIELDS.index(field)).alias("i"), _string(field).alias("text"), (~F.schema_of_variant(value).isin("STRING", "VOID")).alias("wrong")))
+
+    fields = records.select("lesson_id", F.explode(F.array_compact(F.array(*map(there, FIELDS)))).alias("f")).select("lesson_id", "f.*")
+    done = rendered_texts(materialize(fields, "record-fields"), "text", base_url)
+    problem = F.array(F.struct(F.lit("ERROR").alias("level"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit("not a text field").alias("message")))
+    r = F.when(F.col("wrong"), F.col("r").withField("parser_diagnostics", problem)).otherwise(F.col("r"))
+    by_record = done.groupBy("lesson_id").agg(F.map_from_entries(F.collect_list(F.struct("i", r.alias("r")))).alias("by_field"))
+    return by_record.select("lesson_id", F.array(*(F.try_element_at("by_field", F.lit(i)) for i in range(len(FIELDS)))).alias("r"))
+
+
 def has_content(r: Column) -> Column:
     return F.coalesce((F.length(r["text"]) > 0) | (F.size(r["tables"]) > 0) | (F.size(r["media"]) > 0), F.lit(False))
 
@@ -96,11 +109,9 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     if twice:
         raise ValueError(f"identifier {twice[0]['lesson_id']} occurs more than once")
 
-    raw = F.array(*(_raw(f) for f in FIELDS))
-    rendered = good.withColumn("raw", raw).withColumn("r", render_fields(F.col("raw"), base_url)).drop("raw")
-    rendered = materialize(rendered, "rendered-fields")
+    rendered = materialize(good.join(rendered_fields(good, base_url), "lesson_id", "left"), "rendered-fields")
     sections = {s: resolve_section(s) for s in SECTIONS}
-    empty = F.from_json(F.lit('{"source_text_present":false,"tables":[],"links":[],"media":[],"parser_diagnostics":[],"unrecognized_tags":[]}'), rendered.schema["r"].dataType.elementType)
+    empty = empty_rendering()
 
     def origin(field: Column) -> Column:
         value = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*(_string(f) for f in FIELDS))), field)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .contracts import ChunkConfig
 from .functions import text as T
-from .functions.html import canonical_json, render_html
-from .operators import chunking, evaluate, normalize, order, quality, vectors
+from .functions.html import canonical_json, page_events
+from .operators import chunking, evaluate, markup, normalize, order, quality, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE_URL = "https://example.org/"
@@ -210,7 +210,7 @@ def json_metadata_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "pages").select("page_id", render_html(F.col("html"), BASE_URL).alias("r"))
+    return markup.rendered_texts(_t(spark, sf, "pages"), "html", BASE_URL).select("page_id", "r")
 
 
 @_query("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
@@ -236,8 +236,56 @@ def render_page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(h1|p|li|a)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
 def html_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tags = F.explode(F.regexp_extract_all("html", F.lit("<(h1|p|li|a)[ >]"), F.lit(1)))
-    return _t(spark, sf, "pages").select(tags.alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    events = page_events(_t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("key"), "html"))
+    return events.where("kind = 'open' and tag in ('h1', 'p', 'li', 'a')").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query(r"""SELECT page_id, n::INT AS n, a[2] AS text, concat('https://example.org', a[1]) AS resolved_url
+FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS n FROM (SELECT page_id, list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS l FROM pages))""")
+def link_rows(spark: SparkSession, sf: str) -> DataFrame:
+    links = _rendered(spark, sf).select("page_id", F.posexplode("r.links").alias("n", "link"))
+    return links.select("page_id", (F.col("n") + 1).alias("n"), "link.text", "link.resolved_url")
+
+
+@_query("""WITH lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) + 1 AS row FROM lineitem)
+SELECT l_orderkey AS order_key, 1 AS number, concat('Order ', l_orderkey) AS caption, 1 AS row, cell, text, true AS is_header, rowspan, colspan
+FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES (1, 'Line', '2', '1'), (2, 'Part & supplier', '1', '2')) h(cell, text, rowspan, colspan)
+UNION ALL SELECT l_orderkey, 1, concat('Order ', l_orderkey), row::INT, cell, CASE cell WHEN 1 THEN l_linenumber::VARCHAR WHEN 2 THEN concat('part', chr(10), l_partkey) ELSE concat('^(', l_suppkey, ')') END, false, '1', '1' FROM lines, (VALUES (1), (2), (3)) c(cell)""")
+def render_table_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as an HTML table, read back cell by cell."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    row = lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"].cast("string"), F.lit("</td><td> part\n"), x["l_partkey"].cast("string"), F.lit("<td><sup>"), x["l_suppkey"].cast("string"), F.lit("</sup></td></tr>"))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    head = '</b></caption><tr><th rowspan="2">Line</th><th colspan=2>Part &amp; supplier</tr>'
+    html = F.concat(F.lit("<p>Lines</p><table><caption><b>Order "), F.col("l_orderkey").cast("string"), F.lit(head), F.array_join(F.transform("lines", row), ""), F.lit("</table>"))
+    return markup.table_cells(markup.rendered_texts(orders.select(F.col("l_orderkey").alias("order_key"), html.alias("html")), "html", BASE_URL), "order_key")
+
+
+@_query("""WITH o AS (SELECT c_custkey, count(*) AS n, string_agg(concat('[Table ', n + 1, ']', chr(10), o_orderkey, ' | ', o_custkey, chr(10), '[Text outside table cells] order', chr(10), '[End table ', n + 1, ']'), chr(10) || chr(10) ORDER BY o_orderkey) AS inside
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY c_custkey)
+SELECT c_custkey, n + 1 AS tables, 'before behind' AS outside, concat('[Table 1]', chr(10), 'Orders', chr(10), 'all:', chr(10), inside, chr(10), '[Text outside table cells] before behind', chr(10), '[End table 1]') AS text FROM o""")
+def nested_tables_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer as a table whose one cell holds a table for every order, with text outside the cells of both."""
+    orders = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    inner = F.transform("keys", lambda k: F.concat(F.lit("<table>order<tr><td>"), k.cast("string"), F.lit("</td><td>"), F.col("c_custkey").cast("string"), F.lit("</td></tr>dropped</table>")))
+    html = F.concat(F.lit("<table>before<caption>Orders</caption><tbody><tr><td>all:"), F.array_join(inner, ""), F.lit("</td></tr></tbody> behind </table>"))
+    r = markup.rendered_texts(orders.select("c_custkey", html.alias("html")), "html", BASE_URL)
+    return r.select("c_custkey", F.size("r.tables").cast("long").alias("tables"), F.array_join(F.col("r.tables")[0]["text_outside_cells"], " ").alias("outside"), "r.text")
+
+
+@_query("""WITH i AS (SELECT o_custkey, o_orderkey, o_custkey % 9 - 2 AS first, row_number() OVER w AS place, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 100 END AS own, max(CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END) OVER w AS bad
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
+j AS (SELECT *, last_value(CASE WHEN own IS NOT NULL THEN own - place END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS lead FROM i)
+SELECT o_custkey, string_agg(concat(CASE WHEN bad = 1 THEN '-' ELSE concat(coalesce(lead + place, first + place - 1), '.') END, ' order ', o_orderkey), chr(10) || chr(10) ORDER BY o_orderkey) AS text,
+CASE WHEN max(bad) = 1 THEN 'invalid_ordered_list_number' ELSE '' END AS unrecognized_tags FROM j GROUP BY o_custkey""")
+def render_list_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as an ordered list with a start, some values, and some that are no numbers."""
+    value = lambda k: F.when(k % 97 == 0, F.lit(' value="x"')).when(k % 5 == 0, F.concat(F.lit(' value="'), (k % 100).cast("string"), F.lit('"'))).otherwise("")
+    orders = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    items = F.transform("keys", lambda k: F.concat(F.lit("<li"), value(k), F.lit("> order <b>"), k.cast("string"), F.lit("</b>\n")))
+    html = F.concat(F.lit('<ol start="'), (F.col("o_custkey") % 9 - 2).cast("string"), F.lit('">'), F.array_join(items, ""), F.lit("</ol>"))
+    r = markup.rendered_texts(orders.select("o_custkey", html.alias("html")), "html", BASE_URL)
+    return r.select("o_custkey", "r.text", F.array_join("r.unrecognized_tags", " ").alias("unrecognized_tags"))
 
 
 def _page_hits(spark: SparkSession, sf: str) -> DataFrame:

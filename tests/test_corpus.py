@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sediment.contracts import ChunkConfig, HashedWordEmbedder
 from sediment.functions import text as T
-from sediment.functions.html import render
 from sediment.operators import chunking, evaluate, vectors
 from sediment.operators.normalize import normalize
 from sediment.plans import corpus
@@ -31,36 +30,6 @@ def _response(path, hits, **more):
     return str(path)
 
 
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        ("un<b>brok</b>en &lt;a&gt; &amp;lt; <script>no</script>tail", "unbroken <a> &lt; tail"),
-        ("10<sup>3</sup> H<sub>2</sub>O", "10^(3) H_(2)O"),
-        ("<ol start=3><li>a<li value=8>b</li><li>c</ol>", "3. a\n\n8. b\n\n9. c"),
-        ("<ul><li>x</ul>", "- x"),
-        ("<p> N/A&nbsp;</p>", None),
-        ("<div></div>", None),
-        ("null", None),
-        ("None of them", "None of them"),
-        ("a<!-- gone -->b<br>c", "ab\nc"),
-    ],
-)
-def test_html_text(html, text):
-    assert render(html, BASE)["text"] == text
-
-
-def test_html_tables_links_media():
-    r = render('<table><caption>Cap</caption>stray<tr><th rowspan=2>H<th colspan="2">K</tr><tr><td>1<td>20</tr></table><a href="/p">go</a><a href="mailto:x@y">m</a><img src="i.png" alt="pic"><foo>z</foo>', BASE)
-    table = r["tables"][0]
-    assert (table["caption"], [[c["text"] for c in row] for row in table["rows"]], table["text_outside_cells"]) == ("Cap", [["H", "K"], ["1", "20"]], ["stray"])
-    assert table["rows"][0][0]["is_header"] and table["rows"][0][0]["rowspan"] == "2" and "1 | 20" in r["text"] and "H [rowspan=2; colspan=1]" in r["text"]
-    assert [x["resolved_url"] for x in r["links"]] == [BASE + "p", None] and r["media"][0]["resolved_url"] == BASE + "i.png"
-    assert "[Image 1; source alt: pic; content not loaded]" in r["text"] and r["unrecognized_tags"] == ["foo"]
-    assert render("<ol start=q><li>a</ol>", BASE)["unrecognized_tags"] == ["invalid_ordered_list_number"]
-    assert render(5, BASE)["parser_diagnostics"][0]["level"] == "ERROR" and render(" ", BASE)["text"] is None
-    assert not render("<img src='x'>", BASE)["source_text_present"]
-
-
 def test_text_rules(spark):
     row = spark.createDataFrame([(" a  b \r\n\r\n\r\n\r\nc ", "quota", "Same as in  Lesson Learned.")], "a string, b string, c string").select(T.tidy(F.col("a")), T.broken_quote(F.col("b")), T.is_reference_only(F.col("c"))).first()
     assert tuple(row) == ("a b\n\nc", True, True)
