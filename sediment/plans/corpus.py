@@ -59,9 +59,10 @@ def index(lessons: DataFrame, root: str, dataset: str, embedder: Embedder, confi
     path = sinks.write_run(chunking.plan_chunks(lessons, dataset, config), root, config.as_dict() | {"dataset": dataset})
     chunks = spark.read.parquet(f"{path}/data")
     chunking.check_plan(chunks, config)
+    chunking.plan_manifest(chunks, config, dataset).coalesce(1).write.mode("overwrite").json(f"{path}/plan")
     status = vectors.embed_pending(chunks, embedder, f"{path}/cache")
     sinks.write_json(spark, status, f"{path}/status")
-    points = vectors.build_index(chunks, spark.read.parquet(f"{path}/cache"), embedder.dimensions)
+    points = vectors.build_index(chunks, vectors.checked_rounds(spark, f"{path}/cache", chunks, embedder.dimensions), embedder.dimensions)
     marked = sinks.write_run(points, f"{path}/index", config.as_dict() | {"dataset": dataset, "points": status["expected"], "dimensions": embedder.dimensions})
     built = spark.read.parquet(f"{marked}/data")
     if built.count() != status["expected"]:

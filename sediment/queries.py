@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -327,7 +329,38 @@ def _document_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@_query()
+#: Identity of the default settings, a part of every unit's identity.
+_SETTINGS = hashlib.sha256(json.dumps(ChunkConfig().as_dict(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+#: Documents are one paragraph without tables, and blanks in them single; so a long one is cut by words, as no 1,192 words fill the bytes.
+_CHUNK_PLAN = rf"""
+WITH RECURSIVE records AS (SELECT doc_id, text, concat('title: Document ', doc_id, ' | text: record ', doc_id, chr(10), chr(10)) AS prefix FROM documents WHERE text <> ''
+  AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' .')) NOT IN ('same as in lesson learned', 'see lesson(s) learned', 'see lesson learned')),
+costed AS (SELECT *, {_WORDS} + 8 AS words, strlen(prefix) + 7 + strlen(text) AS bytes FROM records),
+cut AS (SELECT doc_id, prefix, trim(text, ' ' || chr(10)) AS t, length(text) - length(ltrim(text, ' ' || chr(10))) AS lead, regexp_extract_all(trim(text, ' ' || chr(10)), '\S+\s*') AS tokens FROM costed WHERE words > 1200 OR bytes > 20000),
+placed AS (SELECT doc_id, prefix, t, list_transform(tokens, lambda x: length(rtrim(x, ' ' || chr(10)))) AS size, list_transform(tokens, lambda x: regexp_matches(x, '[.!?]\s+$|\n')) AS stops,
+  list_transform(range(1, len(tokens) + 2), lambda i: 0) AS zeros, list_transform(tokens, lambda x: length(x)) AS steps FROM cut),
+starts AS (SELECT doc_id, prefix, t, size, stops, list_prepend(0, list_transform(range(1, len(steps) + 1), lambda i: total[i])) AS s FROM
+  (SELECT p.*, (SELECT list(c ORDER BY i) FROM (SELECT i, (sum(p.steps[i]) OVER (ORDER BY i))::BIGINT AS c FROM range(1, len(p.steps) + 1) r(i))) AS total FROM placed p)),
+pieces AS (SELECT doc_id, -1 AS n, 0::BIGINT AS last, ''::VARCHAR AS part FROM starts
+  UNION ALL SELECT doc_id, n + 1, j, substr(t, s[b] + 1, CASE WHEN j = len(size) OR NOT stopped THEN s[j] + size[j] ELSE s[j + 1] END - s[b]) FROM
+    (SELECT *, CASE WHEN lim = len(size) THEN lim ELSE coalesce(stop, lim) END AS j, lim < len(size) AND stop IS NOT NULL AS stopped FROM
+      (SELECT *, list_max(list_filter(range(b, lim + 1), lambda x: stops[x] AND s[x + 1] - s[b] >= (s[lim + 1] - s[b]) // 2)) AS stop FROM
+        (SELECT p.n, p.last + 1 AS b, least(p.last + 1192, len(d.size)) AS lim, d.* FROM pieces p JOIN starts d USING (doc_id) WHERE p.last < len(d.size))))),
+counted AS (SELECT doc_id, n, part, len(list_filter(string_split_regex(part, '\s+'), lambda w: w <> '')) + 1 AS words, strlen(part) + 7 AS bytes FROM pieces WHERE n >= 0),
+packed AS (SELECT doc_id, n, part, 0 AS number, words, bytes FROM counted WHERE n = 0
+  UNION ALL SELECT doc_id, n, part, number + (CASE WHEN fits THEN 0 ELSE 1 END), CASE WHEN fits THEN w ELSE own_w END, CASE WHEN fits THEN z ELSE own_z END FROM
+    (SELECT c.doc_id, c.n, c.part, k.number, k.words + c.words AS w, k.bytes + c.bytes + 2 AS z, c.words AS own_w, c.bytes AS own_z, 7 + k.words + c.words <= 1200 AND strlen(r.prefix) + k.bytes + c.bytes + 2 <= 20000 AS fits
+     FROM packed k JOIN counted c ON c.doc_id = k.doc_id AND c.n = k.n + 1 JOIN records r ON r.doc_id = k.doc_id)),
+units AS (SELECT doc_id, number, count(*) AS spans, string_agg('LESSON' || chr(10) || part, chr(10) || chr(10) ORDER BY n) AS body, max(number) OVER (PARTITION BY doc_id) = 0 AS whole FROM packed GROUP BY doc_id, number),
+inputs AS (SELECT doc_id, 0 AS number, 1 AS spans, true AS whole, concat(prefix, 'LESSON', chr(10), text) AS input FROM costed WHERE words <= 1200 AND bytes <= 20000
+  UNION ALL SELECT doc_id, number, spans, whole, concat(prefix, body) FROM units JOIN records USING (doc_id)),
+named AS (SELECT *, sha256(concat_ws('|', '{_SETTINGS}', 'driver', length(doc_id::VARCHAR), doc_id, number, sha256(input))) AS key FROM inputs)
+SELECT regexp_replace(substr(key, 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') AS id, doc_id::VARCHAR AS lesson_id, number AS chunk_number, whole AS whole_lesson, sha256(input) AS input_sha256, spans::INT AS spans,
+  len(list_filter(string_split_regex(input, '\s+'), lambda w: w <> ''))::INT AS words, strlen(input)::INT AS bytes FROM named
+""".replace("\\\\", "\\")
+
+
+@_query(_CHUNK_PLAN)
 def chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunking.plan_chunks(_document_records(spark, sf), "driver", ChunkConfig())
     return chunks.select("id", "lesson_id", "chunk_number", "whole_lesson", "input_sha256", F.size("spans").alias("spans"), T.word_count(F.col("embedding_input")).alias("words"), T.byte_count(F.col("embedding_input")).alias("bytes"))

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sediment.contracts import ChunkConfig, HashedWordEmbedder
 from sediment.functions import text as T
-from sediment.operators import chunking, evaluate, vectors
+from sediment.operators import chunking, evaluate, order, vectors
 from sediment.operators.normalize import normalize
 from sediment.plans import corpus
 from sediment.sources import readers, sinks
 from sediment.streaming.embedding import embed_new_chunks
 
 BASE = "https://example.org/"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have the tests on their path
 
 
 def _hit(number, **fields):
@@ -104,7 +107,7 @@ def test_index_search_evaluate(spark, tmp_path):
     lessons = _record(spark, "1", lesson="pumps leak at night").union(_record(spark, "2", lesson="valves freeze in winter"))
     config, embedder = ChunkConfig(), HashedWordEmbedder(256)
     chunks = chunking.plan_chunks(lessons, "d", config)
-    assert vectors.embed_pending(chunks, embedder, str(tmp_path / "c"), max_new=1) == {"vectors": 1, "expected": 2, "complete": False}
+    assert vectors.embed_pending(chunks, embedder, str(tmp_path / "c"), max_new=1) == {"vectors": 1, "expected": 2, "complete": False, "rounds": 1}
     with pytest.raises(ValueError):
         vectors.build_index(chunks, spark.read.parquet(str(tmp_path / "c")), 256)
     assert vectors.embed_pending(chunks, embedder, str(tmp_path / "c"))["complete"]
@@ -218,21 +221,135 @@ def test_longest_prefixes_equal_trying_each(spark):
         assert chunking.longest_prefix(text, begin, len(text), words, size) == max(fits), (text, begin, words, size)
 
 
-def test_search_by_blocks_equals_brute_force(spark, monkeypatch):
-    """Ties after rounding, several blocks of queries, batches of a few rows."""
-    rng = np.random.default_rng(2)
-    vec = np.round(rng.normal(size=(300, 5)), 1)
-    asked = np.round(rng.normal(size=(9, 5)), 1)
-    index = spark.createDataFrame([(int(i % 17), i, [float(x) for x in v]) for i, v in enumerate(vec)], "parent int, child int, vector array<double>").repartition(3)
-    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id int, query_vector array<double>")
+def _best_parents(vec, asked, parents, k):
     expected = set()
     for q, a in enumerate(asked):
-        best = {}
+        best: dict = {}
         for i, v in enumerate(vec):
-            best.setdefault(i % 17, []).append((-round(float(v @ a), 6), i))
-        expected |= {(q, p, c, -s, n + 1) for n, (s, c, p) in enumerate(sorted((*min(rows), p) for p, rows in best.items())[:4])}
-    for block_bytes, at_once in ((64 << 20, 1 << 21), (100, 30)):
-        monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
-        monkeypatch.setattr(vectors, "SCORES_AT_ONCE", at_once)
-        found = {(r["query_id"], r["parent"], r["child"], r["score"], r["rank"]) for r in vectors.top_parents(index, queries, 4, "parent", "child").collect()}
-        assert found == expected
+            best.setdefault(parents[i], []).append((-round(float(v @ a), 6), i))
+        expected |= {(q, p, c, -s, n + 1) for n, (s, c, p) in enumerate(sorted((*min(rows), p) for p, rows in best.items())[:k])}
+    return expected
+
+
+def _vectors(spark, vec, parents, asked):
+    index = spark.createDataFrame([(parents[i], i, [float(x) for x in v]) for i, v in enumerate(vec)], "parent int, child int, vector array<double>").repartition(3)
+    return index, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id int, query_vector array<double>")
+
+
+@pytest.mark.parametrize(("cell_rows", "block_rows"), [(512, 4096), (20, 7)])
+def test_search_equals_brute_force(spark, monkeypatch, cell_rows, block_rows):
+    """Ties after rounding, several cells, several blocks of rows and queries in a cell."""
+    rng = np.random.default_rng(2)
+    vec, asked = np.round(rng.normal(size=(300, 5)), 1), np.round(rng.normal(size=(30, 5)), 1)
+    vec[200:] = vec[200]  # a third of all rows are one vector
+    parents = [i % 17 for i in range(300)]
+    index, queries = _vectors(spark, vec, parents, asked)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block_rows)
+    found = vectors.top_parents(vectors.cells_of(index, "parent", "child", cell_rows=cell_rows), queries, 4)
+    assert {(r["query_id"], r["parent"], r["child"], r["score"], r["rank"]) for r in found.collect()} == _best_parents(vec, asked, parents, 4)
+
+
+def test_search_skips_cells_that_can_not_matter(spark):
+    """Of clustered vectors most cells are never looked into, and the result stays that of brute force; few parents, too."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(20, 16)) * 3
+    vec = np.concatenate([m + rng.normal(size=(40, 16)) * 0.1 for m in middles])
+    asked = np.concatenate([middles[:8] + 0.05, np.zeros((1, 16))])
+    parents = [i // 10 for i in range(len(vec))]
+    index, queries = _vectors(spark, vec, parents, asked)
+    cells = vectors.cells_of(index, "parent", "child", cell_rows=20)
+    found = vectors.top_parents(cells, queries, 3)
+    assert {(r["query_id"], r["parent"], r["child"], r["score"], r["rank"]) for r in found.collect()} == _best_parents(vec, asked, parents, 3)
+    assert vectors.probed_share(cells, queries.where("query_id < 8"), found, 3) < 0.3
+    few = vectors.top_parents(index.where("parent < 2"), queries, 5, "parent", "child")
+    assert few.groupBy("query_id").count().select("count").distinct().collect() == [(2,)]
+    assert vectors.top_parents(index.where("false"), queries, 5, "parent", "child").collect() == []
+    assert vectors.top_parents(index, queries.where("false"), 5, "parent", "child").collect() == []
+    with pytest.raises(Exception, match="differ in size"):
+        vectors.top_parents(index, queries.select("query_id", F.array(F.lit(1.0)).alias("query_vector")), 3, "parent", "child")
+
+
+class _Counting(HashedWordEmbedder):
+    """Notes each text that it embeds in a file; fails at the text ``stop``, if any."""
+
+    def __init__(self, path, stop=None):
+        super().__init__()
+        object.__setattr__(self, "path", str(path))
+        object.__setattr__(self, "stop", stop)
+
+    def embed(self, texts):
+        if self.stop and any(self.stop in t for t in texts):
+            raise RuntimeError("no more quota")
+        with open(self.path, "a") as f:
+            f.write("".join(f"{len(t)}:{t}\x1e" for t in texts))
+        return super().embed(texts)
+
+    def seen(self):
+        with open(self.path) as f:
+            return [x.split(":", 1)[1] for x in f.read().split("\x1e") if x]
+
+
+def test_a_question_is_embedded_once(spark, tmp_path):
+    embedder = _Counting(tmp_path / "seen")
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(str(i), str(i % 5), [float(x) for x in rng.normal(size=256)]) for i in range(40)], "id string, lesson_id string, vector array<double>")
+    questions = spark.createDataFrame([(i, f"question {i}") for i in range(12)], "query_id int, question string")
+    assert corpus.search(points, questions, embedder, ChunkConfig(), 3).count() == 36
+    assert sorted(embedder.seen()) == sorted(f"task: search result | query: question {i}" for i in range(12))
+
+
+def _inputs(spark, n):
+    return spark.createDataFrame([(str(i), 0, f"key{i:03d}", f"sha{i}", f"text {i:03d}") for i in range(n)], "lesson_id string, chunk_number int, cache_key string, input_sha256 string, embedding_input string").repartition(3)
+
+
+def test_rounds_before_a_failure_are_kept(spark, tmp_path):
+    """Round 3 of 5 fails; the first two are there, and another run embeds only what they lack, each input once."""
+    chunks, path = _inputs(spark, 25), str(tmp_path / "cache")
+    keys = sorted((str(i) for i in range(25)))  # rounds go by record, then unit
+    failing = _Counting(tmp_path / "first", stop=f"text {int(keys[12]):03d}")
+    with pytest.raises(Exception, match="no more quota"):
+        vectors.embed_pending(chunks, failing, path, batch_size=2, round_rows=5)
+    kept = {r["cache_key"] for r in vectors.read_cache(spark, path).collect()}
+    assert kept == {f"key{int(k):03d}" for k in keys[:10]}
+    rest = _Counting(tmp_path / "second")
+    assert vectors.embed_pending(chunks, rest, path, batch_size=2, round_rows=5) == {"vectors": 25, "expected": 25, "complete": True, "rounds": 3}
+    assert sorted(rest.seen()) == sorted(f"text {int(k):03d}" for k in keys[10:])
+    assert set(failing.seen()) >= {f"text {int(k):03d}" for k in keys[:10]}
+    again = _Counting(tmp_path / "third")
+    assert vectors.embed_pending(chunks, again, path)["rounds"] == 0 and not (tmp_path / "third").exists()
+
+
+def test_an_altered_vector_stops_the_next_run(spark, tmp_path):
+    chunks, path = _inputs(spark, 6), str(tmp_path / "cache")
+    assert vectors.embed_pending(chunks, HashedWordEmbedder(), path, round_rows=3)["rounds"] == 2
+    name = vectors.read_cache(spark, path).where("round <> 'none'").first()["round"]
+    rows = [tuple(r) for r in spark.read.schema(vectors.CACHE).parquet(f"{path}/round={name}").collect()]
+    altered = [(k, sha, [v[1], v[0], *v[2:]]) for k, sha, v in rows]
+    spark.createDataFrame(altered, vectors.CACHE).write.mode("overwrite").parquet(f"{path}/round={name}")
+    unused = _Counting(tmp_path / "seen")
+    with pytest.raises(ValueError, match="checksum"):
+        vectors.embed_pending(chunks, unused, path)
+    assert not (tmp_path / "seen").exists()
+
+
+def test_ordered_fingerprint(spark):
+    """The same order in other partitions has one fingerprint; two rows that change places have another, found by its leaf."""
+    rows = [(i, f"v{i}") for i in range(300)]
+    tree = lambda r, n=2: order.merkle_tree(spark.createDataFrame(r, "i int, v string").repartition(n), F.col("v"), "i", leaf_rows=4, fan=3)
+    one, other = tree(rows), tree(random.Random(3).sample(rows, 300), 5)
+    assert order.fingerprint(one) == order.fingerprint(other) and order.first_difference(one, other, fan=3) is None
+    swapped = [*rows[:201], (201, "v202"), (202, "v201"), *rows[203:]]
+    assert order.first_difference(one, tree(swapped), fan=3) == 201 // 4
+    assert order.first_difference(one, tree(rows[:-1]), fan=3) == 299 // 4 and order.first_difference(one, tree(rows[:9]), fan=3) == 2
+    assert order.fingerprint(tree([])) != order.fingerprint(one) and one.where("level = 0").agg(F.sum("rows")).first()[0] == 300
+
+
+def test_plan_manifest_follows_the_order_of_units(spark):
+    lessons = _record(spark, "10", lesson="word " * 400).union(_record(spark, "9", lesson="valves freeze"))
+    config = ChunkConfig(max_words=60, max_input_bytes=2000)
+    chunks = chunking.plan_chunks(lessons, "d", config)
+    one = chunking.plan_manifest(chunks, config, "d").first()
+    assert (one["indexed_lessons"], one["whole_lessons"], one["split_lessons"], one["chunks"]) == (2, 1, 1, chunks.count())
+    assert chunking.plan_manifest(chunks.repartition(5, "id"), config, "d").first() == one
+    swapped = chunks.withColumn("chunk_number", F.when(F.col("chunk_number") < 2, 1 - F.col("chunk_number")).otherwise(F.col("chunk_number")))
+    assert chunking.plan_manifest(swapped.where("lesson_id = '10'"), config, "d").first()["fingerprint"] != chunking.plan_manifest(chunks.where("lesson_id = '10'"), config, "d").first()["fingerprint"]
