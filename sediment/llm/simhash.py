@@ -356,7 +356,7 @@ def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """
     nodes = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(points, "name").select("name", "place.doc_id", "place.tag"), "simhash-wanted")
-    texts = _keyed(docs).hint("merge").join(wanted, ["doc_id", "tag"])  # at every size, so that its costs have no step.select("name", "text")
+    texts = _keyed(docs).hint("merge").join(wanted, ["doc_id", "tag"]).select("name", "text")  # merged at every size, so that its costs have no step
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
