@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .split_json import read_array
+
 _RESPONSE = "timed_out boolean, _shards struct<total:long,successful:long,failed:long>, hits struct<total:variant,hits:array<variant>>"
 
 
@@ -47,12 +49,15 @@ def exact_total(response: DataFrame) -> int:
 def read_hits(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """idx, raw_hit, doc_id and source (VARIANT, so that absent, null and types survive) of a search response in JSON.
 
-    One response is one JSON value and is read by one task; its hits are dealt out at once.
+    A response is one JSON value; tasks read its byte ranges (``split_json``), a compressed one in one task.
     """
-    response = spark.read.schema(_RESPONSE).option("multiLine", True).json(path)
+    rest, objects = read_array(spark, path)
+    response = spark.createDataFrame([(rest,)], "value string").select(F.from_json("value", _RESPONSE).alias("r")).select("r.*")
     total = exact_total(response)
-    hits = response.select(F.posexplode("hits.hits").alias("idx", "raw_hit")).repartition("idx")
-    hits = hits.select(F.col("idx").cast("long").alias("idx"), "raw_hit", F.try_variant_get("raw_hit", "$._id", "string").alias("doc_id"), F.try_variant_get("raw_hit", "$._source", "variant").alias("source"))
+    if response.select(F.size("hits.hits")).first()[0]:
+        raise ValueError("a hit is no object")
+    hits = objects.select("idx", F.parse_json("json").alias("raw_hit"))
+    hits = hits.select("idx", "raw_hit", F.try_variant_get("raw_hit", "$._id", "string").alias("doc_id"), F.try_variant_get("raw_hit", "$._source", "variant").alias("source"))
     kind = F.schema_of_variant("source")
     count, distinct, hollow = hits.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(""))), F.count_if(F.coalesce(~kind.startswith("OBJECT<") | (kind == "OBJECT<>"), F.lit(True)))).first()
     if count != total or distinct != count or hollow or (expected is not None and expected != count):
