@@ -10,11 +10,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  binds pa.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import Embedder
 from ..scratch import materialize, release
+from ..sources.pacing import Lane, Pace
 from .order import batches
 
 #: Rows of a cell and most cells of an index; bytes of the sample that gives their centres; cells each query looks into first.
@@ -59,20 +61,25 @@ def pending(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def embed(chunks: DataFrame, embedder: Embedder, batch_size: int = 16) -> DataFrame:
-    """cache_key, input_sha256 and normalized vector; batches are formed inside each task."""
+def embed(chunks: DataFrame, embedder: Embedder, batch_size: int = 16, pace: Pace | None = None) -> DataFrame:
+    """cache_key, input_sha256 and normalized vector; batches are formed inside each task. With a pace, the chunks go
+    through its lanes, at one rate for all of them, and refusals (``pacing.Refused``) are waited out."""
     if not 1 <= batch_size <= 100:
         raise ValueError("a batch holds 1 to 100 inputs")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane = Lane(pace, TaskContext.get().partitionId()) if pace else None
         for frame in frames:
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size]
-                vectors = embedder.embed(part["embedding_input"].tolist())
+                texts = part["embedding_input"].tolist()
+                vectors = lane.request(lambda texts=texts: embedder.embed(texts)) if lane else embedder.embed(texts)
                 if len(vectors) != len(part):
                     raise ValueError("one vector for each input is expected")
                 yield pd.DataFrame({"cache_key": part["cache_key"], "input_sha256": part["input_sha256"], "vector": vectors})
 
+    if pace:
+        chunks = chunks.repartition(pace.lanes, "cache_key")
     out = chunks.select("cache_key", "input_sha256", "embedding_input").mapInPandas(run, "cache_key string, input_sha256 string, vector array<float>")
     fault = vector_fault(F.col("vector"), embedder.dimensions)
     checked = F.when(fault.isNull(), normalized(F.col("vector"))).otherwise(F.raise_error(F.concat(F.lit("invalid vector: "), fault)))
@@ -121,7 +128,7 @@ def checked_rounds(spark: SparkSession, cache_path: str, chunks: DataFrame, dime
     return checked_cache(cache.drop("round"), chunks, dimensions)
 
 
-def embed_pending(chunks: DataFrame, embedder: Embedder, cache_path: str, batch_size: int = 16, max_new: int | None = None, round_rows: int = ROUND_ROWS) -> dict:
+def embed_pending(chunks: DataFrame, embedder: Embedder, cache_path: str, batch_size: int = 16, max_new: int | None = None, round_rows: int = ROUND_ROWS, pace: Pace | None = None) -> dict:
     """Embed what the cache lacks, in rounds of at most ``round_rows`` inputs; returns vectors, expected, complete and rounds.
 
     Each round is committed, read back and noted before the next begins, so a failure loses one round at most, and a
@@ -137,7 +144,7 @@ def embed_pending(chunks: DataFrame, embedder: Embedder, cache_path: str, batch_
     rounds = 0 if last is None else last + 1
     for n in range(rounds):
         part = todo.where(F.col("batch") == n)
-        if add_round(embed(part, embedder, batch_size), cache_path, f"{run}-{n:06d}") != part.count():
+        if add_round(embed(part, embedder, batch_size, pace), cache_path, f"{run}-{n:06d}") != part.count():
             raise ValueError(f"round {n} has not a vector for each of its inputs")
     release(todo)
     have = checked_rounds(spark, cache_path, chunks, embedder.dimensions).count()  # as read back
