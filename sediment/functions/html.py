@@ -116,7 +116,8 @@ class _Events(HTMLParser):
         self.close()
         while self.open:
             self._close()
-        return self.rows
+        tabled = any(r[1] == "open" and r[2] == "table" for r in self.rows)
+        return [(-1, "page", None, None, -1, 0, None, None, None, None, tabled), *((*r, tabled) for r in self.rows)]
 
 
 def _page_events(html: str) -> list[tuple]:
@@ -125,15 +126,16 @@ def _page_events(html: str) -> list[tuple]:
         parser.feed(html)
         return parser.finish()
     except (AssertionError, ValueError, RecursionError) as error:
-        return [(0, "failed", None, None, -1, 0, None, str(error) or type(error).__name__, None, None)]
+        return [(-1, "failed", None, None, -1, 0, [("html", html)], str(error) or type(error).__name__, None, None, False)]
 
 
-EVENTS = "seq int, kind string, tag string, start int, parent int, depth int, attrs map<string,string>, text string, line int, column int"
+EVENTS = "seq int, kind string, tag string, start int, parent int, depth int, attrs map<string,string>, text string, line int, column int, tabled boolean"
 
 
 def page_events(pages: DataFrame) -> DataFrame:
-    """key and EVENTS of pages (key string, html string): a row for each start tag, end tag, stretch of text and problem."""
-    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+    """key and EVENTS of pages (key string, html string): a row for the page (or its failure), and one for each start tag, end
+    tag, stretch of text and problem; tabled: the page has a table."""
+    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
     names = ["key", *(c.split()[0] for c in EVENTS.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,7 +79,10 @@ def list_numbers(events: DataFrame) -> DataFrame:
 def _pieces(events: DataFrame, base: str) -> DataFrame:
     """Events with what each adds to its box's text, links and media with their numbers. Events outside cells add nothing."""
     opens, tag, attrs = F.col("kind") == "open", F.col("tag"), F.col("attrs")
-    df = events.where((F.col("box_tag") != "table") & ~F.col("lost")).join(list_numbers(events), ["key", "seq"], "left")
+    shown = events.where((F.col("box_tag") != "table") & ~F.col("lost") & F.col("kind").isin("open", "close", "text"))
+    item = F.coalesce(opens & (tag == "li"), F.lit(False))
+    numbered = shown.where(item).join(list_numbers(events), ["key", "seq"], "left").select(*shown.columns, "number", "bad")  # only items are joined
+    df = numbered.unionByName(shown.where(~item).withColumns({"number": F.lit(None).cast("int"), "bad": F.lit(None).cast("boolean")}))
     reference = F.coalesce(F.when(attrs["src"] != "", attrs["src"]), attrs["data"], F.lit(""))
     alt = F.when(attrs["alt"].isNotNull(), T.tidy(attrs["alt"]))
     nth = F.sum(F.when(opens & tag.isin(*MEDIA), 1)).over(_page())
@@ -147,7 +150,10 @@ def rendered_pages(pages: DataFrame, base: str) -> DataFrame:
     """key and r (RENDERED) of pages (key string, unique; html string, not null). No page gives no rows."""
     kept = (F.col("kind") == "open") & (F.col("tag") == "table") & (F.col("box_tag") != "table") & ~F.col("lost")
     nth = F.when(kept, F.sum(F.when(kept, 1)).over(_page()).cast("int"))
-    events = materialize(boxed(page_events(pages)).withColumn("nth", nth), "markup-events")
+    parsed = materialize(page_events(pages), "markup-events")
+    tabled = materialize(boxed(parsed.where("tabled")).withColumn("nth", nth), "markup-boxed")
+    flat = {c: F.lit(v).cast(k) for c, k, v in (("tables", "bigint", 0), ("is_box", "boolean", False), ("box", "int", -1), ("box_tag", "string", ""), ("row", "int", None), ("lost", "boolean", False), ("nth", "int", None))}
+    events = tabled.unionByName(parsed.where("not tabled").withColumns(flat))
     pieces = materialize(_pieces(events, base), "markup-pieces")
     deepest = events.agg(F.max(F.when(F.col("tag") == "table", F.col("tables") + 1))).first()[0] or 0
     flow, written, tables, links = pieces.select("key", "seq", "box", "tables", "piece", "link"), [], [], []
@@ -178,11 +184,13 @@ def rendered_pages(pages: DataFrame, base: str) -> DataFrame:
 
     rows = [
         long(texts.where("of = -1"), F.lit(0), body=F.col("body")),
-        long(events.where("kind = 'text'"), F.col("seq"), raw=F.col("text")),
+        # enough of each text to tell whether all of them together say nothing
+        long(events.where("kind = 'text'"), F.col("seq"), raw=F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, 40)),
+        long(events.where("kind = 'page'"), F.col("seq")),
         long(links, F.coalesce("end", "seq"), link=link),
         long(listed, F.col("seq"), media=F.col("media")),
         long(events.where("kind = 'problem'"), F.col("seq"), problem=problem),
-        long(events.where("kind = 'failed'"), F.col("seq"), failed=F.col("text")),
+        long(events.where("kind = 'failed'"), F.col("seq"), failed=F.col("text"), body=F.col("attrs")["html"]),
         long(unknown, F.lit(0), unknown=F.col("tag")),
         *(long(t, F.col("seq"), t=F.col("t")) for t in tables),
     ]
@@ -191,15 +199,14 @@ def rendered_pages(pages: DataFrame, base: str) -> DataFrame:
         F.max("body").alias("text"), F.array_join(listed_in_order("raw"), "").alias("raw"), listed_in_order("t").alias("tables"), listed_in_order("link").alias("links"), listed_in_order("media").alias("media"),
         listed_in_order("problem").alias("parser_diagnostics"), F.array_sort(F.collect_set("unknown")).alias("unrecognized_tags"), F.max("failed").alias("parse_failed"),
     )
-    whole = pages.select("key", "html").join(gathered, "key", "left")  # a page of no events has none there
     none = lambda c, k: F.coalesce(c, F.array().cast(f"array<{k}>"))
     failed = F.col("parse_failed").isNotNull()
     r = F.struct(
-        F.when(failed, F.col("html")).when(T.meaningful(F.col("text")), F.col("text")).alias("text"), T.meaningful(T.tidy(F.col("raw"))).alias("source_text_present"), none(F.col("tables"), kinds["t"]).alias("tables"),
+        F.when(failed | T.meaningful(F.col("text")), F.col("text")).alias("text"), (~failed & T.meaningful(F.col("raw"))).alias("source_text_present"), none(F.col("tables"), kinds["t"]).alias("tables"),
         none(F.col("links"), kinds["link"]).alias("links"), none(F.col("media"), kinds["media"]).alias("media"), none(F.col("parser_diagnostics"), kinds["problem"]).alias("parser_diagnostics"), none(F.col("unrecognized_tags"), "string").alias("unrecognized_tags"), "parse_failed",
     )
-    out = materialize(whole.select("key", r.cast(RENDERED).alias("r")), "rendered-pages")
-    release(events, pieces, *written)
+    out = materialize(gathered.select("key", r.cast(RENDERED).alias("r")), "rendered-pages")
+    release(parsed, tabled, pieces, *written)
     return out
 
 
@@ -212,12 +219,22 @@ def empty_rendering() -> Column:
     return F.from_json(F.lit('{"source_text_present":false,"tables":[],"links":[],"media":[],"parser_diagnostics":[],"unrecognized_tags":[]}'), RENDERED)
 
 
+def text_key(text: Column) -> Column:
+    """132 bits of the text's SHA-256 in 22 characters; null for null and blank texts."""
+    return F.when(T.strip(text) != "", F.substring(F.base64(F.unhex(F.sha2(text, 256))), 1, 22))
+
+
+def rendered_by_key(texts: DataFrame, text: str, base: str) -> DataFrame:
+    """key and r of the different texts that are not blank."""
+    pages = texts.select(text_key(F.col(text)).alias("key"), F.col(text).alias("html")).where("key is not null")
+    return rendered_pages(pages.groupBy("key").agg(F.first("html").alias("html")), base)
+
+
 def rendered_texts(rows: DataFrame, text: str, base: str, name: str = "r") -> DataFrame:
     """``rows`` with ``name``: the rendering of their HTML. Each different text is rendered once; null and blank texts are
     empty ones. A text that a third of all rows share is skewed on their side of the join only."""
-    keyed = rows.withColumn("_key", F.when(T.strip(F.col(text)) != "", F.sha2(F.col(text), 256)))
-    pages = keyed.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first(text).alias("html"))
-    done = rendered_pages(pages, base).select(F.col("key").alias("_done"), F.col("r").alias("_r"))
+    keyed = rows.withColumn("_key", text_key(F.col(text)))
+    done = rendered_by_key(rows, text, base).select(F.col("key").alias("_done"), F.col("r").alias("_r"))
     joined = keyed.join(done, F.col("_key") == F.col("_done"), "left")
     return joined.withColumn(name, F.coalesce("_r", empty_rendering())).drop("_key", "_done", "_r")
 

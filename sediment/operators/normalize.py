@@ -11,7 +11,7 @@ from ..contracts import NOT_CORE, SCHEMA_VERSION, SECTIONS
 from ..functions import text as T
 from ..functions.html import resolved_url
 from ..scratch import materialize, release
-from .markup import empty_rendering, rendered_texts
+from .markup import empty_rendering, rendered_by_key, text_key
 
 FIELDS = ["title", *(f for fields in SECTIONS.values() for f in fields)]
 _ISSUE = "struct<code:string,section:string,detail:string>"
@@ -47,7 +47,10 @@ def rendered_fields(records: DataFrame, base_url: str) -> DataFrame:
         return F.when(value.isNotNull(), F.struct(F.lit(FIELDS.index(field)).alias("i"), _string(field).alias("text"), (~F.schema_of_variant(value).isin("STRING", "VOID")).alias("wrong")))
 
     fields = records.select("lesson_id", F.explode(F.array_compact(F.array(*map(there, FIELDS)))).alias("f")).select("lesson_id", "f.*")
-    done = rendered_texts(materialize(fields, "record-fields"), "text", base_url)
+    r = rendered_by_key(fields, "text", base_url)
+    # texts stay where they are: only their keys go along
+    keyed = fields.select("lesson_id", "i", "wrong", text_key(F.col("text")).alias("key"))
+    done = keyed.join(r, "key", "left").withColumn("r", F.coalesce("r", empty_rendering()))
     problem = F.array(F.struct(F.lit("ERROR").alias("level"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit("not a text field").alias("message")))
     r = F.when(F.col("wrong"), F.col("r").withField("parser_diagnostics", problem)).otherwise(F.col("r"))
     by_record = done.groupBy("lesson_id").agg(F.map_from_entries(F.collect_list(F.struct("i", r.alias("r")))).alias("by_field"))
