@@ -37,20 +37,23 @@ def with_identifier(hits: DataFrame) -> DataFrame:
     return hits.withColumn("lesson_id", F.when(T.is_identifier(text), text))
 
 
-def rendered_fields(records: DataFrame, base_url: str) -> DataFrame:
-    """lesson_id and r: the renderings of all FIELDS in their order, null where a record has no such field.
-
-    A row for each field that is there; equal texts, in whatever field or record, are rendered once.
-    """
+def field_rows(records: DataFrame) -> DataFrame:
+    """lesson_id, i (in FIELDS), text and wrong (no text): a row for each field that a record has."""
     def there(field: str) -> Column:
         value = F.try_variant_get("source", f"$.{field}", "variant")
         return F.when(value.isNotNull(), F.struct(F.lit(FIELDS.index(field)).alias("i"), _string(field).alias("text"), (~F.schema_of_variant(value).isin("STRING", "VOID")).alias("wrong")))
 
-    fields = records.select("lesson_id", F.explode(F.array_compact(F.array(*map(there, FIELDS)))).alias("f")).select("lesson_id", "f.*")
-    r = rendered_by_key(fields, "text", base_url)
-    # texts stay where they are: only their keys go along
-    keyed = fields.select("lesson_id", "i", "wrong", text_key(F.col("text")).alias("key"))
-    done = keyed.join(r, "key", "left").withColumn("r", F.coalesce("r", empty_rendering()))
+    return records.select("lesson_id", F.explode(F.array_compact(F.array(*map(there, FIELDS)))).alias("f")).select("lesson_id", "f.*")
+
+
+def rendered_fields(records: DataFrame, by_key: DataFrame) -> DataFrame:
+    """lesson_id and r: the renderings of all FIELDS in their order, null where a record has no such field.
+
+    ``by_key`` has the rendering of each different text, so equal ones, in whatever field or record, are rendered once; a
+    record's texts stay where they are, only their keys go along.
+    """
+    keyed = field_rows(records).select("lesson_id", "i", "wrong", text_key(F.col("text")).alias("key"))
+    done = keyed.join(by_key, "key", "left").withColumn("r", F.coalesce("r", empty_rendering()))
     problem = F.array(F.struct(F.lit("ERROR").alias("level"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit("not a text field").alias("message")))
     r = F.when(F.col("wrong"), F.col("r").withField("parser_diagnostics", problem)).otherwise(F.col("r"))
     by_record = done.groupBy("lesson_id").agg(F.map_from_entries(F.collect_list(F.struct("i", r.alias("r")))).alias("by_field"))
@@ -112,7 +115,8 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     if twice:
         raise ValueError(f"identifier {twice[0]['lesson_id']} occurs more than once")
 
-    rendered = materialize(good.join(rendered_fields(good, base_url), "lesson_id", "left"), "rendered-fields")
+    by_key = rendered_by_key(field_rows(good), "text", base_url)
+    rendered = good.join(rendered_fields(good, by_key), "lesson_id", "left")
     sections = {s: resolve_section(s) for s in SECTIONS}
     empty = empty_rendering()
 
@@ -125,7 +129,7 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     of_section += [F.col(f"{s}_chosen.field").alias(f"{s}_field") for s in SECTIONS]
     df = df.select("idx", "doc_id", "source", "lesson_id", F.coalesce(F.col("r")[0], empty).alias("title"), *of_section, *(c for c in df.columns if c.endswith(("_relation", "_other"))))
     df = materialize(df, "resolved-sections")
-    release(rendered)
+    release(by_key)
 
     raw_iso, ui = F.try_variant_get("source", "$.lesson_date", "string"), F.try_variant_get("source", "$.lessonDate", "string")
     df = df.withColumn("raw_iso", raw_iso).withColumn("iso", T.iso_date(_string("lesson_date"))).withColumn("ui", ui).withColumn("ui_date", T.display_date(_string("lessonDate")))
