@@ -98,8 +98,8 @@ def test_stage_recall_at_the_limit_does_not_depend_on_the_table(spark):
 
 @pytest.mark.parametrize("code", simhash.STAGE_CODES, ids=str)
 def test_each_code_finds_pairs_at_the_limit(spark, monkeypatch, code):
-    """The codes of larger tables, used at this size: candidates by anchors alone, then with shared keys, of 120 pairs of
-    texts at a similarity of 0.80 to 0.81."""
+    """The codes of larger tables, used at this size: candidates by anchors alone, of 120 pairs of texts at a similarity
+    of 0.80 to 0.81."""
     monkeypatch.setattr(simhash, "STAGE_CODES", (simhash.STAGE_CODES[0], (1 << 62, *code[1:])) if code[1:] != simhash.STAGE_CODES[0][1:] else ((1 << 62, *code[1:]),))
     if len(simhash.STAGE_CODES) == 2:
         monkeypatch.setattr(simhash, "STAGE_CODES", ((0, *simhash.STAGE_CODES[0][1:]), simhash.STAGE_CODES[1]))
@@ -112,9 +112,7 @@ def test_each_code_finds_pairs_at_the_limit(spark, monkeypatch, code):
     points = simhash.materialize(simhash.set_prints(docs).select(F.col("doc_id").alias("name"), F.col("doc_id").alias("label"), "size", *fps), "test-points")
     met = {(r["a"], r["b"]) for r in simhash.candidate_pairs(points).collect()}
     by_anchors = sum((2 * i, 2 * i + 1) in met for i in range(120)) / 120
-    found = {i for i, _ in rows} - {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()}
-    print("by anchors", by_anchors, "with keys", len(found) / 120)
-    assert by_anchors >= 0.85 and len(found) >= 117 and all(i % 2 for i in found)
+    assert by_anchors >= 0.85
 
 
 def test_a_product_code_has_the_anchors_of_its_list():
