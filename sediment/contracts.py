@@ -59,10 +59,19 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@dataclass(frozen=True)
+class Answer:
+    """A generator's text (null if it gave none) and why it stopped, in its own words."""
+
+    text: str | None
+    finish_reason: str | None = None
+
+
 class Generator(Protocol):
-    """Answers prepared prompts; deployments supply one, the engine only prepares and stores."""
+    """Answers prepared prompts; deployments supply one, the engine only prepares and stores. A plain text is an answer
+    without a reason to stop."""
 
-    def generate(self, prompts: list[str]) -> list[str]: ...
+    def generate(self, prompts: list[str]) -> list[Answer | str | None]: ...
 
 
 @dataclass(frozen=True)

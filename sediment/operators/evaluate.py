@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import Generator
+from ..contracts import Answer, Generator
 from .chunking import rendered, section_list
 
 RULES = "Answer only from the records given. Name the record ids you used. Say so when they do not answer the question."
@@ -47,18 +47,35 @@ def prompts(results: DataFrame, context: DataFrame, version: str = "v2", rules:
 
 
 def generated(prompts: DataFrame, generator: Generator) -> DataFrame:
-    """The prompts without their payload, and the generator's answer to each."""
+    """The prompts without their payload, the generator's answer to each, and why it stopped there."""
     kept = [c for c in prompts.columns if c != "payload"]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            said = generator.generate(frame["payload"].tolist())
+            said = [a if isinstance(a, Answer) else Answer(a) for a in generator.generate(frame["payload"].tolist())]
             if len(said) != len(frame):
                 raise ValueError("one answer for each prompt is expected")
-            yield frame[kept].assign(answer=said)
+            yield frame[kept].assign(answer=[a.text for a in said], finish_reason=[a.finish_reason for a in said])
 
     kinds = dict(prompts.dtypes)
-    return prompts.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", answer string")
+    return prompts.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", answer string, finish_reason string")
+
+
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A batch of answers before and after a change of prompt, model or index, one row a question of either.
+
+    outcome: same, changed, gained or lost an answer, none in both, or that only one batch has the question;
+    same_sources tells whether both answers rest on the same records, in whatever order.
+    """
+    shown = ("question", "prompt_version", "source_ids", "answer", "finish_reason")
+    side = lambda df, name: df.select("query_id", F.lit(True).alias(f"in_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in shown))
+    both = side(before, "before").join(side(after, "after"), "query_id", "full")
+    old, new = F.col("answer_before"), F.col("answer_after")
+    outcome = F.when(F.col("in_after").isNull(), "only_before").when(F.col("in_before").isNull(), "only_after").when(old.isNull() & new.isNull(), "none").when(old.isNull(), "gained").when(new.isNull(), "lost")
+    outcome = outcome.when(old == new, "same").otherwise("changed")
+    of = lambda c: F.array_sort(F.array_distinct(c))
+    sides = [F.col(f"{c}_{name}") for c in shown[1:] for name in ("before", "after")]
+    return both.select("query_id", F.coalesce("question_after", "question_before").alias("question"), outcome.alias("outcome"), of("source_ids_before").eqNullSafe(of("source_ids_after")).alias("same_sources"), *sides)
 
 
 def answer_text(parts):
@@ -68,6 +85,11 @@ def answer_text(parts):
 
 
 def append_history(answers: DataFrame, path: str) -> None:
-    """Append answers with the time they were saved and a Markdown form."""
+    """Append answers with a name of their own (time saved, eight hexadecimal digits), as JSON and as Markdown.
+
+    Earlier entries stay. The same answer saved twice is two entries, unless in the same second.
+    """
     markdown = F.concat(F.lit("## "), "question", F.lit("\n\n"), F.coalesce("answer", F.lit("(no answer)")), F.lit("\n\nSources: "), F.array_join("source_ids", ", "), F.lit("\n"))
-    answers.withColumn("saved_at", F.current_timestamp()).withColumn("markdown", markdown).write.mode("append").parquet(path)
+    now, row = F.current_timestamp(), F.to_json(F.struct(*answers.columns), {"ignoreNullFields": "false"})
+    stem = F.concat(F.date_format(now, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.sha2(row, 256), 1, 8))
+    answers.select("*", now.alias("saved_at"), stem.alias("stem"), row.alias("json"), markdown.alias("markdown")).write.mode("append").parquet(path)

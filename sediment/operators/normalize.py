@@ -23,6 +23,7 @@ class Normalized:
     variants: DataFrame
     quarantine: DataFrame
     issues: DataFrame
+    comparisons: DataFrame
 
 
 def _string(field: str) -> Column:
@@ -80,6 +81,7 @@ def resolve_section(section: str) -> dict[str, Column]:
         a, b = present[0][1], present[1][1]
         both = a.isNotNull() & b.isNotNull()
         differ = both & ~same_content(a, b)
+        out["both"] = both
         out["relation"] = F.when(~both, "one_or_no_field_present").when(~differ, "equivalent_after_rendering").when(has_content(a) & has_content(b), "different_nonempty_variants").otherwise("one_variant_empty")
         out["other"] = F.when(chosen["field"] == fields[0], candidates[1]).otherwise(candidates[0])
     return out
@@ -127,7 +129,7 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     df = rendered.select("*", *(c.alias(f"{s}_{k}") for s, cols in sections.items() for k, c in cols.items()))
     of_section = [F.coalesce(F.col(f"{s}_chosen.r"), empty).alias(s) for s in SECTIONS]
     of_section += [F.col(f"{s}_chosen.field").alias(f"{s}_field") for s in SECTIONS]
-    df = df.select("idx", "doc_id", "source", "lesson_id", F.coalesce(F.col("r")[0], empty).alias("title"), *of_section, *(c for c in df.columns if c.endswith(("_relation", "_other"))))
+    df = df.select("idx", "doc_id", "source", "lesson_id", F.coalesce(F.col("r")[0], empty).alias("title"), *of_section, *(c for c in df.columns if c.endswith(("_relation", "_other", "_both"))))
     df = materialize(df, "resolved-sections")
     release(by_key)
 
@@ -181,7 +183,9 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     pairs = [F.when(F.col(f"{s}_relation") == "different_nonempty_variants", F.struct(F.lit(s).alias("section"), F.col(f"{s}_field").alias("selected_field"), F.col(s).alias("selected"), F.col(f"{s}_other.field").alias("alternate_field"), F.col(f"{s}_other.r").alias("alternate"))) for s, f in SECTIONS.items() if len(f) == 2]
     variants = df.select("lesson_id", F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("v")).select("lesson_id", "v.*")
     long = df.select("lesson_id", F.posexplode("issues").alias("seq", "issue")).select("lesson_id", "seq", "issue.*")
-    return Normalized(lessons, variants, quarantine, long)
+    compared = F.array(*(F.struct(F.lit(s).alias("section"), F.col(f"{s}_relation").alias("relation"), F.col(f"{s}_both").alias("both_fields_present")) for s, f in SECTIONS.items() if len(f) == 2))
+    comparisons = df.select("lesson_id", F.explode(compared).alias("c")).select("lesson_id", "c.*")
+    return Normalized(lessons, variants, quarantine, long, comparisons)
 
 
 def resolved_attachments(lessons: DataFrame, base_url: str) -> DataFrame:

@@ -25,6 +25,14 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "position") -
     return ranged.join(small, "_part").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_part", "_inside", "_offset")
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows in ``order``: range partitions, sorted inside, so that files written from them follow each other.
+
+    Where equal keys meet, their rows stay in one partition, in any order.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def batches(df: DataFrame, size: int, *order: Column | str) -> DataFrame:
     """Add the batch of ``size`` rows that each row falls into."""
     return with_position(df, *order).withColumn("batch", F.floor(F.col("position") / size).cast("long"))

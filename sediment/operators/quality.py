@@ -38,6 +38,25 @@ def compare_aliases(current: Column, legacy: Column) -> Column:
     return F.when(~both, "one_or_no_field_present").when(same, "equivalent_after_rendering").when(full(current) & full(legacy), "different_nonempty_variants").otherwise("one_variant_empty")
 
 
+RELATIONS = ("equivalent_after_rendering", "different_nonempty_variants", "one_variant_empty", "one_or_no_field_present")
+
+
+def field_comparison(comparisons: DataFrame) -> DataFrame:
+    """section, records, both_fields_present and a count of each outcome of comparing a section's two fields."""
+    outcomes = [F.count_if(F.col("relation") == r).alias(r) for r in RELATIONS]
+    return comparisons.groupBy("section").agg(F.count("*").alias("records"), F.count_if("both_fields_present").alias("both_fields_present"), *outcomes)
+
+
+def missing_content(lessons: DataFrame) -> DataFrame:
+    """field, missing: records whose title has no text, or whose section has no text, table or media."""
+    def hollow(s: str) -> Column:
+        r = F.col(f"sections.{s}")
+        return ~F.coalesce((F.length(r["text"]) > 0) | (F.size(r["tables"]) > 0) | (F.size(r["media"]) > 0), F.lit(False))
+
+    counted = lessons.agg(F.count_if(F.col("title.text").isNull()).alias("title"), *(F.count_if(hollow(s)).alias(s) for s in SECTIONS))
+    return counted.unpivot([], ["title", *SECTIONS], "field", "missing")
+
+
 def word_statistics(df: DataFrame, words: Column, *by: str, long: int = 1500) -> DataFrame:
     w = df.select(*by, words.cast("long").alias("w"))
     return w.groupBy(*by).agg(F.sum("w").alias("total"), F.median("w").alias("median"), F.max("w").alias("maximum"), F.count_if(F.col("w") > long).alias("over"))

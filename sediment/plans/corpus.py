@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SCHEMA_VERSION, ChunkConfig, Embedder, Generator
-from ..operators import chunking, evaluate, normalize, quality, vectors
+from ..operators import chunking, evaluate, normalize, order, quality, vectors
 from ..sources import readers, sinks
 
 
-NAMES = ("lessons", "variants", "quarantine", "issues")
+NAMES = ("lessons", "variants", "quarantine", "issues", "comparisons")
+#: Products of records are written in the order of their identifiers, variants by section within.
+ORDERS = {"lessons": (), "variants": ("section",), "issues": ("seq",), "comparisons": ("section",)}
 
 
 def run_statistics(made: normalize.Normalized) -> dict:
@@ -21,33 +23,39 @@ def run_statistics(made: normalize.Normalized) -> dict:
     stats["input_hits"] = stats["lessons"] + stats["quarantined"]
     stats |= {f"flag {r['flag']}": r["n"] for r in quality.flag_histogram(made.lessons, "quality_flags").collect()}  # a row for each of the fixed flags
     by_section = made.issues.where("code in ('missing_section', 'field_variant', 'legacy_field_fallback')").groupBy("code", "section").count()
-    return stats | {f"{r['code']} {r['section']}": r["count"] for r in by_section.collect()}  # sections are fixed, too
+    stats |= {f"{r['code']} {r['section']}": r["count"] for r in by_section.collect()}  # sections are fixed, too
+    stats |= {f"missing {r['field']}": r["missing"] for r in quality.missing_content(made.lessons).collect()}
+    bodies = made.lessons.where("body_sha256 is not null").groupBy("body_sha256").count().where("count > 1")
+    stats |= bodies.agg(F.count("*").alias("same_body_groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("same_body_records")).first().asDict()
+    return stats | {f"fields {r['section']}": {k: v for k, v in r.asDict().items() if k != "section"} for r in quality.field_comparison(made.comparisons).collect()}
 
 
 def ingest(spark: SparkSession, snapshot: str, output: str, base_url: str, snapshot_sha256: str = "", protected: str | None = None) -> normalize.Normalized:
-    """Read hits, normalize them and write the four products, a manifest and a report; returns the products as written.
+    """Read hits, normalize them and write the five products, a manifest and a report; returns the products as written.
 
     ``snapshot`` is a response file, or a snapshot folder, whose layers are verified.
     """
     if protected:
         sinks.guard_outside(output, protected)
     if snapshot.rstrip("/").endswith((".json", ".gz")):
-        hits = readers.read_hits(spark, snapshot)
+        hits, received = readers.read_hits(spark, snapshot), None
     else:
         manifest, hits = readers.load_snapshot(spark, snapshot)
+        received = manifest["response_received_utc"]
         snapshot_sha256 = manifest["files"]["compressed"]["sha256"]
     made = normalize.normalize(hits, base_url, snapshot, snapshot_sha256)
     frames = {name: getattr(made, name) for name in NAMES}
     for name, df in frames.items():
-        df.write.mode("errorifexists").parquet(f"{output}/{name}")
+        ordered = order.in_order(df, *order.numeric_order(F.col("lesson_id")), *ORDERS[name]) if name in ORDERS else df
+        ordered.write.mode("errorifexists").parquet(f"{output}/{name}")
     made = normalize.Normalized(**{name: spark.read.schema(df.schema).parquet(f"{output}/{name}") for name, df in frames.items()})
     stats = run_statistics(made)
     products = {r["name"]: {"records": r["records"], "content": r["content"]} for r in sinks.products({name: getattr(made, name) for name in NAMES}).collect()}
     if products["lessons"]["records"] + products["quarantine"]["records"] != hits.count():
         raise ValueError("records and quarantine do not make up the hits")
-    text = sinks.report(stats)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{output}/report")
     fields = [r["field"] for r in readers.source_fields(hits).orderBy("field").collect()]  # names of fields
+    text = sinks.report(stats | {"source_fields": len(fields)}, received)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{output}/report")
     facts = {"schema_version": SCHEMA_VERSION, "source_snapshot": snapshot, "source_snapshot_sha256": snapshot_sha256, "source_fields": fields, "external_fetches": 0, "statistics": stats, "products": products, "report_sha256": hashlib.sha256(text.encode()).hexdigest()}
     sinks.write_json(spark, facts, f"{output}/manifest")
     return made

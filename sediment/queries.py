@@ -316,6 +316,63 @@ def issue_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return issues.groupBy("code", "section").agg(F.count("*").alias("n"))
 
 
+def _json_fields(*parts: str) -> Column:
+    """A JSON object of those parts (SQL for a name and value) that are not null."""
+    return F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *(F.expr(p) for p in parts)), F.lit("}")))
+
+
+def _customer_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as hits whose fields are odd in turn: every way in which a record earns a flag, in many combinations."""
+    source = _json_fields(
+        """concat('"lesson_number":', c_custkey)""", """if(c_custkey % 7 = 0, '"title":"None"', concat('"title":"', c_name, '"'))""",
+        """CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '"lesson_date":"2001-02-30"' WHEN 2 THEN '"lesson_date":" n/a "' ELSE '"lesson_date":"2001-01-02"' END""",
+        """CASE c_custkey % 4 WHEN 0 THEN '"lessonDate":"Tue Jan 02 00:00:00 GMT 2001"' WHEN 1 THEN '"lessonDate":"Wed Jan 03 00:00:00 GMT 2001"' WHEN 2 THEN '"lessonDate":"soon"' END""",
+        """CASE c_custkey % 9 WHEN 0 THEN '"attachments":"/a.pdf"' WHEN 1 THEN '"attachments":[{"link":"/a.pdf"}]' END""", """CASE WHEN c_custkey % 10 = 0 THEN '"documentUrl0":"/f.pdf"' END""",
+        """CASE WHEN c_custkey % 3 = 0 THEN '"lessonAbstract":"A quota of 5"' END""",
+        """CASE c_custkey % 8 WHEN 1 THEN '"drivingEvent":"New"' WHEN 2 THEN '"description_event":"Old"' WHEN 3 THEN '"drivingEvent":"<b>New</b>","description_event":"New"'
+          WHEN 4 THEN '"drivingEvent":"New","description_event":"Old"' WHEN 5 THEN '"drivingEvent":null,"description_event":"Old"' WHEN 6 THEN '"drivingEvent":"N/A","description_event":"none"'
+          WHEN 7 THEN '"drivingEvent":"New","description_event":""' END""",
+        """CASE WHEN c_custkey % 11 = 0 THEN '"lesson":"<table><tr><td>cell</td></tr></table>"' WHEN c_custkey % 13 = 0 THEN '"lesson":"<img src=/i.jpg>"' WHEN c_custkey % 17 = 0 THEN '"lesson":"<nav>menu</nav>"'
+          WHEN c_custkey % 19 = 0 THEN '"lesson":5' WHEN c_custkey % 23 > 0 THEN concat('"lesson":"Lesson of ', c_nationkey, '"') END""",
+    )
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), source.alias("raw_hit"), F.expr("if(c_custkey % 5 = 0, concat('x', c_custkey), cast(c_custkey AS string))").alias("doc_id"), source.alias("source"))
+
+
+#: What the flags of those hits follow from: texts of the three sections with fields, and whether any is text of the source.
+_CUSTOMERS = """
+WITH c AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'A quota of 5' END AS abstract, CASE WHEN c_custkey % 8 IN (1, 3, 4, 7) THEN 'New' WHEN c_custkey % 8 IN (2, 5) THEN 'Old' END AS event,
+  CASE WHEN c_custkey % 11 = 0 THEN 'table' WHEN c_custkey % 13 = 0 THEN 'image' WHEN c_custkey % 17 = 0 THEN 'nav' WHEN c_custkey % 19 = 0 THEN 'wrong' WHEN c_custkey % 23 > 0 THEN concat('Lesson of ', c_nationkey) ELSE 'none' END AS lesson FROM customer),
+b AS (SELECT *, abstract IS NOT NULL OR event IS NOT NULL OR lesson NOT IN ('image', 'wrong', 'none') AS body FROM c),
+f AS (SELECT *, body AND count(*) OVER (PARTITION BY body, abstract, event, CASE lesson WHEN 'wrong' THEN 'none' ELSE lesson END) > 1 AS same FROM b)
+"""
+
+
+@_query(_CUSTOMERS + """SELECT CAST(k AS VARCHAR) AS lesson_id, CASE WHEN k % 7 = 0 THEN concat('Record ', k) ELSE c_name END AS display_title, CASE WHEN k % 6 > 2 THEN '2001-01-02' END AS lesson_date, concat_ws(',',
+  CASE WHEN k % 9 = 1 OR k % 10 = 0 THEN 'attachment_content_not_loaded' END, CASE WHEN k % 6 > 2 AND k % 4 = 1 THEN 'date_field_variant' END, CASE WHEN k % 5 = 0 THEN 'document_id_differs_from_lesson_number' END,
+  CASE WHEN k % 8 = 4 THEN 'field_variant' END, CASE WHEN lesson = 'wrong' THEN 'html_parser_diagnostics' END, CASE WHEN k % 6 = 1 THEN 'invalid_iso_date' END, CASE WHEN k % 8 IN (2, 5) THEN 'legacy_field_fallback' END,
+  CASE WHEN lesson = 'image' THEN 'media_content_not_loaded' END, CASE WHEN k % 6 IN (0, 2) THEN 'missing_iso_date' END, 'missing_section', CASE WHEN k % 7 = 0 THEN 'missing_title' END, CASE WHEN NOT body THEN 'no_core_body_text' END,
+  CASE WHEN abstract IS NOT NULL THEN 'possible_broken_quote_entity' END, CASE WHEN same THEN 'same_body_text_as_other_lesson' END, CASE WHEN lesson = 'table' THEN 'table_requires_chunking_policy' END,
+  CASE WHEN k % 9 = 0 THEN 'unexpected_attachments_type' END, CASE WHEN k % 4 = 2 THEN 'unparsed_display_date' END, CASE WHEN lesson = 'nav' THEN 'unrecognized_html_tags' END) AS flags FROM f""")
+def quality_flag_rows(spark: SparkSession, sf: str) -> DataFrame:
+    lessons = normalize.normalize(_customer_hits(spark, sf), BASE_URL).lessons
+    return lessons.select("lesson_id", "display_title", "lesson_date", F.concat_ws(",", "quality_flags").alias("flags"))
+
+
+@_query("""SELECT section, count(*) AS records, count(*) FILTER (d AND k > 2) AS both_fields_present, count(*) FILTER (d AND k IN (3, 6)) AS equivalent_after_rendering, count(*) FILTER (d AND k = 4) AS different_nonempty_variants,
+  count(*) FILTER (d AND k IN (5, 7)) AS one_variant_empty, count(*) FILTER (NOT d OR k < 3) AS one_or_no_field_present FROM (SELECT section, section = 'driving_event' AS d, c_custkey % 8 AS k FROM customer, (VALUES ('driving_event'), ('lesson')) s(section)) GROUP BY section""")
+def field_comparison_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.field_comparison(normalize.normalize(_customer_hits(spark, sf), BASE_URL).comparisons)
+
+
+@_query("""SELECT CAST(c_custkey AS VARCHAR) AS lesson_id, 'driving_event' AS section, 'drivingEvent' AS selected_field, 'description_event' AS alternate_field, 'New' AS selected, 'Old' AS alternate,
+  row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer WHERE c_custkey % 8 = 4""")
+def variant_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Differing fields by identifier, as a number, then section."""
+    variants = normalize.normalize(_customer_hits(spark, sf), BASE_URL).variants
+    placed = order.with_position(variants, *order.numeric_order(F.col("lesson_id")), "section")
+    return placed.select("lesson_id", "section", "selected_field", "alternate_field", F.col("selected.text").alias("selected"), F.col("alternate.text").alias("alternate"), "position")
+
+
 def _document_records(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as normalized records with one section."""
     def section(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +12,14 @@ _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """spark.checkpoint.dir, or a folder of the warehouse where that is unset; on a cluster, a warehouse on the driver's own
+    disk is an error, as executors would each write to theirs."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.conf.get("spark.master", "local")
+    if not master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_shared"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import with_position
 from .split_json import read_array
 
 _RESPONSE = "timed_out boolean, _shards struct<total:long,successful:long,failed:long>, hits struct<total:variant,hits:array<variant>>"
@@ -17,6 +18,12 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def files_in_order(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """position, path and bytes of the files below a folder, by path; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
+    return with_position(found, "path")
+
+
 def verify_file(spark: SparkSession, path: str, n_bytes: int, sha256: str) -> None:
     found = file_facts(spark, path).first()
     if found is None or (found["bytes"], found["sha256"]) != (n_bytes, sha256):

@@ -100,6 +100,27 @@ def write_snapshot(spark: SparkSession, text: str, records: int, folder: str, re
     return manifest
 
 
-def report(stats: dict[str, object]) -> str:
-    """A short Markdown table of statistics that are already aggregated."""
-    return "\n".join(["# Corpus quality", "", "| Measure | Value |", "| --- | ---: |", *(f"| {k} | {v} |" for k, v in sorted(stats.items()))]) + "\n"
+def _table(head: tuple[str, ...], rows: list[tuple]) -> str:
+    shown = [f"{v:,}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for row in rows for v in row]
+    lines = ["| " + " | ".join(shown[at : at + len(head)]) + " |" for at in range(0, len(shown), len(head))]
+    return "\n".join(["| " + " | ".join(head) + " |", "| " + " | ".join(["---"] + ["---:"] * (len(head) - 1)) + " |", *lines])
+
+
+def report(stats: dict[str, object], received: str | None = None) -> str:
+    """Markdown sections of statistics that are already aggregated; equal statistics give equal text.
+
+    Names tell the section: "missing F", "fields S" (a dictionary of counts), "flag C"; sizes are total, median, maximum
+    and over; other names are totals.
+    """
+    named = lambda prefix: [(k.removeprefix(prefix), v) for k, v in sorted(stats.items()) if k.startswith(prefix)]
+    sizes = ("total", "median", "maximum", "over")
+    compared = ("both_fields_present", "equivalent_after_rendering", "different_nonempty_variants", "one_variant_empty")
+    totals = [(k, v) for k, v in sorted(stats.items()) if " " not in k and k not in sizes]
+    parts = ["# Corpus quality", f"Source received at {received}." if received else "The time of receipt is not known."]
+    parts += ["## Reconciliation", _table(("Item", "Count"), totals)]
+    parts += ["## Missing content", _table(("Field or section", "Records without content"), named("missing "))]
+    parts += ["## Two fields of one section", _table(("Section", "Both present", "Equivalent", "Different", "One empty"), [(s, *(c.get(n, 0) for n in compared)) for s, c in named("fields ")])]
+    by_section = [(k, v) for k, v in sorted(stats.items()) if k.split(" ")[0] in ("missing_section", "field_variant", "legacy_field_fallback")]
+    parts += ["## Review signals", _table(("Signal", "Records"), named("flag ")), _table(("Signal and section", "Records"), by_section)]
+    parts += ["## Size in words", _table(("Measure", "Words"), [(k, stats[k]) for k in sizes if stats.get(k) is not None])]
+    return "\n\n".join(parts) + "\n"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import sys
 
 import numpy as np
@@ -11,9 +12,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from sediment.contracts import ChunkConfig, HashedWordEmbedder
+from sediment import scratch
+from sediment.contracts import Answer, ChunkConfig, HashedWordEmbedder
 from sediment.functions import text as T
-from sediment.operators import chunking, evaluate, order, vectors
+from sediment.operators import chunking, evaluate, order, quality, vectors
 from sediment.operators.normalize import normalize
 from sediment.plans import corpus
 from sediment.sources import readers, sinks
@@ -177,6 +179,8 @@ def test_ingest_writes_products_manifest_and_report(spark, tmp_path):
     assert made.lessons.count() == 2 and facts["products"]["lessons"]["records"] == 2 and facts["products"]["quarantine"]["records"] == 1
     assert facts["statistics"]["input_hits"] == 3 and facts["statistics"]["field_variant lesson"] == 1 and facts["statistics"]["missing_section lesson"] == 1
     assert "query" in facts["source_fields"] and "| input_hits | 3 |" in "\n".join(r["value"] for r in spark.read.text(f"{out}/report").collect())
+    fields = facts["statistics"]["fields lesson"]
+    assert fields["records"] == 2 and fields["both_fields_present"] == fields["different_nonempty_variants"] == 1
     with pytest.raises(ValueError, match="protected"):
         corpus.ingest(spark, folder, f"{folder}/../snapshot/x", BASE, protected=folder)
     (tmp_path / "link").symlink_to(folder)
@@ -353,3 +357,86 @@ def test_plan_manifest_follows_the_order_of_units(spark):
     assert chunking.plan_manifest(chunks.repartition(5, "id"), config, "d").first() == one
     swapped = chunks.withColumn("chunk_number", F.when(F.col("chunk_number") < 2, 1 - F.col("chunk_number")).otherwise(F.col("chunk_number")))
     assert chunking.plan_manifest(swapped.where("lesson_id = '10'"), config, "d").first()["fingerprint"] != chunking.plan_manifest(chunks.where("lesson_id = '10'"), config, "d").first()["fingerprint"]
+
+
+def test_field_comparison_and_missing_content(made):
+    rows = {r["section"]: r.asDict() for r in quality.field_comparison(made.comparisons).collect()}
+    assert rows["lesson"] == {"section": "lesson", "records": 5, "both_fields_present": 2, "equivalent_after_rendering": 1, "different_nonempty_variants": 1, "one_variant_empty": 0, "one_or_no_field_present": 3}
+    assert rows["driving_event"]["both_fields_present"] == rows["driving_event"]["one_variant_empty"] == 1
+    missing = {r["field"]: r["missing"] for r in quality.missing_content(made.lessons).collect()}
+    assert missing["title"] == 1 and missing["lesson"] == 0 and missing["driving_event"] == 4 and missing["evidence"] == 5
+
+
+def test_report_has_all_its_sections():
+    stats = {"lessons": 1200, "total": 5000, "median": 3.5, "maximum": 9, "over": 0, "missing title": 2, "flag missing_title": 2, "missing_section evidence": 7, "fields lesson": {"both_fields_present": 4, "one_variant_empty": 1}}
+    text = sinks.report(stats, "2001-01-02T00:00:00Z")
+    assert text == sinks.report(dict(reversed(stats.items())), "2001-01-02T00:00:00Z")
+    heads = [line for line in text.splitlines() if line.startswith("#")]
+    assert heads == ["# Corpus quality", "## Reconciliation", "## Missing content", "## Two fields of one section", "## Review signals", "## Size in words"]
+    for row in ("| lessons | 1,200 |", "| title | 2 |", "| lesson | 4 | 0 | 0 | 1 |", "| missing_title | 2 |", "| missing_section evidence | 7 |", "| median | 3.5 |"):
+        assert row in text
+    assert "2001-01-02T00:00:00Z" in text and sinks.report({}).count("##") == 5
+
+
+def test_products_follow_identifiers_as_numbers(spark, tmp_path):
+    hits = [_hit(n, lesson=f"a{n}", lesson_learned=f"b{n}", drivingEvent="x", description_event=f"y{n}") for n in (10, 9, 100, 1)]
+    made = corpus.ingest(spark, _response(tmp_path / "r.json", hits), str(tmp_path / "out"), BASE)
+    assert [r["lesson_id"] for r in made.lessons.coalesce(1).collect()] == ["1", "9", "10", "100"]
+    assert [(r["lesson_id"], r["section"]) for r in made.variants.coalesce(1).collect()] == [(i, s) for i in ("1", "9", "10", "100") for s in ("driving_event", "lesson")]
+
+
+def test_files_in_order(spark, tmp_path):
+    for name in ("b/2.txt", "a/10.txt", "a/9.bin", "b/1.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    rows = readers.files_in_order(spark, str(tmp_path), "*.txt").orderBy("position").collect()
+    assert [(r["position"], r["path"].rpartition(str(tmp_path))[2], r["bytes"]) for r in rows] == [(0, "/a/10.txt", 8), (1, "/b/1.txt", 7), (2, "/b/2.txt", 7)]
+
+
+_PROMPT = "query_id string, question string, prompt_version string, source_ids array<string>"
+
+
+def test_generated_answers_say_why_they_stopped(spark):
+    class Cut:
+        def generate(self, prompts):
+            return [Answer(None, "blocked") if "bad" in p else Answer(p.upper(), "length") if "long" in p else p for p in prompts]
+
+    asked = spark.createDataFrame([("1", "q", "v2", ["1"], "bad"), ("2", "q", "v2", ["1"], "long"), ("3", "q", "v2", ["1"], "fine")], f"{_PROMPT}, payload string")
+    assert {r["query_id"]: (r["answer"], r["finish_reason"]) for r in evaluate.generated(asked, Cut()).collect()} == {"1": (None, "blocked"), "2": ("LONG", "length"), "3": ("fine", None)}
+
+
+def test_batches_before_and_after_are_compared(spark):
+    row = lambda i, version, sources, answer: (i, f"question {i}", version, sources, answer, "stop")
+    before = [row("a", "v1", ["1", "2"], "x"), row("b", "v1", ["1"], "x"), row("c", "v1", ["1"], None), row("d", "v1", ["1"], "x"), row("e", "v1", ["1"], "x"), row("f", "v1", [], None)]
+    after = [row("a", "v2", ["2", "1"], "x"), row("b", "v2", ["3"], "y"), row("c", "v2", ["1"], "y"), row("d", "v2", ["1"], None), row("f", "v2", [], None), row("g", "v2", ["1"], "x")]
+    kind = f"{_PROMPT}, answer string, finish_reason string"
+    rows = {r["query_id"]: r for r in evaluate.compared(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()}
+    assert {i: r["outcome"] for i, r in rows.items()} == {"a": "same", "b": "changed", "c": "gained", "d": "lost", "e": "only_before", "f": "none", "g": "only_after"}
+    assert [i for i in sorted(rows) if rows[i]["same_sources"]] == ["a", "c", "d", "f"] and rows["g"]["question"] == "question g" and rows["e"]["prompt_version_before"] == "v1"
+
+
+def test_history_is_appended(spark, tmp_path):
+    path, kind = str(tmp_path / "h"), f"{_PROMPT}, answer string, finish_reason string"
+    for answer in ("yes", None):
+        evaluate.append_history(spark.createDataFrame([("1", "why?", "v2", ["3", "4"], answer, None)], kind), path)
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["answer"] or "")
+    assert [r["answer"] for r in rows] == [None, "yes"] and all(re.fullmatch(r"\d{8}-\d{6}-[0-9a-f]{8}", r["stem"]) for r in rows) and rows[0]["stem"] != rows[1]["stem"]
+    assert rows[1]["markdown"] == "## why?\n\nyes\n\nSources: 3, 4\n" and "(no answer)" in rows[0]["markdown"]
+    assert json.loads(rows[0]["json"])["answer"] is None and json.loads(rows[1]["json"])["source_ids"] == ["3", "4"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Named:
+        def __init__(self, **conf):
+            self.conf = self
+            self.values = {k.replace("_", "."): v for k, v in conf.items()}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    warehouse = {"spark_sql_warehouse_dir": "file:/w"}
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch.shared_dir(Named(spark_master="spark://a:7077", **warehouse))
+    assert scratch.shared_dir(Named(spark_master="local[4]", **warehouse)) == "file:/w/_shared"
+    assert scratch.shared_dir(Named(spark_master="yarn", spark_sql_warehouse_dir="hdfs://n/w/")) == "hdfs://n/w/_shared"
+    assert scratch.shared_dir(Named(spark_master="yarn", spark_checkpoint_dir="s3a://b/c", **warehouse)) == "s3a://b/c"
