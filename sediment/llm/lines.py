@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, powers, release, slices
+from .common import PRIME, folded, fresh, materialize, release, rolling, slices
 
 LEAST_WORDS = 50
 
@@ -212,7 +212,7 @@ def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Odd factors of the two rolling hashes of runs of words.
+#: Bases of the two rolling hashes of runs of words.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -224,10 +224,9 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def run_hashes(hashes: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
-    """A rolling hash of each run of ``n`` words, equal wherever the run stands."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(len(hashes), base), out=sums[1:])
-    total = (sums[n:] - sums[:-n]) * powers(len(hashes), pow(base, -1, 1 << 64))[: len(hashes) - n + 1]
+    """A rolling hash (61 bits, mixed to 64) of each run of ``n`` words, equal wherever the run stands."""
+    begin = np.arange(max(0, len(hashes) - n + 1))
+    total = rolling(folded(hashes), base % PRIME)(begin, begin + n)
     total = (total ^ (total >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return total ^ (total >> np.uint64(29))
 

@@ -20,8 +20,8 @@ bits), and Spark aggregates the smallest document of each hash, partially before
 says so by a mark in the anchor's bucket, so that all its regions take the same way, which gives the same result.
 
 A document equal to a smaller one's whole text has equal regions everywhere, so step 2 covers it without any bytes.
-Regions count as equal if 64 bits of their hash and 32 or more of the anchor's hash (40 at half a GB, 56 at 100 TB)
-agree; bytes are compared in step 3 only.
+Regions count as equal if their digests (polynomials modulo a prime of 61 bits) and 32 or more bits of the anchor's hash
+(40 at half a GB, 56 at 100 TB) agree; bytes are compared in step 3 only.
 
 Defined results: null text is empty text; texts shorter than ``length`` lose nothing; rows with equal doc_id never
 remove each other's bytes; rows with a null doc_id neither lose bytes nor count as earlier; an empty table gives no
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, power_of_two, powers, release, slices
+from .common import PRIME, materialize, power_of_two, release, rolling, slices
 
 LENGTH, GRAM = 50, 16
 #: Anchors packed into one set of arrays, anchors to a bucket, and bytes of regions put in suffix order at once.
@@ -59,18 +59,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _context(part: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A byte of hash for the GRAM bytes before and for those after each anchor's own (the lower byte is the one
-    before), and a digest of 64 bits for the bytes from begin to end.
+    before), and a digest (61 bits, mixed to 64) for the bytes from begin to end.
 
     A window of LENGTH bytes holds, besides its anchor, one of these two stretches whole, so two equal windows agree in
     one byte at least. (That holds for lengths of three GRAMs minus one or more.) Beyond the text's ends zeros are taken.
     """
     padded = np.concatenate([np.zeros(GRAM - len(before), np.uint8), before, part, after, np.zeros(2 * GRAM - len(after), np.uint8)])
-    up, down = powers(len(padded), _A), powers(len(padded), pow(_A, -1, 1 << 64))
-    sums = np.zeros(len(padded) + 1, np.uint64)
-    np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    polynomial = rolling(padded.astype(np.uint64) + np.uint64(1), _A % PRIME)
 
     def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((sums[b] - sums[a]) * down[a])
+        return _mix(polynomial(a, b))
 
     left, right = (hashed(a, a + GRAM) >> np.uint64(56) for a in (at, at + 2 * GRAM))
     return (left | right << np.uint64(8)).astype(np.uint16), hashed(begin + GRAM, end + GRAM)
