@@ -167,6 +167,7 @@ def normalize(hits: DataFrame, base_url: str, snapshot_path: str = "", snapshot_
     df = df.withColumn("issues", F.filter(F.array(*issues), lambda x: x.isNotNull())).withColumn("has_core_body_text", body)
     df = df.withColumn("body_sha256", F.when(body, F.sha2(F.to_json(F.array(*(F.col(f"{s}.text") for s in core))), 256)))
     repeated = df.where("body_sha256 is not null").groupBy("body_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("body_sha256").alias("same_body"), F.lit(True).alias("repeated"))
+    repeated = materialize(repeated, "repeated-bodies")  # written, so that Spark can split a body that very many records share
     # rows without a body are dealt out by their id: they find nothing, and don't meet in one task
     df = df.join(repeated, F.coalesce("body_sha256", F.concat(F.lit("none "), "lesson_id")) == F.col("same_body"), "left").drop("same_body")
     same = F.filter(F.array(_issue(F.col("repeated"), "same_body_text_as_other_lesson", None, F.col("body_sha256"))), lambda x: x.isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import NOT_CORE, SECTIONS
 from ..functions import text as T
+from ..scratch import materialize
 
 
 def duplicate_groups(df: DataFrame, key: str, body: Column) -> DataFrame:
@@ -16,8 +17,12 @@ def duplicate_groups(df: DataFrame, key: str, body: Column) -> DataFrame:
 
 
 def duplicate_members(df: DataFrame, key: str, body: Column) -> DataFrame:
-    """key, body_sha256, n, first_key: one row a member, however large the group."""
-    return df.select(F.col(key).alias("key"), F.sha2(body, 256).alias("body_sha256")).join(duplicate_groups(df, key, body), "body_sha256")
+    """key, body_sha256, n, first_key: one row a member, however large the group.
+
+    The groups are written first: Spark splits a group with very many members only where the join's sides are read as they are.
+    """
+    groups = materialize(duplicate_groups(df, key, body), "duplicate-groups")
+    return df.select(F.col(key).alias("key"), F.sha2(body, 256).alias("body_sha256")).join(groups, "body_sha256")
 
 
 def flag_histogram(df: DataFrame, flags: str) -> DataFrame:
