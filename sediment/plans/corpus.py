@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SCHEMA_VERSION, ChunkConfig, Embedder, Generator
-from ..operators import chunking, evaluate, normalize, order, quality, vectors
+from ..operators import chunking, evaluate, normalize, order, quality, stored_index, vectors
 from ..sources import readers, sinks
 
 
@@ -71,11 +71,16 @@ def index(lessons: DataFrame, root: str, dataset: str, embedder: Embedder, confi
     status = vectors.embed_pending(chunks, embedder, f"{path}/cache")
     sinks.write_json(spark, status, f"{path}/status")
     points = vectors.build_index(chunks, vectors.checked_rounds(spark, f"{path}/cache", chunks, embedder.dimensions), embedder.dimensions)
-    marked = sinks.write_run(points, f"{path}/index", config.as_dict() | {"dataset": dataset, "points": status["expected"], "dimensions": embedder.dimensions})
-    built = spark.read.parquet(f"{marked}/data")
-    if built.count() != status["expected"]:
+    facts = {"dataset": dataset, "configuration": config.as_dict()}
+    made = stored_index.upsert(points, f"{path}/index", embedder.dimensions, facts=facts, only_new=True)  # a unit's id names its contents
+    if made["points"] != status["expected"]:
         raise ValueError("the index has not as many points as there are units")
-    return built
+    return stored_index.opened(spark, f"{path}/index", embedder.dimensions, facts=facts)
+
+
+def search_stored(spark: SparkSession, root: str, questions: DataFrame, embedder: Embedder, config: ChunkConfig, dataset: str, k: int = 5) -> DataFrame:
+    """As ``search``, over a stored index, if it is complete and was made of this data set with this configuration."""
+    return search(stored_index.opened(spark, root, embedder.dimensions, facts={"dataset": dataset, "configuration": config.as_dict()}), questions, embedder, config, k)
 
 
 def search(points: DataFrame, questions: DataFrame, embedder: Embedder, config: ChunkConfig, k: int = 5) -> DataFrame:

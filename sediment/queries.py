@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from .contracts import ChunkConfig
 from .functions import text as T
 from .functions.html import canonical_json, page_events
-from .operators import chunking, evaluate, markup, normalize, order, quality, vectors
+from .operators import chunking, evaluate, markup, normalize, order, quality, stored_index, vectors
+from .scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE_URL = "https://example.org/"
@@ -174,6 +176,19 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.upsert(o, o, "o_custkey", "o_orderdate")
 
 
+@_query("""SELECT vec_id AS id, label, CASE WHEN label < 5 THEN 'second' ELSE 'first' END AS run,
+list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * CASE WHEN label < 5 THEN 2 ELSE 1 END * 1000000)::BIGINT))::BIGINT AS millionths FROM embeddings""")
+def stored_index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors go into a stored index; those of the smaller labels then replace themselves, doubled."""
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    root, size = f"{shared_dir(spark)}/stored-index-{uuid.uuid4().hex}", e.agg(F.max(F.size("vector"))).first()[0]
+    stored_index.upsert(e.withColumn("run", F.lit("first")), root, size)
+    doubled = e.where("label < 5").withColumn("vector", F.transform("vector", lambda x: (2 * x).cast("float"))).withColumn("run", F.lit("second"))
+    stored_index.upsert(doubled, root, size)
+    total = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + F.round(x.cast("double") * 1000000).cast("long"))
+    return stored_index.opened(spark, root, size).select("id", "label", "run", total.alias("millionths"))
+
+
 @_query(r"""SELECT conv_id, string_agg(concat(upper(role), chr(10), coalesce(text, '')), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
 def section_context(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ordered_text(_t(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
