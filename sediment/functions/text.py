@@ -59,7 +59,14 @@ def broken_quote(text: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    return F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
+    """A date from a calendar day or from a week and its day (Monday, if none is named), with hyphens or without."""
+    digits = F.regexp_replace(text, "[-W]", "")
+    year, week = F.substring(digits, 1, 4).try_cast("int"), F.substring(digits, 5, 2).try_cast("int")
+    weekday = F.coalesce(F.substring(digits, 7, 1).try_cast("int"), F.lit(1))
+    monday = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), 7 * (week - 1))  # January 4 lies in week 1
+    by_week = F.when((week > 0) & (F.weekofyear(monday) == week), F.date_add(monday, weekday - 1))
+    found = F.when(text.rlike(r"\A\d{4}(-?)\d{2}\1\d{2}\z"), F.try_to_date(digits, "yyyyMMdd")).when(text.rlike(r"\A\d{4}(-W\d{2}(-[1-7])?|W\d{2}[1-7]?)\z"), by_week)
+    return F.when((year > 0) & (F.year(found) < 10000), found)
 
 
 def display_date(text: Column) -> Column:
