@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SCHEMA_VERSION, ChunkConfig, Embedder, Generator
+from ..functions import text as T
 from ..operators import chunking, evaluate, normalize, order, quality, stored_index, vectors
 from ..sources import readers, sinks
 
@@ -84,12 +85,15 @@ def search_stored(spark: SparkSession, root: str, questions: DataFrame, embedder
 
 
 def search(points: DataFrame, questions: DataFrame, embedder: Embedder, config: ChunkConfig, k: int = 5) -> DataFrame:
-    """Ranked parents for questions (query_id, question); blank questions and a k beyond 1 to 20 are errors."""
-    if not 1 <= k <= 20 or questions.where("question is null or trim(question) = '' or octet_length(question) > 20000").head(1):
+    """Ranked parents for questions (query_id, question). Blank questions, those of over 20,000 bytes with the prefix that is
+    embedded before them, and a k beyond 1 to 20 are errors."""
+    stripped = T.strip(F.col("question"))
+    text = F.concat(F.lit(config.query_prefix), stripped)
+    if not 1 <= k <= 20 or questions.where(stripped.isNull() | (stripped == "") | (F.octet_length(text) > 20000)).head(1):
         raise ValueError("questions must have text of up to 20,000 bytes, and k lies between 1 and 20")
     if embedder.dimensions != config.dimensions or points.where(F.size("vector") != embedder.dimensions).head(1):
         raise ValueError("index, embedder and configuration differ in their dimensions")
-    asked = questions.select(F.col("query_id").cast("string").alias("cache_key"), F.lit("").alias("input_sha256"), F.concat(F.lit(config.query_prefix), F.trim("question")).alias("embedding_input"))
+    asked = questions.select(F.col("query_id").cast("string").alias("cache_key"), F.lit("").alias("input_sha256"), text.alias("embedding_input"))
     asked = vectors.embed(asked, embedder).select(F.col("cache_key").alias("query_id"), F.col("vector").alias("query_vector"))
     return vectors.top_parents(points.withColumn("child", F.xxhash64("id")), asked, k, "lesson_id", "child")
 

@@ -90,3 +90,14 @@ def test_search_of_a_stored_index(spark, tmp_path):
     assert [r["parent"] for r in corpus.search_stored(spark, root, questions, embedder, config, "d", 1).collect()] == ["1"]
     with pytest.raises(ValueError, match="dataset"):
         corpus.search_stored(spark, root, questions, embedder, config, "e", 1)
+
+
+def test_questions_are_checked_as_they_are_embedded(spark):
+    embedder, config = HashedWordEmbedder(64), ChunkConfig(dimensions=64)
+    points = spark.createDataFrame([("a", "1", [1.0] * 64)], "id string, lesson_id string, vector array<float>")
+    ask = lambda *texts: corpus.search(points, spark.createDataFrame(list(enumerate(texts)), "query_id int, question string"), embedder, config, 1)
+    room = 20_000 - len(config.query_prefix)
+    assert ask("\u00a0 pump \n", "x" * room, " " + "x" * room + "\t").count() == 3
+    for bad in (None, "", "\u00a0\n ", "x" * (room + 1), "\u00e9" * (room // 2 + 1)):
+        with pytest.raises(ValueError, match="20,000 bytes"):
+            ask("pump", bad)
