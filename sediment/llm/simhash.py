@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -176,8 +177,11 @@ def spanning_links(home: np.ndarray, points: np.ndarray, threshold: int) -> tupl
     return np.concatenate(a), np.concatenate(b)
 
 
-def _cells(points: DataFrame, carried: list[str], words: int, anchored: int, anchors: Callable[[np.ndarray], tuple]) -> DataFrame:
-    """Rows of anchor, h, r, home, the carried columns and c0, c1, ...: the words of the fingerprint from the anchor's own on."""
+def _cells(points: DataFrame, carried: list[str], words: int, anchored: Iterable[int], anchors: Callable[[np.ndarray], tuple], part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Rows of anchor, h, r, home, the carried columns and c0, c1, ...: the words of the fingerprint from the anchor's own on.
+
+    Of the words numbered ``anchored``, and of the anchors those that leave ``part[0]`` modulo ``part[1]``.
+    """
     fps, shown = _names(words), [f"c{i}" for i in range(words)]
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     ddl = "anchor int, " + "".join(f"{n} {kinds[n]}, " for n in carried) + "".join(f"{n} long, " for n in shown) + "home boolean"
@@ -185,10 +189,13 @@ def _cells(points: DataFrame, carried: list[str], words: int, anchored: int, anc
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                columns = {n: part.column(n).to_numpy(zero_copy_only=False) for n in (*carried, *fps)}
-                for i, n in enumerate(fps[:anchored]):
-                    index, anchor, home = anchors(columns[n].view(np.uint64))
+                few = batch.slice(at, 2048)
+                columns = {n: few.column(n).to_numpy(zero_copy_only=False) for n in (*carried, *fps)}
+                for i in anchored:
+                    index, anchor, home = anchors(columns[fps[i]].view(np.uint64))
+                    if part[1] > 1:
+                        own = anchor % part[1] == part[0]
+                        index, anchor, home = index[own], anchor[own], home[own]
                     rows = {"anchor": (anchor * words + i).astype(np.int32)} | {c: columns[c][index] for c in carried}
                     rows |= {c: columns[fps[(i + k) % words]][index] for k, c in enumerate(shown)} | {"home": home}
                     yield pa.RecordBatch.from_pydict(rows)
@@ -251,7 +258,7 @@ def fingerprint_links(points: DataFrame, threshold: int = 4) -> DataFrame:
         yield pd.DataFrame({"a": name[a], "b": name[b]})
 
     code = linear_code(code_dimension(points.count()))
-    return _of_each_cell(_cells(points, ["name"], 1, 1, lambda fps: anchors_of(fps, code, threshold)), links)
+    return _of_each_cell(_cells(points, ["name"], 1, [0], lambda fps: anchors_of(fps, code, threshold)), links)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
@@ -270,21 +277,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> Da
 STAGE_SHINGLE, STAGE_WORDS, STAGE_THRESHOLD, STAGE_FIRST_THRESHOLD = 5, 6, 80, 48
 #: Words whose anchors are looked up; all six are compared there.
 STAGE_ANCHORED = 4
-#: Up to so many points: dimension of the code and slack. The chance that one of the four words of a pair at the limit
-#: meets at an anchor is 0.920, 0.953 and 0.974 (simulated): it does not fall as the table grows. Together with the shared
-#: keys (below) it is over 0.999.
-STAGE_CODES = ((1 << 20, 12, 2), (1 << 26, 16, 3), (1 << 62, 20, 4))
+#: Up to so many points: dimension of the code, slack, and replicas of a word at its anchors, roughly. The chance that one
+#: of the four words of a pair at the limit meets at an anchor is 0.924, 0.981, 0.966 and 0.973 (simulated): it does not
+#: fall as the table grows. Together with the shared keys (below) it is over 0.999.
+STAGE_CODES = ((1 << 20, 12, 2, 9), (1 << 24, 12, 3, 19), (1 << 26, 14, 3, 26), (1 << 62, 20, 4, 560))
+#: Dimensions whose codes are listed; of larger ones, two halves are.
+STAGE_LISTED = 14
+#: Replicas of a point that are on disk at once: with its fingerprint a replica takes some 80 bytes.
+STAGE_ROUND = 40
+
+
+def stage_code(points: int) -> tuple[int, int, int]:
+    return next(code for most, *code in STAGE_CODES if points <= most)
 
 
 def stage_anchors(points: int) -> Callable[[np.ndarray], tuple]:
-    dimension, slack = next((d, s) for most, d, s in STAGE_CODES if points <= most)
-    if dimension == STAGE_CODES[0][1]:
+    dimension, slack, _ = stage_code(points)
+    if dimension <= STAGE_LISTED:
         code = linear_code(dimension)
         return lambda fps: anchors_of(fps, code, slack)
     codes = halves(dimension)
     return lambda fps: anchors_of_halves(fps, codes, slack)
 
 
+def stage_rounds(points: int) -> list[tuple[list[int], tuple[int, int]]]:
+    """The words and the part of the anchors that each round looks at; together all anchors of all words, each once."""
+    replicas = stage_code(points)[2]
+    if 2 * replicas <= STAGE_ROUND:
+        at_once = STAGE_ROUND // replicas
+        return [(list(range(i, min(STAGE_ANCHORED, i + at_once))), (0, 1)) for i in range(0, STAGE_ANCHORED, at_once)]
+    parts = math.ceil(replicas / STAGE_ROUND)
+    return [([i], (p, parts)) for i in range(STAGE_ANCHORED) for p in range(parts)]
+
+
 def shingle_set(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     """The different shingle hashes of a text, in order."""
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
@@ -319,7 +344,7 @@ def set_prints(docs: DataFrame) -> DataFrame:
 
 def candidate_pairs(points: DataFrame) -> DataFrame:
     """All pairs a, b of names of different labels that meet at an anchor, whose fingerprints differ little and whose
-    sizes allow the similarity.
+    sizes allow the similarity; written round by round, so that never all replicas are on disk.
 
     ``points`` is a written table of name, label, size, fp0, ...
     """
@@ -346,7 +371,10 @@ def candidate_pairs(points: DataFrame) -> DataFrame:
                 one, two = name[i[found]], name[j[found]]
                 yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
-    return _of_each_cell(_cells(points, ["name", "label", "size"], STAGE_WORDS, STAGE_ANCHORED, stage_anchors(points.count())), links)
+    n = points.count()
+    carried, anchors = ["name", "label", "size"], stage_anchors(n)
+    rounds = [materialize(_of_each_cell(_cells(points, carried, STAGE_WORDS, words, anchors, part), links), "simhash-round") for words, part in stage_rounds(n)]
+    return reduce(DataFrame.union, rounds).distinct()
 
 
 def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:

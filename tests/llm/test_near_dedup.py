@@ -125,3 +125,38 @@ def test_a_product_code_has_the_anchors_of_its_list():
     for slack in (0, 3):
         parts = [set(zip(*(x.tolist() for x in f(fps, c, slack)[:2]), strict=True)) for f, c in ((simhash.anchors_of_halves, codes), (simhash.anchors_of, words))]
         assert parts[0] == parts[1]
+
+
+@pytest.mark.parametrize("points", [1 << 20, 3_000_000, 30_000_000, 1 << 30])
+def test_no_round_holds_more_replicas_than_its_bound(points):
+    """All anchors of all words come up once, and what one round puts on disk does not grow with the code."""
+    import numpy as np
+
+    fps = np.random.default_rng(4).integers(0, 1 << 64, 300, dtype=np.uint64)
+    index, anchor, _ = simhash.stage_anchors(points)(fps)
+    rounds = simhash.stage_rounds(points)
+    seen = np.zeros((simhash.STAGE_ANCHORED, len(anchor)), int)
+    for words, (at, parts) in rounds:
+        own = anchor % parts == at
+        seen[words] += own
+        assert len(words) * own.sum() <= 1.5 * simhash.STAGE_ROUND * len(fps)
+    assert (seen == 1).all()
+    if points < 1 << 24:  # 6 GB of documents have three million
+        assert simhash.STAGE_ANCHORED * len(anchor) / len(fps) < 100
+
+
+@pytest.mark.parametrize("code", simhash.STAGE_CODES, ids=str)
+def test_rounds_give_the_candidates_of_one(spark, monkeypatch, code):
+    monkeypatch.setattr(simhash, "STAGE_CODES", ((1 << 62, *code[1:]),))
+    rng, rows = random.Random(19), []
+    for i in range(60):
+        base = _words(rng, 150)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(_cut_to(base, 0.85, rng)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    fps = [f"fp{i}" for i in range(simhash.STAGE_WORDS)]
+    points = simhash.materialize(simhash.set_prints(docs).select(F.col("doc_id").alias("name"), F.col("doc_id").alias("label"), "size", *fps), "test-points")
+    met = []
+    for most in (max(10, code[3] // 2), 1 << 30):  # several rounds, one
+        monkeypatch.setattr(simhash, "STAGE_ROUND", most)
+        met.append({tuple(r) for r in simhash.candidate_pairs(points).collect()})
+    assert met[0] == met[1] and len(met[0]) >= 50
