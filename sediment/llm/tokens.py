@@ -11,17 +11,16 @@ from __future__ import annotations
 import array
 import re
 import sys
+from collections.abc import Callable
 from functools import cache
-from itertools import chain
 
 _PIECES_WITH_ODD_SPACE = re.compile(r"(?:\A\s+)?(?: ?\S+)(?:(?:\s\s+|[^\S \n]|\s+\Z)\S*)*|\n|\s+")
 #: Letters whose class all Unicode versions agree on; punctuation without the apostrophe, which may begin "'s" or "'re".
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
-_LETTERS_THEN_MARKS = re.compile(rf"( ?{_LETTER}++)({_MARK}++)\Z")
-_ONE_PRETOKEN = re.compile(rf" ?{_LETTER}++|{_MARK}++")
-#: So many pieces are remembered at most, and none of over so many characters; later ones are computed anew, which bounds
-#: the memory of a worker.
-KNOWN_PIECES, LONGEST_KNOWN = 400_000, 100
+_LETTERS_THEN_MARKS = re.compile(rf"( ?{_LETTER}++)?({_MARK}++)?")
+#: So many pieces are remembered at most, and so many of the later ones for a while; none of over so many characters. The
+#: others are computed anew, which bounds the memory of a worker.
+KNOWN_PIECES, RECENT_PIECES, LONGEST_KNOWN = 300_000, 20_000, 100
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,6 +30,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Ids of pieces; those that are not there are learned as they are looked up."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self._learn, self._recent = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._recent.get(piece)
+        if ids is None:
+            ids = self._learn(piece)
+            if len(piece) <= LONGEST_KNOWN:
+                if len(self) < KNOWN_PIECES:
+                    self[piece] = ids
+                else:
+                    if len(self._recent) >= RECENT_PIECES:
+                        self._recent.clear()
+                    self._recent[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -38,9 +57,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merge = self._tokenizer.model.tokenize
         self._drops_space = not self._tokenizer.encode(" ", add_special_tokens=False).ids
         self._alphabet = _byte_letters()
-        self._known: dict[str, bytes] = {}
+        self._known = _Known(self._learn)
 
     def _ids(self, ids: list[int]) -> bytes:
         out = array.array("I", ids)
@@ -70,34 +90,23 @@ class PieceEncoder:
             pieces += words
         return pieces
 
-    def _learn(self, pieces: list[str]) -> list[str]:
-        """Ids of pieces: those of letters and then punctuation from both parts, the others by the library. Returns all that are new."""
-        known = self._known
-        parts = {p: m.groups() for p in pieces if (m := _LETTERS_THEN_MARKS.match(p))}
-        plain = [p for p in pieces if p not in parts]
-        plain += [p for p in set().union(*parts.values()).difference(plain) if p not in known]
-        merge, odd = self._tokenizer.model.tokenize, []
-        for piece in plain:
-            if _ONE_PRETOKEN.fullmatch(piece):  # the library's model alone: the steps before it are known here
-                lowered = piece.lower() if self._drops_space else piece
-                known[piece] = self._ids([t.id for t in merge(lowered.encode().decode("latin-1").translate(self._alphabet))])
+    def _learn(self, piece: str) -> bytes:
+        """Ids of letters and then punctuation from both parts, those of one pretoken by the library's model alone (the steps
+        before it are known here), all others by the library."""
+        if (m := _LETTERS_THEN_MARKS.fullmatch(piece)) and piece:
+            letters, marks = m.groups()
+            if letters and marks:
+                return self._known[letters] + self._known[marks]
+            if piece.isascii():  # printable ASCII stands for itself
+                shown = piece.lower() if self._drops_space else "Ġ" + piece[1:] if piece[0] == " " else piece
             else:
-                odd.append(piece)
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
-            for piece, encoding in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = self._ids(encoding.ids)
-        for piece, (letters, marks) in parts.items():
-            known[piece] = known[letters] + known[marks]
-        return [*plain, *parts]
+                shown = (piece.lower() if self._drops_space else piece).encode().decode("latin-1").translate(self._alphabet)
+            return self._ids([t.id for t in self._merge(shown)])
+        return self._ids(self._tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, known = [self._cut(text) for text in texts], self._known
-        learned = self._learn([piece for piece in set(chain.from_iterable(cut)) if piece not in known])
-        ids = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in learned if len(known) > KNOWN_PIECES else [p for p in learned if len(p) > LONGEST_KNOWN]:
-            del known[piece]
-        return ids
+        ids = self._known.__getitem__
+        return [b"".join(map(ids, self._cut(text))) for text in texts]
 
 
 @cache

@@ -26,3 +26,19 @@ def test_pieces_equal_the_library(name):
     found = [np.frombuffer(i, "<u4").tolist() for i in PieceEncoder(path).encode(texts)]
     wrong = [t for t, a, b in zip(texts, found, expected, strict=True) if a != b]
     assert not wrong, (len(wrong), wrong[:5])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_few_remembered_pieces_give_the_same_ids(name, monkeypatch):
+    """What is remembered is bounded, also within one call, and changes no ids."""
+    from sediment.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 20)
+    monkeypatch.setattr(tokens, "RECENT_PIECES", 7, raising=False)
+    path, rng = public_tokenizers.path(name), random.Random(3)
+    texts = [" ".join(rng.choice(["Word", "naïve,", "42", "it's", "(a)", "x" * 150]) + rng.choice("abcdefgh.,") for _ in range(40)) for _ in range(50)]
+    encoder, sizes = PieceEncoder(path), []
+    learn = encoder._learn
+    encoder._known._learn = lambda piece: sizes.append(len(encoder._known)) or learn(piece)
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert max(sizes) == 20 and len(encoder._known._recent) <= 7
