@@ -24,7 +24,10 @@ log.write_text("")
 STEP
 out.write_text(log.read_text())
 """
-_STEPS = {"line_dedup": "import corpus_pipeline; assert corpus_pipeline.dedup_lines(spark, docs, '').count() < 24"}
+_STEPS = {
+    "line_dedup": "import corpus_pipeline; assert corpus_pipeline.dedup_lines(spark, docs, '').count() < 24",
+    "repeated_substrings": "from sediment.llm import substrings; assert substrings.remove_repeats(docs, keep=False).where('n_removed > 0').count() > 0",
+}
 
 
 @pytest.mark.parametrize("step", _STEPS)
