@@ -1,10 +1,9 @@
-"""HTML to structured text as relations: parser events, the boxes that hold them, tables, cells, list numbers and links.
+"""HTML to structured text: what the parser says of each page's boxes, as arrays, becomes texts, tables, links and media.
 
-A box is what gathers text: the page, a cell or caption of a table, and the table itself for text outside its cells. How
-many boxes are open at an event is a running sum; the box it lies in is the last one opened at that level. So nearest
-tables, list numbers and link texts come from windows over a page's events and ordered aggregates, without joins of
-events with each other. Tables are put into words from the innermost outwards: a table's text becomes one
-piece of the box around it. Equal pages need be rendered once only (``rendered_texts``).
+A box is what gathers text: the page, a cell or caption of a table, and the table itself for text outside its cells. The
+parser (``functions.html.page_boxes``) deals the pieces of a page out to its boxes, with a mark where a table stands. Tables are
+put into words from the innermost outwards, a level of nesting at a time: a table's text takes its mark's place in the box
+around it. All of that is one row's columns, so no page meets another one, and nothing is shuffled.
 
 Text outside cells: of a table that lies in no other table's cell, every stretch of text is kept; of one that does, only
 the text before its first element. Links, media and tables in such places are not listed.
@@ -12,207 +11,98 @@ the text before its first element. Links, media and tables in such places are no
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import CELL, RENDERED
 from ..functions import text as T
-from ..functions.html import BLOCKS, ITEM_BEGINS, ITEM_ENDS, KNOWN, MEDIA, page_events, resolved_url
-from ..scratch import materialize, release
+from ..functions.html import ITEM_BEGINS, ITEM_ENDS, TABLE_BEGINS, TABLE_ENDS, page_boxes
+from ..scratch import materialize
 
-_CELLS, _PARTS = ("td", "th"), ("td", "th", "caption")
-_BAD_NUMBER = "invalid_ordered_list_number"
-_WHOLE = r"\A\s*[+-]?[0-9]{1,9}\s*\z"
+_TABLE = f"struct<number:int,caption:string,rows:array<array<{CELL}>>,text_outside_cells:array<string>>"
 
 
-def _page(*by: str):
-    return Window.partitionBy("key", *by).orderBy("seq")
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _before(window):
-    return window.rowsBetween(Window.unboundedPreceding, -1)
+def _only(value: Column, holds: Callable[[Column], Column]) -> Column:
+    """The value, or null unless ``holds`` is true of it."""
+    return F.get(F.filter(F.array(value), holds), F.lit(0))
 
 
-def boxed(events: DataFrame) -> DataFrame:
-    """Events with tables (open around them), box (its start: -1 for the page), box_tag, the row of a cell, and lost: inside
-    a table that lies in another one outside its cells. A cell or caption outside tables is no box."""
-    opens, closes, tag = F.col("kind") == "open", F.col("kind") == "close", F.col("tag")
-    step = lambda what: F.coalesce(F.sum(F.when(what & opens, 1).when(what & closes, -1).otherwise(0)).over(_before(_page())), F.lit(0))
-    df = events.withColumn("tables", step(tag == "table") - F.when(closes & (tag == "table"), 1).otherwise(0))
-    is_box = F.coalesce((tag == "table") | (tag.isin(*_PARTS) & (F.col("tables") > 0)), F.lit(False))
-    df = df.withColumn("is_box", is_box)
-    df = df.withColumn("level", step(F.col("is_box")) - F.when(closes & F.col("is_box"), 1).otherwise(0))
-    # a box is there twice: as an event in the box around it, and as what the events one level below lie in
-    holder = F.struct(F.col("seq").alias("box"), F.col("tag").alias("box_tag"))
-    roles = F.when(opens & F.col("is_box"), F.array(F.lit(None).cast("struct<box:int,box_tag:string>"), holder)).otherwise(F.array(F.lit(None).cast("struct<box:int,box_tag:string>")))
-    rows = df.withColumn("holder", F.explode(roles)).withColumn("level", F.col("level") + F.when(F.col("holder").isNotNull(), 1).otherwise(0))
-    found = rows.withColumn("h", F.last("holder", ignorenulls=True).over(_page("level"))).where("holder is null")
-    found = found.select(*df.columns, F.coalesce("h.box", F.lit(-1)).alias("box"), F.coalesce("h.box_tag", F.lit("")).alias("box_tag"))
-    # the row of a cell: the last one opened in its table's box, if that is still open
-    in_box = _before(_page("box"))
-    row_open = F.coalesce(F.sum(F.when((tag == "tr") & opens, 1).when((tag == "tr") & closes, -1)).over(in_box), F.lit(0)) > 0
-    row = F.last(F.when((tag == "tr") & opens, F.col("seq")), ignorenulls=True).over(in_box)
-    lost = step((tag == "table") & (F.col("box_tag") == "table")) > 0
-    return found.withColumn("row", F.when(opens & tag.isin(*_CELLS) & row_open, row)).withColumn("lost", lost).drop("level")
+def _together(pieces: Column, tables: Column) -> Column:
+    """Pieces as one tidy text; tables at their marks, list items without blanks at their ends."""
+    def at_mark(part: Column, i: Column) -> Column:
+        both = F.split(part, TABLE_ENDS)
+        return F.when(i == 0, part).otherwise(F.concat(F.get(tables, F.get(both, F.lit(0)).try_cast("int")), F.get(both, F.lit(1))))
 
+    whole = F.when(pieces.contains(TABLE_BEGINS), F.array_join(F.transform(F.split(pieces, TABLE_BEGINS), at_mark), "")).otherwise(pieces)
+    items = F.regexp_replace(F.regexp_replace(whole, f"(?U){ITEM_BEGINS}\\s*", ""), f"(?U)(?:\\s*{ITEM_ENDS})+", "")
+    return F.when(pieces.rlike(f"(?U)[\\s{ITEM_BEGINS}-{TABLE_ENDS}]"), T.tidy(items)).otherwise(pieces)
 
-def list_numbers(events: DataFrame) -> DataFrame:
-    """key, seq, number and bad of the items of ordered lists: an item's own value, or one more than the item before.
 
-    A start or value that is no number spoils this and all later items of its list: number is null and bad is true.
-    """
-    lists = events.where("kind = 'open' and tag = 'ol'").select("key", F.col("seq").alias("parent"), F.col("attrs")["start"].alias("first"))
-    items = events.where("kind = 'open' and tag = 'li'").select("key", "seq", "parent", F.col("attrs")["value"].alias("value")).join(lists, ["key", "parent"])
-    of_list = Window.partitionBy("key", "parent").orderBy("seq")
-    own = F.when(F.col("value").rlike(_WHOLE), F.trim("value").cast("int"))
-    items = items.withColumn("own", own).withColumn("place", F.row_number().over(of_list))
-    since = F.last(F.when(F.col("own").isNotNull(), F.struct("own", "place")), ignorenulls=True).over(of_list)
-    wrong = (F.col("first").isNotNull() & ~F.col("first").rlike(_WHOLE)) | (F.col("value").isNotNull() & F.col("own").isNull())
-    first = F.coalesce(F.when(F.col("first").rlike(_WHOLE), F.trim("first").cast("int")), F.lit(1))
-    number = F.coalesce(since["own"] + F.col("place") - since["place"], first + F.col("place") - 1)
-    bad = F.max(wrong).over(of_list)
-    return items.select("key", "seq", F.when(~bad, number).alias("number"), bad.alias("bad"))
-
-
-def _pieces(events: DataFrame, base: str) -> DataFrame:
-    """Events with what each adds to its box's text, links and media with their numbers. Events outside cells add nothing."""
-    opens, tag, attrs = F.col("kind") == "open", F.col("tag"), F.col("attrs")
-    shown = events.where((F.col("box_tag") != "table") & ~F.col("lost") & F.col("kind").isin("open", "close", "text"))
-    item = F.coalesce(opens & (tag == "li"), F.lit(False))
-    numbered = shown.where(item).join(list_numbers(events), ["key", "seq"], "left").select(*shown.columns, "number", "bad")  # only items are joined
-    df = numbered.unionByName(shown.where(~item).withColumns({"number": F.lit(None).cast("int"), "bad": F.lit(None).cast("boolean")}))
-    reference = F.coalesce(F.when(attrs["src"] != "", attrs["src"]), attrs["data"], F.lit(""))
-    alt = F.when(attrs["alt"].isNotNull(), T.tidy(attrs["alt"]))
-    nth = F.sum(F.when(opens & tag.isin(*MEDIA), 1)).over(_page())
-    media = F.struct(nth.cast("int").alias("number"), tag.alias("tag"), reference.alias("reference"), F.lit(None).cast("string").alias("resolved_url"), F.when(alt != "", alt).alias("alt"), attrs["title"].alias("title"), F.lit("not_downloaded").alias("status"))
-    df = df.withColumn("media", F.when(opens & tag.isin(*MEDIA), media))
-    shown = F.concat(F.lit("["), F.when(tag == "img", "Image ").otherwise("Media "), F.col("media.number").cast("string"), F.coalesce(F.concat(F.lit("; source alt: "), "media.alt"), F.lit("")), F.lit("; content not loaded]"))
-    marker = F.coalesce(F.concat(F.col("number").cast("string"), F.lit(".")), F.lit("-"))
-    piece = (
-        F.when(F.col("kind") == "text", F.col("text"))
-        .when(F.col("media").isNotNull(), shown)
-        .when(opens & tag.isin("br", "hr"), "\n")
-        .when(tag == "sup", F.when(opens, "^(").otherwise(")"))
-        .when(tag == "sub", F.when(opens, "_(").otherwise(")"))
-        .when((tag == "li") & opens, F.concat(F.lit("\n"), marker, F.lit(f" {ITEM_BEGINS}")))
-        .when(tag == "li", F.lit(f"{ITEM_ENDS}\n"))
-        .when(tag.isin(*BLOCKS), "\n")
-    )
-    in_box = _page("box")
-    a = F.coalesce(tag == "a", F.lit(False))
-    in_link = F.coalesce(F.sum(F.when(a & opens, 1).when(a & (F.col("kind") == "close"), -1)).over(in_box), F.lit(0)) > 0
-    link = F.last(F.when(a & opens, F.struct("seq", attrs["href"].alias("href"))), ignorenulls=True).over(in_box)
-    df = df.withColumn("piece", piece).withColumn("link", F.when(in_link, link))
-    return df.select("key", "seq", "box", "tables", "kind", "tag", "start", "piece", "link", "media", F.coalesce("bad", F.lit(False)).alias("bad"))
-
-
-def _together(pieces: Column, seq: Column) -> Column:
-    """Pieces in order as one tidy text; list items without blanks at their ends."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(pieces.isNotNull(), F.struct(seq.alias("s"), pieces.alias("p"))))), lambda x: x["p"]), "")
-    items = F.regexp_replace(F.regexp_replace(ordered, f"(?U){ITEM_BEGINS}\\s*", ""), f"(?U)(?:\\s*{ITEM_ENDS})+", "")
-    return T.tidy(items)
-
-
-def _tables(events: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """key, seq, box and the table (without its number) of the tables at a level of nesting, from their boxes' texts."""
-    part = events.where((F.col("kind") == "open") & F.col("is_box") & (F.col("tag") != "table") & (F.col("tables") == level))
-    parts = part.join(texts, [part["key"] == texts["key"], part["seq"] == texts["of"]], "left").select(part["key"], "seq", "tag", "attrs", "row", F.col("box").alias("table"), F.coalesce("body", F.lit("")).alias("body"))
-    cell = F.struct("seq", F.struct(F.col("body").alias("text"), (F.col("tag") == "th").alias("is_header"), F.coalesce(F.col("attrs")["rowspan"], F.lit("1")).alias("rowspan"), F.coalesce(F.col("attrs")["colspan"], F.lit("1")).alias("colspan")).cast(CELL).alias("cell"))
-    # cells without a row are the last row
-    rows = parts.where(F.col("tag").isin(*_CELLS)).groupBy("key", "table", F.coalesce("row", F.lit(2**31 - 1)).alias("row")).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["cell"]).alias("cells"))
-    rows = rows.groupBy("key", "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
-    captions = parts.where("tag = 'caption'").groupBy("key", "table").agg(T.tidy(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda c: c["body"]), "\n")).alias("caption"))
-    # text outside cells; of a nested table only what comes before its first element
-    outside = events.where((F.col("kind") == "text") & (F.col("box_tag") == "table") & (F.col("tables") == level))
-    elements = events.where((F.col("kind") == "open") & (F.col("box_tag") == "table") & (F.col("tables") == level))
-    first = elements.groupBy("key", "box").agg(F.min("seq").alias("first_element"))
-    outside = outside.join(first, ["key", "box"], "left").withColumn("body", T.tidy(F.col("text"))).where(T.meaningful(F.col("body")) & ((F.lit(level) == 1) | F.col("first_element").isNull() | (F.col("seq") < F.col("first_element"))))
-    outside = outside.groupBy("key", F.col("box").alias("table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda o: o["body"]).alias("outside"))
-    tables = events.where(F.col("nth").isNotNull() & (F.col("tables") == level - 1)).select("key", F.col("seq").alias("table"), "box", "nth")
-    for more in (rows, captions, outside):
-        tables = tables.join(more, ["key", "table"], "left")
-    made = F.struct(F.col("nth").alias("number"), "caption", F.coalesce("rows", F.array().cast(f"array<array<{CELL}>>")).alias("rows"), F.col("outside").alias("text_outside_cells"))
+def _tables(given: Column, inner: Column) -> Column:
+    """Tables of one level of nesting, as _TABLE; ``inner`` has the texts of those one level below."""
+    def cell(c: Column) -> Column:
+        return F.struct(_together(c["text"], inner).alias("text"), c["is_header"], c["rowspan"], c["colspan"])
+
+    def table(t: Column) -> Column:
+        caption = T.tidy(F.array_join(F.transform(t["captions"], lambda c: _together(c, inner)), "\n"))
+        outside = _only(F.filter(F.transform(t["outside"], T.tidy), T.meaningful), lambda o: F.size(o) > 0)
+        return F.struct(t["number"], caption.alias("caption"), F.transform(t["rows"], lambda r: F.transform(r, cell)).alias("rows"), outside.alias("text_outside_cells")).cast(_TABLE)
+
+    return F.transform(given, table)
+
+
+def _in_words(t: Column) -> Column:
     spans = lambda c: F.when((c["rowspan"] == "1") & (c["colspan"] == "1"), "").otherwise(F.concat(F.lit(" [rowspan="), c["rowspan"], F.lit("; colspan="), c["colspan"], F.lit("]")))
-    shown = F.transform(F.col("t.rows"), lambda r: F.array_join(F.transform(r, lambda c: F.concat(c["text"], spans(c))), " | "))
-    number = F.col("t.number").cast("string")
-    # an empty line is no line of a table
+    shown = F.transform(t["rows"], lambda r: F.array_join(F.transform(r, lambda c: F.concat(c["text"], spans(c))), " | "))
+    number = t["number"].cast("string")
     lines = F.concat(
-        F.array(F.concat(F.lit("[Table "), number, F.lit("]"))), F.filter(F.array("t.caption"), lambda c: c != ""), shown,
-        F.filter(F.array(F.concat(F.lit("[Text outside table cells] "), F.array_join("t.text_outside_cells", " "))), lambda c: c.isNotNull()),
+        F.array(F.concat(F.lit("[Table "), number, F.lit("]"))), F.filter(F.array(t["caption"]), lambda c: c != ""), shown,
+        F.filter(F.array(F.concat(F.lit("[Text outside table cells] "), F.array_join(t["text_outside_cells"], " "))), lambda c: c.isNotNull()),
     )
-    text = F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n[End table "), number, F.lit("]\n"))
-    return tables.withColumn("t", made).select("key", F.col("table").alias("seq"), "box", "t", text.alias("piece"))
-
-
-def rendered_pages(pages: DataFrame, base: str) -> DataFrame:
-    """key and r (RENDERED) of pages (key string, unique; html string, not null). No page gives no rows."""
-    kept = (F.col("kind") == "open") & (F.col("tag") == "table") & (F.col("box_tag") != "table") & ~F.col("lost")
-    nth = F.when(kept, F.sum(F.when(kept, 1)).over(_page()).cast("int"))
-    parsed = materialize(page_events(pages), "markup-events")
-    tabled = materialize(boxed(parsed.where("tabled")).withColumn("nth", nth), "markup-boxed")
-    flat = {c: F.lit(v).cast(k) for c, k, v in (("tables", "bigint", 0), ("is_box", "boolean", False), ("box", "int", -1), ("box_tag", "string", ""), ("row", "int", None), ("lost", "boolean", False), ("nth", "int", None))}
-    events = tabled.unionByName(parsed.where("not tabled").withColumns(flat))
-    pieces = materialize(_pieces(events, base), "markup-pieces")
-    deepest = events.agg(F.max(F.when(F.col("tag") == "table", F.col("tables") + 1))).first()[0] or 0
-    flow, written, tables, links = pieces.select("key", "seq", "box", "tables", "piece", "link"), [], [], []
-    for level in range(deepest, -1, -1):
-        here = flow.where(F.col("tables") == level)
-        links.append(here.where("link.href is not null").groupBy("key", F.col("link.seq").alias("seq"), F.col("link.href").alias("href")).agg(_together(F.col("piece"), F.col("seq")).alias("body")))
-        texts = here.groupBy("key", F.col("box").alias("of")).agg(_together(F.col("piece"), F.col("seq")).alias("body"))
-        if not level:
-            break
-        found = materialize(_tables(events, texts, level), "markup-tables")
-        written.append(found)
-        tables.append(found.select("key", "seq", "t"))
-        around = pieces.where("kind = 'open' and tag = 'table'").select("key", "seq", F.col("tables").alias("outer"), "link")
-        flow = flow.unionByName(found.join(around, ["key", "seq"]).select("key", "seq", "box", F.col("outer").alias("tables"), "piece", "link"))
-
-    ends = pieces.where("kind = 'close' and tag = 'a'").select("key", F.col("start").alias("seq"), F.col("seq").alias("end"))
-    links = reduce(DataFrame.unionByName, links).join(ends, ["key", "seq"], "left")
-    link = F.struct(F.col("body").alias("text"), F.col("href").alias("reference"), resolved_url(F.col("href"), base).alias("resolved_url"), F.lit("not_downloaded").alias("status"))
-    listed = pieces.where("media is not null").select("key", "seq", F.col("media").withField("resolved_url", resolved_url(F.col("media.reference"), base)).alias("media"))
-    problem = F.struct(F.lit("WARNING").alias("level"), "line", "column", F.col("text").alias("message"))
-    unknown = events.where((F.col("kind") == "open") & ~F.col("tag").isin(*KNOWN)).select("key", "tag").union(pieces.where("bad").select("key", F.lit(_BAD_NUMBER))).distinct()
-
-    # one long table of all that a page has, gathered once
-    kinds = {"body": "string", "raw": "string", "link": dict(links.select(link.alias("l")).dtypes)["l"], "media": dict(listed.dtypes)["media"], "t": dict(_with(tables, events).dtypes)["t"], "problem": dict(events.select(problem.alias("p")).dtypes)["p"], "unknown": "string", "failed": "string"}
-
-    def long(df: DataFrame, seq: Column, **given: Column) -> DataFrame:
-        return df.select("key", seq.cast("int").alias("seq"), *(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
-
-    rows = [
-        long(texts.where("of = -1"), F.lit(0), body=F.col("body")),
-        # enough of each text to tell whether all of them together say nothing
-        long(events.where("kind = 'text'"), F.col("seq"), raw=F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, 40)),
-        long(events.where("kind = 'page'"), F.col("seq")),
-        long(links, F.coalesce("end", "seq"), link=link),
-        long(listed, F.col("seq"), media=F.col("media")),
-        long(events.where("kind = 'problem'"), F.col("seq"), problem=problem),
-        long(events.where("kind = 'failed'"), F.col("seq"), failed=F.col("text"), body=F.col("attrs")["html"]),
-        long(unknown, F.lit(0), unknown=F.col("tag")),
-        *(long(t, F.col("seq"), t=F.col("t")) for t in tables),
-    ]
-    listed_in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c])
-    gathered = reduce(DataFrame.unionByName, rows).groupBy("key").agg(
-        F.max("body").alias("text"), F.array_join(listed_in_order("raw"), "").alias("raw"), listed_in_order("t").alias("tables"), listed_in_order("link").alias("links"), listed_in_order("media").alias("media"),
-        listed_in_order("problem").alias("parser_diagnostics"), F.array_sort(F.collect_set("unknown")).alias("unrecognized_tags"), F.max("failed").alias("parse_failed"),
-    )
-    none = lambda c, k: F.coalesce(c, F.array().cast(f"array<{k}>"))
-    failed = F.col("parse_failed").isNotNull()
-    r = F.struct(
-        F.when(failed | T.meaningful(F.col("text")), F.col("text")).alias("text"), (~failed & T.meaningful(F.col("raw"))).alias("source_text_present"), none(F.col("tables"), kinds["t"]).alias("tables"),
-        none(F.col("links"), kinds["link"]).alias("links"), none(F.col("media"), kinds["media"]).alias("media"), none(F.col("parser_diagnostics"), kinds["problem"]).alias("parser_diagnostics"), none(F.col("unrecognized_tags"), "string").alias("unrecognized_tags"), "parse_failed",
-    )
-    out = materialize(gathered.select("key", r.cast(RENDERED).alias("r")), "rendered-pages")
-    release(parsed, tabled, pieces, *written)
-    return out
+    return F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n[End table "), number, F.lit("]\n"))
+
+
+def _resolved(boxes: Column) -> Column:
+    """texts of the tables at each level, from 0, in their order there, and all tables."""
+    def level(done: Column, at: Column) -> Column:
+        def with_texts(made: Column) -> Column:
+            texts = F.concat(F.array(F.transform(made, _in_words)), done["texts"])
+            return F.struct(texts.alias("texts"), F.concat(made, done["tables"]).alias("tables"))
+
+        inner = F.coalesce(F.get(done["texts"], F.lit(0)), F.array().cast("array<string>"))
+        return _with(_tables(F.filter(boxes["tables"], lambda t: t["level"] == at), inner), with_texts)
 
+    none = F.struct(F.array().cast("array<array<string>>").alias("texts"), F.array().cast(f"array<{_TABLE}>").alias("tables"))
+    return F.aggregate(boxes["levels"], none, level)
 
-def _with(tables: list[DataFrame], events: DataFrame) -> DataFrame:
-    """A table of the kind of ``tables``, which may be none."""
-    return tables[0] if tables else events.select(F.lit(None).cast(f"struct<number:int,caption:string,rows:array<array<{CELL}>>,text_outside_cells:array<string>>").alias("t"))
+
+def rendering(boxes: Column) -> Column:
+    """RENDERED of what the parser says of a page."""
+    def page(done: Column) -> Column:
+        at_level = lambda n: F.get(done["texts"], n)
+        links = F.transform(boxes["links"], lambda x: F.struct(_together(x["body"], at_level(x["level"])).alias("text"), x["reference"], x["resolved_url"], F.lit("not_downloaded").alias("status")))
+        media = F.transform(boxes["media"], lambda m: m.withField("alt", _only(T.tidy(m["alt"]), lambda a: a != "")))
+        text = F.when(boxes["failed"].isNotNull(), boxes["body"]).otherwise(_only(_together(boxes["body"], at_level(F.lit(0))), T.meaningful))
+        tables = F.array_sort(done["tables"], lambda a, b: a["number"] - b["number"])
+        return F.struct(text.alias("text"), T.meaningful(boxes["raw"]).alias("source_text_present"), tables.alias("tables"), links.alias("links"), media.alias("media"), boxes["problems"].alias("parser_diagnostics"), boxes["unknown"].alias("unrecognized_tags"), boxes["failed"].alias("parse_failed")).cast(RENDERED)
+
+    return _with(_resolved(boxes), page)
+
+
+def rendered_texts(rows: DataFrame, text: str, base: str, name: str = "r") -> DataFrame:
+    """``rows`` with ``name``: the rendering of their HTML, where they lie; null and blank texts are empty ones.
+
+    Written, so that it is done once and what goes to the parser at once has a bound in bytes.
+    """
+    boxes = rows.withColumn(name, page_boxes(F.col(text), base))
+    return materialize(boxes.withColumn(name, F.when(F.col(name).isNotNull(), rendering(F.col(name))).otherwise(empty_rendering())), "rendered-pages")
 
 
 def empty_rendering() -> Column:
@@ -227,16 +117,7 @@ def text_key(text: Column) -> Column:
 def rendered_by_key(texts: DataFrame, text: str, base: str) -> DataFrame:
     """key and r of the different texts that are not blank."""
     pages = texts.select(text_key(F.col(text)).alias("key"), F.col(text).alias("html")).where("key is not null")
-    return rendered_pages(pages.groupBy("key").agg(F.first("html").alias("html")), base)
-
-
-def rendered_texts(rows: DataFrame, text: str, base: str, name: str = "r") -> DataFrame:
-    """``rows`` with ``name``: the rendering of their HTML. Each different text is rendered once; null and blank texts are
-    empty ones. A text that a third of all rows share is skewed on their side of the join only."""
-    keyed = rows.withColumn("_key", text_key(F.col(text)))
-    done = rendered_by_key(rows, text, base).select(F.col("key").alias("_done"), F.col("r").alias("_r"))
-    joined = keyed.join(done, F.col("_key") == F.col("_done"), "left")
-    return joined.withColumn(name, F.coalesce("_r", empty_rendering())).drop("_key", "_done", "_r")
+    return rendered_texts(pages.groupBy("key").agg(F.first("html").alias("html")), "html", base).select("key", "r")
 
 
 def table_cells(rendered: DataFrame, key: str, r: str = "r") -> DataFrame:
