@@ -15,7 +15,7 @@ TEXTS = ["x", " y ", "\n", "\r\n a\t b", "&amp;", "&lt", "&am", "&", "1 < 2", ">
 ATTRIBUTES = [' href="/a"', " alt='p&amp;q'", " start=5", " value", ' title = "z"', " HREF=b", ' alt=""', " src=7 src=8"]
 
 
-@pytest.mark.parametrize(("depth", "tables"), [(1, 1)])
+@pytest.mark.parametrize(("depth", "tables"), [(1, 1), (3, 4)])
 def test_rendering_shuffles_nothing(spark, monkeypatch, depth, tables):
     """A table alone, and tables in tables: one write, no exchange."""
     plans = []
